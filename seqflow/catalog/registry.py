@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
-_MODULES = ("selection",)
+_MODULES = ("selection", "sequences", "batches", "hits")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

@@ -94,14 +94,14 @@ def _block_grid(cand: DataFrame, ref: DataFrame, id_col: str, vec_col: str, by:
     right = ref.select(_key(by).alias("k"), F.monotonically_increasing_id().alias("rid"), vec)
 
     def blocks(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("k").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(name))
+        return df.groupBy("k").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias(name))
 
     sizes = blocks(left, "nc").join(blocks(right, "nr"), "k")
 
     def place(df: DataFrame, key: Column, own: str, other: str, own_n: str, other_n: str) -> DataFrame:
         return (df.join(sizes, "k")
                 .withColumn(own, F.pmod(F.xxhash64(key), F.col(own_n)))
-                .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_n) - 1)).cast("bigint"))
+                .withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(other_n) - 1)))
                 .drop("nc", "nr"))
 
     cells_l = place(left, F.col("id"), "cb", "rb", "nc", "nr")
