@@ -9,6 +9,7 @@ from seqflow.catalog.selection import r6
 from seqflow.functions import sequences as S
 from seqflow.operators import stats
 from seqflow.operators.ordered import ordinal
+from seqflow.sources.tables import spread
 
 FIXED = 512
 BUDGET = 4000
@@ -20,7 +21,7 @@ CODES = f"list_transform(range(1, length(seq) + 1), lambda i: strpos('{S.ALPHABE
 
 
 def seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id")
     return docs.select("doc_id", "lang", "source", S.clean("text").alias("seq"))
 
 
