@@ -153,7 +153,7 @@ def fallback_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("seq_records", f"""WITH {HITS},
 e AS (SELECT doc_id, [{COMP_SQL}] AS v FROM seqs WHERE length(seq) > 0),
 r AS (SELECT [{COMP_SQL}] AS rv FROM bench),
-near AS (SELECT doc_id, min(list_cosine_distance(v, rv)) AS c, min(list_distance(v, rv)) AS l
+near AS (SELECT doc_id, round(min(list_cosine_distance(v, rv)), 12) AS c, round(min(list_distance(v, rv)), 12) AS l
          FROM e CROSS JOIN r GROUP BY doc_id),
 score AS (SELECT query AS doc_id, avg(shared) AS a FROM hits GROUP BY query),
 wt AS (SELECT seq AS w FROM bench ORDER BY item_id LIMIT 1)

@@ -41,7 +41,7 @@ vecs AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)"""
 
 NEAREST = CENTROIDS + """,
 near AS (
-  SELECT vec_id, label, min(list_cosine_distance(v, rv)) AS c, min(list_distance(v, rv)) AS l
+  SELECT vec_id, label, round(min(list_cosine_distance(v, rv)), 12) AS c, round(min(list_distance(v, rv)), 12) AS l
   FROM vecs CROSS JOIN means GROUP BY vec_id, label)"""
 
 
@@ -130,7 +130,7 @@ def _round_sql(n: int) -> str:
             f"SELECT label, v AS rv FROM vecs JOIN sel{n - 1} USING (vec_id, label)")
     return f"""
 near{n} AS (
-  SELECT vec_id, vecs.label, min(list_cosine_distance(v, rv)) AS c, min(list_distance(v, rv)) AS l
+  SELECT vec_id, vecs.label, round(min(list_cosine_distance(v, rv)), 12) AS c, round(min(list_distance(v, rv)), 12) AS l
   FROM vecs JOIN ({refs}) r ON r.label = vecs.label GROUP BY vec_id, vecs.label),
 rank{n} AS (
   SELECT *, (rank() OVER (PARTITION BY label ORDER BY c DESC)

@@ -13,6 +13,9 @@ from seqflow.operators.ordered import join_on
 
 BROADCAST_BYTES = 64 << 20
 BLOCK_ROWS = 4096
+# Distances are kept to 12 decimals, so equal ones rank as ties no matter in
+# which order their terms were added up.
+DECIMALS = 12
 _RESULT = "struct<cos:double,l2:double>"
 
 
@@ -154,7 +157,8 @@ def nearest_distances(cand: DataFrame, ref: DataFrame, id_col: str = "id", vec_c
         out = _small_reference(cand, ref, vec_col, by, reduction)
     else:
         out = _block_grid(cand, ref, id_col, vec_col, by, reduction, block_rows)
-    return out.select(*cand.columns, F.col("_d.cos").alias(cos_name), F.col("_d.l2").alias(l2_name))
+    return out.select(*cand.columns, F.round("_d.cos", DECIMALS).alias(cos_name),
+                      F.round("_d.l2", DECIMALS).alias(l2_name))
 
 
 def pair_distances(cand: DataFrame, ref: DataFrame, ref_id: str, by: Sequence[str] = (),

@@ -22,23 +22,24 @@ class WordIndex:
     that every target holds is still one row here.
     """
 
-    def __init__(self, words: DataFrame, members: DataFrame, k: int):
-        self.words, self.members, self.k = words, members, k
+    def __init__(self, words: DataFrame, members: DataFrame, k: int, by: Sequence[str] = ()):
+        self.words, self.members, self.k, self.by = words, members, k, list(by)
 
 
-def build_index(targets: DataFrame, id_col: str = "id", seq_col: str = "seq", k: int = DEFAULT_K) -> WordIndex:
-    """Build once, search many times.
+def build_index(targets: DataFrame, id_col: str = "id", seq_col: str = "seq", k: int = DEFAULT_K,
+                by: Sequence[str] = ()) -> WordIndex:
+    """Build once, search many times; ``by`` keeps several target sets apart.
 
     ``explode_outer`` keeps the optimizer from adding a filter that would
     evaluate the word extraction a second time.
     """
-    rows = targets.select(F.col(id_col).alias("target"), F.explode_outer(S.kmers(seq_col, k)).alias("word"))
+    rows = targets.select(*by, F.col(id_col).alias("target"), F.explode_outer(S.kmers(seq_col, k)).alias("word"))
     rows = rows.where(F.col("word").isNotNull())
     t = F.col("target")
-    words = rows.groupBy("word").agg(F.bit_xor(F.xxhash64(t)).alias("c1"),
+    words = rows.groupBy(*by, "word").agg(F.bit_xor(F.xxhash64(t)).alias("c1"),
                                      F.bit_xor(F.xxhash64(t, F.lit(1))).alias("c2"))
-    members = rows.join(words, "word").select("c1", "c2", "target").distinct()
-    return WordIndex(words, members, k)
+    members = rows.join(words, [*by, "word"]).select(*by, "c1", "c2", "target").distinct()
+    return WordIndex(words, members, k, by)
 
 
 def search(queries: DataFrame, index: WordIndex, id_col: str = "id", seq_col: str = "seq") -> DataFrame:
@@ -51,14 +52,15 @@ def search(queries: DataFrame, index: WordIndex, id_col: str = "id", seq_col: st
     index only while its measured size allows.
     """
     # The size is taken before the explode, or each word row would carry the array.
-    words = queries.select(F.col(id_col).alias("query"), S.kmers(seq_col, index.k).alias("_w"))
-    sized = words.select("query", F.size("_w").alias("n_words"), "_w")
-    exploded = sized.select("query", "n_words", F.explode_outer("_w").alias("word"))
-    per_class = (exploded.join(index.words, "word")
-                 .groupBy("query", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.first("n_words").alias("n_words")))
-    hits = (per_class.join(index.members, ["c1", "c2"]).groupBy("query", "target")
+    by = index.by
+    words = queries.select(*by, F.col(id_col).alias("query"), S.kmers(seq_col, index.k).alias("_w"))
+    sized = words.select(*by, "query", F.size("_w").alias("n_words"), "_w")
+    exploded = sized.select(*by, "query", "n_words", F.explode_outer("_w").alias("word"))
+    per_class = (exploded.join(index.words, [*by, "word"])
+                 .groupBy(*by, "query", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.first("n_words").alias("n_words")))
+    hits = (per_class.join(index.members, [*by, "c1", "c2"]).groupBy(*by, "query", "target")
             .agg(F.sum("n").cast("bigint").alias("shared"), F.max("n_words").alias("n_words")))
-    return hits.select("query", "target", "shared", (F.col("shared") / F.col("n_words")).alias("fident"))
+    return hits.select(*by, "query", "target", "shared", (F.col("shared") / F.col("n_words")).alias("fident"))
 
 
 def mean_scores(hits: DataFrame, score: str, by: Sequence[str] = ()) -> DataFrame:
@@ -66,10 +68,11 @@ def mean_scores(hits: DataFrame, score: str, by: Sequence[str] = ()) -> DataFram
     return hits.groupBy(*by, "query").agg(F.avg(score).alias("avg_score"))
 
 
-def attach_scores(cand: DataFrame, scores: DataFrame, id_col: str = "id", default: float = 0.0) -> DataFrame:
+def attach_scores(cand: DataFrame, scores: DataFrame, id_col: str = "id", default: float = 0.0,
+                  by: Sequence[str] = ()) -> DataFrame:
     """Add ``reward`` (float); a candidate without a score gets the default."""
-    right = scores.select(F.col("query").alias(id_col), "avg_score")
-    joined = cand.join(right, id_col, "left")
+    right = scores.select(*by, F.col("query").alias(id_col), "avg_score")
+    joined = cand.join(right, [*by, id_col], "left")
     return joined.withColumn("reward", F.coalesce("avg_score", F.lit(default)).cast("float")).drop("avg_score")
 
 
@@ -87,19 +90,22 @@ def score_stats(hits: DataFrame, score: str, by: Sequence[str] = ()) -> DataFram
                                  F.avg(score).alias("mean"))
 
 
-def keep_listed(records: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
+def keep_listed(records: DataFrame, ids: DataFrame, id_col: str = "id", by: Sequence[str] = ()) -> DataFrame:
     """Records whose id is in the list."""
-    return records.join(ids.select(id_col), id_col, "left_semi")
+    keys = [*by, id_col]
+    return records.join(ids.select(*keys), keys, "left_semi")
 
 
 def round_records(seqs: DataFrame, distances: DataFrame, hits: DataFrame, wild_type: Column,
-                  score: str, round_no: int, id_col: str = "id", seq_col: str = "seq") -> DataFrame:
+                  score: str, round_no: int, id_col: str = "id", seq_col: str = "seq",
+                  by: Sequence[str] = ()) -> DataFrame:
     """One record per sequence: mean hit score, distances to the inputs,
     substitutions against the wild type."""
-    scores = mean_scores(hits, score).withColumnRenamed("query", id_col)
-    rows = (seqs.select(id_col, seq_col)
-            .join(distances.select(id_col, "min_cos", "min_l2"), id_col, "left")
-            .join(scores, id_col, "left").withColumn("_wt", wild_type))
-    return rows.select(F.lit(round_no).alias("round"), id_col, seq_col, F.length(seq_col).alias("length"),
+    keys = [*by, id_col]
+    scores = mean_scores(hits, score, by).withColumnRenamed("query", id_col)
+    rows = (seqs.select(*keys, seq_col)
+            .join(distances.select(*keys, "min_cos", "min_l2"), keys, "left")
+            .join(scores, keys, "left").withColumn("_wt", wild_type))
+    return rows.select(F.lit(round_no).alias("round"), *keys, seq_col, F.length(seq_col).alias("length"),
                        F.col("avg_score").alias("mean_score"), "min_cos", "min_l2",
                        S.substitutions(seq_col, "_wt").alias("substitutions"))
