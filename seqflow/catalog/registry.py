@@ -13,7 +13,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
-_MODULES = ("selection", "sequences", "batches", "hits", "runs", "files", "search")
+_MODULES = ("selection", "sequences", "batches", "hits", "runs", "files", "search", "streams")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
