@@ -63,7 +63,7 @@ def stream_first_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("stream_timeouts", f"""WITH {LOG},
-done AS (SELECT event_id + k % 3 AS request_id, t + k * 60000000 AS done FROM log WHERE kind <> 'signup')
+done AS (SELECT event_id + k % 3 AS request_id, t + k * 60000000::BIGINT AS done FROM log WHERE kind <> 'signup')
 SELECT event_id AS request_id, (max(done) IS NULL) AS timed_out, count(done) AS n_done
 FROM log LEFT JOIN done ON request_id = event_id AND done >= t AND done <= t + 3600000000
 GROUP BY event_id""")
@@ -98,18 +98,18 @@ WAVES = 3
 
 
 @query("stream_late_drop", f"""WITH {LOG},
-e AS (SELECT t, least((t + k * 3600000000 * 3 - lo) * {WAVES} // (hi - lo + 1), {WAVES - 1}) AS wave
+e AS (SELECT t, least((t + k * 3600000000::BIGINT * 3 - lo) * {WAVES} // (hi - lo + 1), {WAVES - 1}) AS wave
       FROM log, (SELECT min(t) AS lo, max(t) AS hi FROM log)),
 wm AS (SELECT wave, max(t) AS top FROM e GROUP BY wave),
-kept AS (SELECT e.t FROM e LEFT JOIN (SELECT w.wave + 2 AS wave, max(p.top) - 7200000000 AS wm
+kept AS (SELECT e.t FROM e LEFT JOIN (SELECT w.wave + 1 AS wave, max(p.top) - 7200000000 AS wm
                                       FROM wm w JOIN wm p ON p.wave <= w.wave GROUP BY w.wave) m USING (wave)
          WHERE wm IS NULL OR (t // {HOUR_US} + 1) * {HOUR_US} > wm // 1000 * 1000)
 SELECT make_timestamp(t // {HOUR_US} * {HOUR_US}) AS start, count(*) AS n FROM kept GROUP BY t // {HOUR_US}""")
 def stream_late_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events arrive up to twelve days late, in waves of one file each.
+    """Events arrive up to twelve days late, in waves that are drained in turn.
 
-    A wave is dropped where its windows ended before the watermark that held
-    when the wave before it was planned.
+    A row is dropped if its window had ended before the watermark that the
+    earlier waves left behind.
     """
     ev = table(spark, sf_dir, "events").select(
         F.col("ts").cast("timestamp").alias("ts"), F.get_json_object("props", "$.k").cast("int").alias("k"))
@@ -118,7 +118,10 @@ def stream_late_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     arrival = F.expr(f"(unix_micros(ts) + k * 3600000000L * 3 - {span['lo']}L) * {WAVES} div {span['hi'] - span['lo'] + 1}L")
     staged = ev.withColumn("wave", F.least(arrival, F.lit(WAVES - 1)))
     inbox = scratch_path(spark, "waves")
-    for w in range(WAVES):
-        staged.where(F.col("wave") == w).select("ts").coalesce(1).write.mode("append").parquet(inbox)
-    stream = file_stream(spark, inbox, "ts timestamp", max_files_per_trigger=1)
-    return drain_update(J.windowed_counts(stream, "ts", "1 hour", "2 hours"), ["start"]).select(plain("start"), "n")
+    staged.select("ts").limit(0).write.parquet(inbox)
+
+    def release(wave: int):
+        return lambda: staged.where(F.col("wave") == wave).select("ts").write.mode("append").parquet(inbox)
+
+    counts = J.windowed_counts(file_stream(spark, inbox, "ts timestamp"), "ts", "1 hour", "2 hours")
+    return drain_update(counts, ["start"], [release(w) for w in range(WAVES)]).select(plain("start"), "n")

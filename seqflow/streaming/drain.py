@@ -35,9 +35,13 @@ def drain_append(stream: DataFrame, checkpoint: str | None = None, path: str | N
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def drain_update(stream: DataFrame, keys: Sequence[str]) -> DataFrame:
+def drain_update(stream: DataFrame, keys: Sequence[str],
+                 releases: Sequence[Callable[[], None]] = ()) -> DataFrame:
     """Run in update mode and keep the newest row of each key.
 
+    Each of ``releases`` puts further files in place; the same query is then
+    drained again, going on from its checkpoint.
+
     Every micro-batch appends only the groups it changed, under its batch id,
     so a replayed batch overwrites itself and nothing waits for the watermark.
     """
@@ -47,7 +51,10 @@ def drain_update(stream: DataFrame, keys: Sequence[str]) -> DataFrame:
     def save(df: DataFrame, batch_id: int) -> None:
         df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-    run_batches(stream, save, "update")
+    checkpoint = scratch_path(spark, "stream-ckpt")
+    for release in releases or [lambda: None]:
+        release()
+        run_batches(stream, save, "update", checkpoint)
     rows = spark.read.parquet(path)
     values = [c for c in stream.columns if c not in keys]
     newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("_v"))
