@@ -33,7 +33,7 @@ TOTALS = """totals AS (
 
 def packed_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = seqs(spark, sf_dir).select("source", "doc_id", F.length("seq").alias("n"))
-    out = pack(rows.where(F.col("n") > 0), "doc_id", "n", BUDGET, ["source"])
+    out = pack(rows, "doc_id", "n", BUDGET, ["source"])
     return out.withColumn("n_tokens", F.least(F.col("n") + S.SPECIAL_TOKENS, F.lit(S.MAX_TOKENS)))
 
 
@@ -77,7 +77,7 @@ run AS (SELECT doc_id, n, coalesce(sum(n) OVER (ORDER BY doc_id ROWS BETWEEN UNB
 SELECT doc_id, n::INTEGER AS n, seen::BIGINT AS seen FROM run WHERE seen <= total // 2""")
 def budget_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stop after half of all residues have been produced."""
-    rows = seqs(spark, sf_dir).select("doc_id", F.length("seq").alias("n"))
+    rows = seqs(spark, sf_dir, keep_empty=True).select("doc_id", F.length("seq").alias("n"))
     total = rows.agg(F.sum("n")).first()[0]
     return batching.budget_cutoff(rows, "doc_id", F.col("n"), total // 2)
 

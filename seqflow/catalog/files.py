@@ -22,7 +22,7 @@ SELECT 'doc_' || doc_id AS seq_id, length(seq)::INTEGER AS length, seq FROM seqs
 def fasta_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write wrapped records, empty ones included; blank records drop on reading."""
     name = F.concat(F.lit("doc_"), F.col("doc_id"))
-    path = fasta.write_fasta(seqs(spark, sf_dir), name, wrap=60)
+    path = fasta.write_fasta(seqs(spark, sf_dir, keep_empty=True), name, wrap=60)
     return fasta.read_fasta(spark, path).select("seq_id", F.length("seq").alias("length"), "seq")
 
 

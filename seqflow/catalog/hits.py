@@ -79,7 +79,7 @@ scored AS (SELECT doc_id, source, seq, coalesce(a, 0.0)::FLOAT AS reward FROM se
 
 def scored_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = M.mean_scores(label_scores(spark, sf_dir), "score")
-    return M.attach_scores(seqs(spark, sf_dir).select("doc_id", "source", "seq"), scores, "doc_id")
+    return M.attach_scores(seqs(spark, sf_dir, keep_empty=True).select("doc_id", "source", "seq"), scores, "doc_id")
 
 
 @query("score_attach", f"WITH {SCORED} SELECT doc_id, reward FROM scored")
@@ -91,7 +91,7 @@ def score_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
 WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)""")
 def select_by_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = table(spark, sf_dir, "labels").where("quality = 1")
-    return M.keep_listed(seqs(spark, sf_dir).select("doc_id", "seq"), good, "doc_id")
+    return M.keep_listed(seqs(spark, sf_dir, keep_empty=True).select("doc_id", "seq"), good, "doc_id")
 
 
 POPULATION = f"""{SCORED},
@@ -163,7 +163,7 @@ SELECT 1 AS round, doc_id, length(seq)::INTEGER AS length, round(a, 6) AS mean_s
       lambda i: substr(seq, i, 1) <> substr(w, i, 1)))::INTEGER AS substitutions
 FROM seqs LEFT JOIN near USING (doc_id) LEFT JOIN score USING (doc_id), wt WHERE length(seq) > 0""")
 def seq_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = seqs(spark, sf_dir).where(F.length("seq") > 0).select("doc_id", "seq")
+    docs = seqs(spark, sf_dir).select("doc_id", "seq")
     bench = bench_seqs(spark, sf_dir)
     dist = nearest_distances(docs.select("doc_id", S.composition("seq").alias("embedding")),
                              bench.select(S.composition("seq").alias("embedding")), "doc_id")

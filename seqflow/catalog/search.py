@@ -68,7 +68,7 @@ iw AS (SELECT goal, doc_id, word FROM iw0 JOIN inp USING (doc_id))"""
 
 
 def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = seqs(spark, sf_dir).where(F.length("seq") > 0)
+    docs = seqs(spark, sf_dir)
     return docs.select(F.col("lang").alias("goal"), "doc_id",
                        F.concat(F.lit("doc_"), "doc_id").alias("seq_id"), "seq")
 
@@ -78,8 +78,7 @@ SELECT goal, seq_id, md5(seq) AS seq_md5, round(reward::DOUBLE, 4) AS reward, rn
 def evolve_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     inputs = materialize(targets(spark, sf_dir), "inputs")
     length = length_stats(inputs, ["goal"]).select("goal", F.floor("q2").cast("int").alias("length"))
-    index = M.build_index(inputs, "seq_id", k=K, by=["goal"])
-    index = M.WordIndex(materialize(index.words), materialize(index.members), K, ["goal"])
+    index = M.build_index(inputs, "seq_id", k=K, by=["goal"], store=True)
     best = evolve(inputs, "doc_id", length, index_scorer(index), STEPS, BATCH, BEST, MUTATIONS, SEED)
     return best.select("goal", "seq_id", F.md5("seq").alias("seq_md5"),
                        F.round(F.col("reward").cast("double"), 4).alias("reward"), "pos")

@@ -20,18 +20,16 @@ SEQS = f"seqs AS (SELECT doc_id, lang, source, {CLEAN} AS seq FROM documents)"
 CODES = f"list_transform(range(1, length(seq) + 1), lambda i: strpos('{S.ALPHABET}', substr(seq, i, 1)) - 1)"
 
 
-def seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread(table(spark, sf_dir, "documents"), "doc_id")
-    return docs.select("doc_id", "lang", "source", S.clean("text").alias("seq"))
-
-
-def r6_list(c: str) -> str:
-    return f"list_transform({c}, lambda v: round(v, 6))"
+def seqs(spark: SparkSession, sf_dir: str, keep_empty: bool = False) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    if not keep_empty:
+        docs = docs.where(S.has_residue("text"))
+    return spread(docs, "doc_id").select("doc_id", "lang", "source", S.clean("text").alias("seq"))
 
 
 @query("seq_clean", f"WITH {SEQS} SELECT doc_id, seq FROM seqs WHERE length(seq) > 0")
 def seq_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return seqs(spark, sf_dir).where(F.length("seq") > 0).select("doc_id", "seq")
+    return seqs(spark, sf_dir).select("doc_id", "seq")
 
 
 @query("seq_fixed_len", f"""WITH {SEQS}
@@ -102,7 +100,7 @@ def seq_truncate_median(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("drop_oversize", f"WITH {SEQS} SELECT doc_id, length(seq)::INTEGER AS n FROM seqs WHERE length(seq) <= {BUDGET}")
 def drop_oversize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.drop_oversize(seqs(spark, sf_dir), BUDGET).select("doc_id", F.length("seq").alias("n"))
+    return stats.drop_oversize(seqs(spark, sf_dir, keep_empty=True), BUDGET).select("doc_id", F.length("seq").alias("n"))
 
 
 WORDS = "regexp_replace(upper(replace(text, 'ß', 'ss')), '[\\s.,]', '', 'g')"
@@ -134,7 +132,7 @@ SELECT lang, count(*) AS num_seqs, sum(len)::BIGINT AS sum_len, min(len)::INTEGE
        max(CASE WHEN r * 2 >= total THEN len END)::INTEGER AS n50
 FROM run GROUP BY lang""")
 def seq_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = seqs(spark, sf_dir).where(F.length("seq") > 0)
+    rows = seqs(spark, sf_dir)
     s = stats.length_stats(rows, ["lang"])
     return s.select("lang", "num_seqs", "sum_len", "min_len", r6("avg_len", "avg_len"), "max_len",
                     r6("q1", "q1"), r6("q2", "q2"), r6("q3", "q3"), "n50")

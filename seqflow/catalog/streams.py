@@ -89,8 +89,8 @@ def stream_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_token_batches", f"WITH RECURSIVE {PACKED} SELECT source, doc_id, n::BIGINT AS n, batch_no FROM packed")
 def stream_token_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table_stream(spark, sf_dir, "documents").select(
-        "source", "doc_id", F.length(S.clean("text")).alias("n")).where("n > 0")
+    docs = table_stream(spark, sf_dir, "documents").where(S.has_residue("text")).select(
+        "source", "doc_id", F.length(S.clean("text")).alias("n"))
     return J.pack_stream(docs, "doc_id", "n", BUDGET, ["source"])
 
 

@@ -22,6 +22,15 @@ def clean(c: Column | str) -> Column:
     return F.regexp_replace(F.upper(_col(c)), f"[^{ALPHABET}]+", "")
 
 
+def has_residue(c: Column | str) -> Column:
+    """True if cleaning leaves anything; stops at the first letter it finds.
+
+    Filter on this ahead of ``clean``: a filter on the cleaned text would be
+    pushed down and clean every row twice.
+    """
+    return F.upper(_col(c)).rlike(f"[{ALPHABET}]")
+
+
 def has_invalid(c: Column | str) -> Column:
     """True if any character lies outside the alphabet."""
     return _col(c).rlike(f"[^{ALPHABET}]")
@@ -83,7 +92,6 @@ def hash32(*parts: Column | int | str) -> Column:
 
 def substitutions(a: Column | str, b: Column | str) -> Column:
     """Positions at which two sequences differ, over the shorter length."""
-    x, y = F.split(_col(a), ""), F.split(_col(b), "")
-    pairs = F.arrays_zip(x.alias("x"), y.alias("y"))
     n = F.least(F.length(_col(a)), F.length(_col(b)))
-    return F.size(F.filter(F.slice(pairs, F.lit(1), n), lambda p: p["x"] != p["y"]))
+    x, y = (F.split(F.substring(_col(c), F.lit(1), n), "") for c in (a, b))
+    return F.size(F.filter(F.arrays_zip(x.alias("x"), y.alias("y")), lambda p: p["x"] != p["y"]))

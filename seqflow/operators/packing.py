@@ -22,6 +22,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from seqflow.operators.ordered import CHUNK, CHUNK_ROWS, MAX_CHUNKS, chunked
@@ -110,16 +111,19 @@ def pack_with_state(rows: DataFrame, order: str, size: str, budget: int, by: Seq
     fields = {f.name: f.dataType.simpleString() for f in rows.schema}
     narrow = rows.select(*by, F.col(order).cast("bigint").alias(order), size)
     cut = chunked(narrow, order, chunk_rows, max_chunks)
-    cut = (cut.where(F.col(size) <= budget)
-           .select(_lane_struct(by).alias("_lane"), CHUNK, *by, order,
-                   F.col(size).cast("bigint").alias(size)))
+    cut = cut.select(_lane_struct(by).alias("_lane"), CHUNK, *by, order,
+                     F.col(size).cast("bigint").alias(size))
     lanes = ", ".join(f"`{c}` {fields[c]}" for c in by)
     lanes = f"{lanes}, " if lanes else ""
 
+    def fitting(t: pa.Table) -> pa.Table:
+        # Not a plan filter: that would be pushed down and compute ``size`` twice.
+        return t.filter(pc.less_equal(t[size], budget)).sort_by(order)
+
     def summarize(t: pa.Table) -> pa.Table:
-        t = t.sort_by(order)
-        froms, exits, opened = transfer_steps(t[size].to_numpy(), budget)
         head = t.slice(0, 1)
+        t = fitting(t)
+        froms, exits, opened = transfer_steps(t[size].to_numpy(), budget)
         cols = {c: head[c] for c in ["_lane", CHUNK, *by]}
         steps = {"froms": froms, "exits": exits, "opened": opened}
         return pa.table({**cols, **{k: pa.array([v], pa.list_(pa.int64())) for k, v in steps.items()}})
@@ -160,7 +164,7 @@ def pack_with_state(rows: DataFrame, order: str, size: str, budget: int, by: Seq
         walk, f"_lane string, {CHUNK} int, {lanes}used bigint, no bigint, final boolean")
 
     def replay(t: pa.Table, e: pa.Table) -> pa.Table:
-        t = t.sort_by(order)
+        t = fitting(t)
         cols = [*by, order, size]
         if not len(t):
             return t.select(cols).append_column("batch_no", pa.array([], pa.int64()))

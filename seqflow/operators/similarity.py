@@ -7,59 +7,79 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from seqflow.functions import sequences as S
-from seqflow.operators.ordered import join_on
+from seqflow.session import materialize
 
 DEFAULT_K = 7
+BROADCAST_WORDS = 1_000_000
 
 
 class WordIndex:
-    """The words of a target set, grouped into classes with equal target lists.
+    """The words of a target set: ``postings(by..., word, target)``, distinct."""
 
-    ``words(word, c1, c2)`` has one row per distinct word; ``members(c1, c2,
-    target)`` says which targets a class stands for. A class is named by an
-    order-free 128-bit fingerprint of its targets (xor of two hashes), which
-    partial aggregation can build, so no target list is ever collected. A word
-    that every target holds is still one row here.
-    """
+    def __init__(self, postings: DataFrame, k: int, by: Sequence[str] = ()):
+        self.postings, self.k, self.by = postings, k, list(by)
+
+    def classes(self) -> tuple[DataFrame, DataFrame]:
+        """Words grouped into classes with equal target lists.
 
-    def __init__(self, words: DataFrame, members: DataFrame, k: int, by: Sequence[str] = ()):
-        self.words, self.members, self.k, self.by = words, members, k, list(by)
+        ``words(by..., word, c1, c2)`` has one row per distinct word;
+        ``members(by..., c1, c2, target)`` says which targets a class stands
+        for. A class is named by an order-free 128-bit fingerprint of its
+        targets (xor of two hashes), which partial aggregation can build, so no
+        target list is ever collected. A word that every target holds is still
+        one row of ``words``.
+        """
+        t = F.col("target")
+        keys = [*self.by, "word"]
+        words = self.postings.groupBy(*keys).agg(F.bit_xor(F.xxhash64(t)).alias("c1"),
+                                                 F.bit_xor(F.xxhash64(t, F.lit(1))).alias("c2"))
+        members = self.postings.join(words, keys).select(*self.by, "c1", "c2", "target").distinct()
+        return words, members
 
 
 def build_index(targets: DataFrame, id_col: str = "id", seq_col: str = "seq", k: int = DEFAULT_K,
-                by: Sequence[str] = ()) -> WordIndex:
+                by: Sequence[str] = (), store: bool = False) -> WordIndex:
     """Build once, search many times; ``by`` keeps several target sets apart.
 
+    ``store`` writes the index out, for use by more than one search.
     ``explode_outer`` keeps the optimizer from adding a filter that would
     evaluate the word extraction a second time.
     """
     rows = targets.select(*by, F.col(id_col).alias("target"), F.explode_outer(S.kmers(seq_col, k)).alias("word"))
     rows = rows.where(F.col("word").isNotNull())
-    t = F.col("target")
-    words = rows.groupBy(*by, "word").agg(F.bit_xor(F.xxhash64(t)).alias("c1"),
-                                     F.bit_xor(F.xxhash64(t, F.lit(1))).alias("c2"))
-    members = rows.join(words, [*by, "word"]).select(*by, "c1", "c2", "target").distinct()
-    return WordIndex(words, members, k, by)
+    return WordIndex(materialize(rows, "index") if store else rows, k, by)
 
 
-def search(queries: DataFrame, index: WordIndex, id_col: str = "id", seq_col: str = "seq") -> DataFrame:
-    """``(query, target, shared, fident)`` for every pair sharing a word.
+def search(queries: DataFrame, index: WordIndex, id_col: str = "id", seq_col: str = "seq",
+           few_queries: bool = False) -> DataFrame:
+    """``(by..., query, target, shared, fident)`` for every pair sharing a word.
 
     ``shared`` counts distinct common words, ``fident`` divides it by the
-    query's distinct words. Each query word matches at most one index row; hits
+    query's distinct words. Each query word matches at most one class row; hits
     are counted per (query, class) before classes open up to targets, so words
     common to many targets do not multiply rows early. Spark broadcasts the
     index only while its measured size allows.
+
+    ``few_queries`` says the query set may be the small side: its residues are
+    counted, and within ``BROADCAST_WORDS`` the query words travel to the
+    postings instead, which are neither grouped nor moved.
     """
-    # The size is taken before the explode, or each word row would carry the array.
     by = index.by
     words = queries.select(*by, F.col(id_col).alias("query"), S.kmers(seq_col, index.k).alias("_w"))
+    # The size is taken before the explode, or each word row would carry the array.
     sized = words.select(*by, "query", F.size("_w").alias("n_words"), "_w")
     exploded = sized.select(*by, "query", "n_words", F.explode_outer("_w").alias("word"))
-    per_class = (exploded.join(index.words, [*by, "word"])
-                 .groupBy(*by, "query", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.first("n_words").alias("n_words")))
-    hits = (per_class.join(index.members, [*by, "c1", "c2"]).groupBy(*by, "query", "target")
-            .agg(F.sum("n").cast("bigint").alias("shared"), F.max("n_words").alias("n_words")))
+    keys = [*by, "word"]
+    if few_queries and (queries.agg(F.sum(F.length(seq_col))).first()[0] or 0) <= BROADCAST_WORDS:
+        found = index.postings.join(F.broadcast(exploded), keys)
+        counted = F.count(F.lit(1))
+    else:
+        class_words, members = index.classes()
+        per_class = (exploded.join(class_words, keys).groupBy(*by, "query", "c1", "c2")
+                     .agg(F.count(F.lit(1)).alias("n"), F.first("n_words").alias("n_words")))
+        found = per_class.join(members, [*by, "c1", "c2"])
+        counted = F.sum("n").cast("bigint")
+    hits = found.groupBy(*by, "query", "target").agg(counted.alias("shared"), F.max("n_words").alias("n_words"))
     return hits.select(*by, "query", "target", "shared", (F.col("shared") / F.col("n_words")).alias("fident"))
 
 

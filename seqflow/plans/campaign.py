@@ -50,8 +50,7 @@ def run_campaign(inputs: DataFrame, wild_type: Column, cfg: Settings = Settings(
     base = materialize(inputs.select("goal", "seq_id", order, "seq", cfg.embed("seq").alias("embedding")), "inputs")
     length = stats.length_stats(base, by).select("goal", F.floor("q2").cast("int").alias("length"))
     length = materialize(length, "lengths")
-    index = M.build_index(base, "seq_id", k=cfg.k, by=by)
-    index = M.WordIndex(materialize(index.words, "words"), materialize(index.members, "members"), cfg.k, by)
+    index = M.build_index(base, "seq_id", k=cfg.k, by=by, store=True)
     first_ref = base.select("goal", "seq_id", "embedding")
 
     start, start_order = base, order
@@ -64,7 +63,7 @@ def run_campaign(inputs: DataFrame, wild_type: Column, cfg: Settings = Settings(
         clean = stats.drop_invalid(cut)
         gen = materialize(clean.select("goal", "seq_id", "seq", cfg.embed("seq").alias("embedding")), "generated")
 
-        hits = materialize(M.search(gen, index, "seq_id"), "hits")
+        hits = materialize(M.search(gen, index, "seq_id", few_queries=True), "hits")
         reference = previous_round_reference(
             first_ref, None if selected is None else selected.select("goal", "seq_id", "embedding", "round"))
         reference = reference.where(F.col("round") == r)

@@ -20,11 +20,12 @@ def embedding_job(seqs: DataFrame, budget: int, by: Sequence[str], order: str, s
     Packing moves only ids and lengths; the text is shuffled once, to its batch.
     """
     by = list(by)
-    fit = seqs.where((F.length(seq_col) > 0) & (F.length(seq_col) <= budget))
-    plan = pack(fit.select(*by, order, F.length(seq_col).alias("n")), order, "n", budget, by, **packing)
+    lengths = seqs.select(*by, order, F.length(seq_col).alias("n"))
+    # Empty rows never change a batch, so they can go after packing.
+    plan = pack(lengths, order, "n", budget, by, **packing).where(F.col("n") > 0)
     if max_saved_batch_no is not None:
         plan = plan.where(F.col("batch_no") <= max_saved_batch_no)
-    rows = fit.select(order, seq_col).join(plan.select(*by, order, "n", "batch_no"), order)
+    rows = seqs.select(order, seq_col).join(plan.select(*by, order, "batch_no"), order)
     vectors = embed_batches(rows, by, order, seq_col, make_predict_fn)
     tokens = plan.select(order, F.least(F.col("n") + S.SPECIAL_TOKENS, F.lit(S.MAX_TOKENS)).cast("int").alias("n_tokens"))
     return read_embeddings(seqs.sparkSession, write_embeddings(vectors.join(tokens, order), path))

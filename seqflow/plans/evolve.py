@@ -48,7 +48,7 @@ def propose(population: DataFrame, sizes: DataFrame, step: int, batch_size: int,
 
 def index_scorer(index: M.WordIndex, score: str = "shared") -> Scorer:
     """Default scorer: mean number of shared words with the target's inputs."""
-    return lambda cand: M.mean_scores(M.search(cand, index), score, ["goal"])
+    return lambda cand: M.mean_scores(M.search(cand, index, few_queries=True), score, ["goal"])
 
 
 def evolve(start: DataFrame, order: str, length: DataFrame, scorer: Scorer, steps: int, batch_size: int,

@@ -85,7 +85,7 @@ def windowed_counts(events: DataFrame, ts: str, interval: str, delay: str) -> Da
 
 def embed_stream(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Clean, drop empty ones, embed: the stateless part of an embedding service."""
-    seqs = docs.select(id_col, S.clean(text_col).alias("seq")).where(F.length("seq") > 0)
+    seqs = docs.where(S.has_residue(text_col)).select(id_col, S.clean(text_col).alias("seq"))
     return seqs.select(id_col, F.length("seq").alias("n"), S.composition("seq").alias("embedding"))
 
 
@@ -104,6 +104,7 @@ def pack_stream(seqs: DataFrame, order: str, size: str, budget: int, by: Sequenc
 
     def step(df: DataFrame, batch_id: int) -> None:
         session = df.sparkSession
+        df = df.persist()  # ids and lengths only; several passes read them
         carry = None
         if batch_id:
             carry = session.read.parquet(f"{state}/after={batch_id - 1}")
@@ -113,6 +114,7 @@ def pack_stream(seqs: DataFrame, order: str, size: str, budget: int, by: Sequenc
             idle = carry.join(df.select(*by).distinct(), list(by), "left_anti")
             after = after.unionByName(idle)
         after.write.mode("overwrite").parquet(f"{state}/after={batch_id}")
+        df.unpersist()
 
     run_batches(seqs.select(*by, order, size), step)
     schema = f"{lanes}, `{order}` bigint, `{size}` bigint, batch_no bigint, batch_id int"

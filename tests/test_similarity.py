@@ -28,10 +28,12 @@ def words(s):
     return {s[i:i + K] for i in range(len(s) - K + 1)}
 
 
-def test_search_is_complete(spark, sets):
+@pytest.mark.parametrize("few", [False, True])
+@pytest.mark.parametrize("store", [False, True])
+def test_search_is_complete(spark, sets, few, store):
     targets, queries = sets
-    index = M.build_index(spark.createDataFrame(list(targets.items()), "id string, seq string"), k=K)
-    hits = M.search(spark.createDataFrame(list(queries.items()), "id long, seq string"), index).collect()
+    index = M.build_index(spark.createDataFrame(list(targets.items()), "id string, seq string"), k=K, store=store)
+    hits = M.search(spark.createDataFrame(list(queries.items()), "id long, seq string"), index, few_queries=few).collect()
     want = {(q, t): len(words(a) & words(b)) for q, a in queries.items() for t, b in targets.items()
             if words(a) & words(b)}
     assert {(r["query"], r.target): r.shared for r in hits} == want
