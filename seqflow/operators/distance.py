@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from seqflow.functions.vectors import cosine_distance, l2_distance
 from seqflow.operators.ordered import join_on
+from seqflow.session import materialize
 
 BROADCAST_BYTES = 64 << 20
 BLOCK_ROWS = 4096
@@ -57,6 +58,17 @@ def _nearest(a: np.ndarray, r: np.ndarray, reduction: str) -> tuple[np.ndarray,
     return cos_out, l2_out
 
 
+def _rows_by_key(keys: pa.Array) -> list[tuple[str, np.ndarray]]:
+    """Row numbers of each key, by one sort."""
+    codes = keys.dictionary_encode()
+    if isinstance(codes, pa.ChunkedArray):
+        codes = codes.combine_chunks()
+    number = codes.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(number, kind="stable")
+    parts = np.split(order, np.flatnonzero(np.diff(number[order])) + 1)
+    return [(codes.dictionary[int(number[p[0]])].as_py(), p) for p in parts if len(p)]
+
+
 def _key(by: Sequence[str]) -> Column:
     return F.to_json(F.struct(*by), {"ignoreNullFields": "false"}) if by else F.lit("")
 
@@ -65,22 +77,18 @@ def _small_reference(cand: DataFrame, ref: DataFrame, vec_col: str, by: list[str
                      reduction: str) -> DataFrame:
     table = ref.select(_key(by).alias("k"), F.col(vec_col).cast("array<double>").alias("v")).toArrow()
     blocks: dict[str, np.ndarray] = {}
-    keys = np.asarray(table["k"].to_pylist(), dtype=object)
-    if len(keys):
+    if len(table):
         vectors = _matrix(table["v"])
-        for k in set(keys):
-            rows = vectors[keys == k]
-            blocks[k] = np.unique(rows, axis=0) if reduction == "min" else rows
+        for k, at in _rows_by_key(table["k"]):
+            blocks[k] = np.unique(vectors[at], axis=0) if reduction == "min" else vectors[at]
     shared = cand.sparkSession.sparkContext.broadcast(blocks)
 
     @F.arrow_udf(_RESULT)
     def nearest(k: pa.Array, v: pa.Array) -> pa.Array:
         cos, l2 = np.full(len(v), np.nan), np.full(len(v), np.nan)
         x, known = _matrix(v), shared.value
-        names = np.asarray(k.to_pylist(), dtype=object)
-        for name in set(names):
+        for name, at in _rows_by_key(k):
             if name in known:
-                at = np.flatnonzero(names == name)
                 cos[at], l2[at] = _nearest(x[at], known[name], reduction)
         return pa.StructArray.from_arrays(
             [pa.array(cos, from_pandas=True), pa.array(l2, from_pandas=True)], ["cos", "l2"])
@@ -94,7 +102,9 @@ def _block_grid(cand: DataFrame, ref: DataFrame, id_col: str, vec_col: str, by:
     (candidate block, reference block) cell, and cells merge by id."""
     vec = F.col(vec_col).cast("array<double>").alias("v")
     left = cand.select(_key(by).alias("k"), F.col(id_col).alias("id"), vec)
-    right = ref.select(_key(by).alias("k"), F.monotonically_increasing_id().alias("rid"), vec)
+    # Stored, so that a retried task sees the same row numbers. They, not the
+    # vectors, choose the block: copies of one vector spread over all blocks.
+    right = materialize(ref.select(_key(by).alias("k"), F.monotonically_increasing_id().alias("rid"), vec), "reference")
 
     def blocks(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy("k").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias(name))
@@ -108,7 +118,7 @@ def _block_grid(cand: DataFrame, ref: DataFrame, id_col: str, vec_col: str, by:
                 .drop("nc", "nr"))
 
     cells_l = place(left, F.col("id"), "cb", "rb", "nc", "nr")
-    cells_r = place(right, F.col("v").cast("string"), "rb", "cb", "nr", "nc").drop("rid")
+    cells_r = place(right, F.col("rid"), "rb", "cb", "nr", "nc").drop("rid")
 
     def cell(a: pa.Table, r: pa.Table) -> pa.Table:
         if not len(a) or not len(r):

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType
@@ -70,8 +71,11 @@ def _batch_bounds(t: pa.Table, keys: list[str]) -> list[int]:
     change = np.zeros(len(t), bool)
     change[0] = True
     for k in keys:
-        v = np.asarray(t[k].to_pylist(), dtype=object)
-        change[1:] |= v[1:] != v[:-1]
+        col = t[k].combine_chunks()
+        here, before = col.slice(1), col.slice(0, len(t) - 1)
+        moved = pc.or_(pc.fill_null(pc.not_equal(here, before), False),
+                       pc.xor(pc.is_null(here), pc.is_null(before)))
+        change[1:] |= moved.to_numpy(zero_copy_only=False)
     return [*np.flatnonzero(change).tolist(), len(t)]
 
 

@@ -46,8 +46,9 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder; nothing is created yet."""
-    return f"{scratch_root(spark)}/seqflow/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the application's own part of the shared folder."""
+    app = spark.sparkContext.applicationId
+    return f"{scratch_root(spark)}/seqflow/{app}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
