@@ -28,6 +28,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # Stored times carry no zone; SQL reads them as UTC.
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 

@@ -25,7 +25,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from seqflow.operators.ordered import CHUNK, CHUNK_ROWS, MAX_CHUNKS, chunked
+from seqflow.operators.ordered import (CHUNK, CHUNK_ROWS, MAX_CHUNKS, chunk_bounds, join_on,
+                                       with_chunk)
 
 
 def _chain_starts(prefix: np.ndarray, first: int, budget: int) -> list[int]:
@@ -110,7 +111,13 @@ def pack_with_state(rows: DataFrame, order: str, size: str, budget: int, by: Seq
     by = list(by)
     fields = {f.name: f.dataType.simpleString() for f in rows.schema}
     narrow = rows.select(*by, F.col(order).cast("bigint").alias(order), size)
-    cut = chunked(narrow, order, chunk_rows, max_chunks)
+    bounds = chunk_bounds(narrow, order, chunk_rows, max_chunks)
+    cut = with_chunk(narrow, order, bounds)
+    if by and bounds:  # only lanes that need it are cut; the many short ones stay whole
+        long_lanes = (narrow.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+                      .where(F.col("_n") > chunk_rows))
+        cut = join_on(cut, long_lanes, by).withColumn(
+            CHUNK, F.when(F.col("_n").isNull(), 0).otherwise(F.col(CHUNK))).drop("_n")
     cut = cut.select(_lane_struct(by).alias("_lane"), CHUNK, *by, order,
                      F.col(size).cast("bigint").alias(size))
     lanes = ", ".join(f"`{c}` {fields[c]}" for c in by)
@@ -132,8 +139,7 @@ def pack_with_state(rows: DataFrame, order: str, size: str, budget: int, by: Seq
         summarize, f"_lane string, {CHUNK} int, {lanes}froms array<bigint>, exits array<bigint>, "
                    "opened array<bigint>")
     if carry is None:
-        starts = summaries.select("_lane", F.lit(0).cast("bigint").alias("used0"),
-                                  F.lit(0).cast("bigint").alias("no0")).limit(0)
+        starts = rows.sparkSession.createDataFrame([], "_lane string, used0 bigint, no0 bigint")
     else:
         starts = carry.select(_lane_struct(by).alias("_lane"),
                               F.col("used").cast("bigint").alias("used0"),
