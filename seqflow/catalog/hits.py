@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from seqflow.catalog.batches import BENCH, bench_seqs
 from seqflow.catalog.registry import query, table
@@ -141,7 +141,6 @@ SELECT source, doc_id, reward FROM good
 UNION ALL SELECT source, doc_id, reward FROM firsts WHERE source NOT IN (SELECT source FROM good)""")
 def fallback_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long documents with a full score; a source without any falls back to its first three."""
-    from pyspark.sql import Window as W
     scored = scored_docs(spark, sf_dir)
     good = scored.where((F.col("reward") >= 0.99) & (F.length("seq") > 4000))
     first = F.row_number().over(W.partitionBy("source").orderBy("doc_id"))

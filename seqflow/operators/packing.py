@@ -6,8 +6,8 @@ so a lane is cut into chunks of consecutive rows and three steps are run:
 
 1. per (lane, chunk), in parallel: for every possible fill level of the batch
    that is open when the chunk starts, the fill level at its end and the number
-   of batches opened. This is a step function with few steps, because chains
-   from different starts soon meet.
+   of batches opened. This is a step function with at most ``budget`` steps,
+   and mostly very few, because chains from different starts soon meet.
 2. per lane: walk its chunk summaries (at most ``max_chunks``) to get each
    chunk's true entry state.
 3. per (lane, chunk), in parallel: replay with the known entry state.

@@ -36,11 +36,12 @@ def drain_append(stream: DataFrame, checkpoint: str | None = None, path: str | N
 
 
 def drain_update(stream: DataFrame, keys: Sequence[str],
-                 releases: Sequence[Callable[[], None]] = ()) -> DataFrame:
+                 releases: Sequence[Callable[[], None]] = (), reports: list | None = None) -> DataFrame:
     """Run in update mode and keep the newest row of each key.
 
     Each of ``releases`` puts further files in place; the same query is then
-    drained again, going on from its checkpoint.
+    drained again, going on from its checkpoint. Progress reports are added to
+    ``reports`` if given.
 
     Every micro-batch appends only the groups it changed, under its batch id,
     so a replayed batch overwrites itself and nothing waits for the watermark.
@@ -54,7 +55,9 @@ def drain_update(stream: DataFrame, keys: Sequence[str],
     checkpoint = scratch_path(spark, "stream-ckpt")
     for release in releases or [lambda: None]:
         release()
-        run_batches(stream, save, "update", checkpoint)
+        progress = run_batches(stream, save, "update", checkpoint)
+        if reports is not None:
+            reports.extend(progress)
     rows = spark.read.parquet(path)
     values = [c for c in stream.columns if c not in keys]
     newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("_v"))
@@ -62,10 +65,15 @@ def drain_update(stream: DataFrame, keys: Sequence[str],
 
 
 def run_batches(stream: DataFrame, fn: Callable[[DataFrame, int], None], mode: str = "append",
-                checkpoint: str | None = None) -> list[dict]:
+                checkpoint: str | None = None) -> list:
     """Drain through ``foreachBatch``; returns the progress reports."""
     q = (stream.writeStream.foreachBatch(fn).outputMode(mode)
          .option("checkpointLocation", checkpoint or scratch_path(stream.sparkSession, "stream-ckpt"))
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return [p.__dict__ if hasattr(p, "__dict__") else p for p in q.recentProgress]
+    return list(q.recentProgress)
+
+
+def dropped_rows(reports: Sequence) -> int:
+    """Rows (after partial aggregation) that stateful operators refused as too late."""
+    return sum(op.numRowsDroppedByWatermark for p in reports for op in p.stateOperators)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from seqflow.operators.packing import pack
 from seqflow.session import scratch_path
 from seqflow.streaming import jobs as J
-from seqflow.streaming.drain import drain_append, drain_update, file_stream
+from seqflow.streaming.drain import drain_append, drain_update, dropped_rows, file_stream
 
 
 def stage(df, parts):
@@ -73,6 +73,8 @@ def test_late_rows_are_dropped(spark):
         return lambda: df.where(cond).select("ts").write.mode("append").parquet(path)
 
     counts = J.windowed_counts(file_stream(spark, path, "ts timestamp"), "ts", "10 minutes", "30 minutes")
-    got = drain_update(counts, ["start"], [release("id >= 100 AND id < 200"), release("id < 100 OR id >= 200")])
+    reports = []
+    got = drain_update(counts, ["start"], [release("id >= 100 AND id < 200"), release("id < 100 OR id >= 200")], reports)
+    assert dropped_rows(reports) > 0
     total = got.agg(F.sum("n")).first()[0]
     assert 200 <= total < 300
