@@ -3,14 +3,16 @@
 import pytest
 
 import __spark_entry__ as entry
+from seqflow import catalog
 
 CHEAP = ["most_distant", "multi_target", "seq_stats", "token_batches", "kmer_search", "seq_records", "best_n", "inflight",
          "interval_rates", "fasta_scan", "telemetry_scan", "saved_embeddings", "stream_rates", "stream_token_batches"]
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
-    assert len(entry.queries()) >= 75
+    assert set(catalog.queries()) == set(catalog.oracle_sql())
+    assert set(catalog.queries()) <= set(entry.queries())
+    assert len(catalog.queries()) >= 75
 
 
 def test_entry(spark, smoke_dir):
