@@ -10,6 +10,7 @@ from seqflow.catalog.registry import Query
 from seqflow.llm.decontaminate import contamination
 from seqflow.llm.encode import decode, encode
 from seqflow.llm.exact_dedup import exact_dedup
+from seqflow.llm.ngram_join import ngram_components
 from seqflow.llm.token_counts import count_tokens
 
 LONG_TOKENS = 1024
@@ -56,6 +57,20 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_PLAIN = (r"list_filter(regexp_split_to_array(" + LOWER + r", '[\x20\x09-\x0D]+'), lambda w: w != '')")
+
+@query("op4_ngram_jaccard", f"""WITH RECURSIVE d AS (SELECT doc_id, {_PLAIN.format('text')} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g FROM d),
+n AS (SELECT d.doc_id, count(g) AS n FROM d LEFT JOIN s USING (doc_id) GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT n.doc_id, n.n::BIGINT AS n_shingles, min(b) AS component_id FROM n JOIN reach ON n.doc_id = reach.a GROUP BY 1, 2""")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(table(spark, sf_dir, "documents"))
+
+
 @query("op9_exact_dedup", f"""WITH t AS (SELECT doc_id, {LOWER.format('text')} AS norm FROM documents), g AS (
   SELECT doc_id, norm, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS n FROM t)
 SELECT doc_id, keep_id, n::BIGINT AS group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM g""")

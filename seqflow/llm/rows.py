@@ -5,6 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from seqflow.llm.texts import same
+from seqflow.session import materialize
+
+#: Lets Spark delete a query's shuffle files as soon as the query has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back; its shuffle files go once they have been used."""
+    spark = df.sparkSession
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        return materialize(df, name)
+    finally:
+        spark.conf.set(_CLEANUP, before)
 
 
 def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", one_per_id: bool = False) -> DataFrame:
