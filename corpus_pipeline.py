@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from seqflow.llm.decontaminate import contamination
 from seqflow.llm.encode import decode, encode
 from seqflow.llm.exact_dedup import exact_dedup
+from seqflow.llm.importance import resample
+from seqflow.llm.ngram_join import ngram_components
 from seqflow.llm.rows import keep_rows
 from seqflow.session import materialize
 
@@ -15,11 +17,23 @@ from seqflow.session import materialize
 ORACLE_SQL = None
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects, by importance resampling, go."""
+    scored = resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return keep_rows(docs, scored.where("sampled").select("doc_id"))
+
+
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the largest id stays."""
     return keep_rows(docs, exact_dedup(docs).where("kept").select("doc_id"), one_per_id=True)
 
 
+def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by shared n-grams, the document with the smallest id stays."""
+    groups = ngram_components(docs)
+    return keep_rows(docs, groups.where("doc_id <=> component_id").select("doc_id"), one_per_id=True)
+
+
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with too large a share of benchmark words go."""
     found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -34,7 +48,9 @@ def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 STAGES = [
+    ("quality classifier", quality_stage),
     ("exact dedup", dedup_stage),
+    ("n-gram Jaccard join", near_copy_stage),
     ("benchmark decontamination", benchmark_stage),
     ("encoding and decoding", encode_stage),
 ]

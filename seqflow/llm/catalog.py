@@ -10,6 +10,7 @@ from seqflow.catalog.registry import Query
 from seqflow.llm.decontaminate import contamination
 from seqflow.llm.encode import decode, encode
 from seqflow.llm.exact_dedup import exact_dedup
+from seqflow.llm.importance import resample
 from seqflow.llm.ngram_join import ngram_components
 from seqflow.llm.token_counts import count_tokens
 
@@ -71,6 +72,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"))
 
 
+@query("op6_importance")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op9_exact_dedup", f"""WITH t AS (SELECT doc_id, {LOWER.format('text')} AS norm FROM documents), g AS (
   SELECT doc_id, norm, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS n FROM t)
 SELECT doc_id, keep_id, n::BIGINT AS group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM g""")
