@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import unicodedata
 from dataclasses import dataclass, field
 
@@ -30,6 +31,7 @@ NEWER_CAPITALS = [(0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, 0x264 - 0xA7CB), (0xA7CC
                   (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1), (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, 0x19B - 0xA7DC),
                   (0x10D50, 0x10D65, 0x20), (0x16EA0, 0x16EB8, 0x1B)]
 _SMALL = {c: c + by for first, last, by in NEWER_CAPITALS for c in range(first, last + 1)}
+_SEPARATORS = re.compile("[\x1c-\x1f]").search  # white space to Python, but not to the patterns
 _PRIVATE = ""  # a symbol to every pattern
 
 
@@ -94,14 +96,17 @@ class Merger:
         self.newer = regex.compile("[" + "".join(
             "-".join(chr(int(x, 16)) for x in r.split("-")) for r in NEWER.split()) + "]")
         self.space = regex.compile(f"[{WHITE_SPACE}]+")
+        self.doubled = regex.compile(f"[{WHITE_SPACE}] | [{WHITE_SPACE}]").search
+        #: White space is in no pre-token: a text may be cut there, and replacing it by a space changes nothing.
+        self.blind = not any(self.find(c) for c in "\t\n \xa0")
         self.cut = regex.compile("(" + "|".join(map(regex.escape, vocab.special)) + ")") if vocab.special else None
 
     def normalise(self, text: str) -> str:
         for step in self.vocab.normal:
             if step["type"] == "NFC":
                 text = text if text.isascii() else unicodedata.normalize("NFC", text)
-            elif step["type"] == "Replace" and step["pattern"] == {"Regex": r"\s+"}:
-                text = self.space.sub(step["content"], text)
+            elif step["type"] == "Replace" and step["pattern"] == {"Regex": r"\s+"} and step["content"] == " ":
+                text = text if self.blind else self.space.sub(" ", text)
             elif step["type"] == "Lowercase":
                 text = lower_each(text)
             else:
@@ -120,6 +125,18 @@ class Merger:
             return self.find(text)
         return [text[m.start():m.end()] for m in self.split.finditer(self.newer.sub(_PRIVATE, text))]
 
+    def chunks(self, piece: str) -> list[str]:
+        """Parts of the piece that can be split into pre-tokens one by one; most are a word with its space.
+
+        Cuts lie at white space that no pre-token holds, or ahead of a single space between other characters.
+        """
+        if self.blind:
+            return piece.split() if not _SEPARATORS(piece) else [piece]
+        if self.vocab.normal or self.doubled(piece):
+            return [piece]
+        first, *rest = piece.split(" ")
+        return ([first] if first else []) + [" " + r for r in rest]
+
     def encode_word(self, word: str) -> list[int]:
         raw = word.encode()
         start = [self.inner[b] for b in raw[:-1]] + [self.final[b] for b in raw[-1:]]

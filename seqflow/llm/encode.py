@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from seqflow.llm.bpe import Merger, Vocabulary
-from seqflow.llm.texts import Memo, list_array, map_texts, utf8
+from seqflow.llm.texts import Memo, kept_in_worker, list_array, map_texts, utf8
+
+CHUNKS = 400_000
 
 
 def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -19,25 +23,21 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     """
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.read(vocabulary))  # of fixed size
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tools():
         own = Merger(shared.value)
-        special = own.vocab.special
-        memo = Memo(lambda w: np.array(own.encode_word(w), dtype=np.int32), limit=100_000)
+        special = {t: np.int32(i).tobytes() for t, i in own.vocab.special.items()}
+        words = Memo(lambda w: array("i", own.encode_word(w)).tobytes())
+        return own, special, Memo(lambda c: b"".join(map(words.__getitem__, own.pre_tokens(c))), limit=CHUNKS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, special, parts = kept_in_worker(("encode", vocabulary), tools)
         for b in batches:
-            parts, counts = [], []
-            for t in utf8(b.column(1)):
-                mine = []
-                for piece, is_special in own.pieces(t.decode()):
-                    if is_special:
-                        mine.append(np.array([special[piece]], dtype=np.int32))
-                    else:
-                        mine.extend(map(memo.__getitem__, own.pre_tokens(piece)))
-                one = np.concatenate(mine) if mine else np.empty(0, np.int32)
-                parts.append(one)
-                counts.append(len(one))
-            values = pa.array(np.concatenate(parts) if parts else np.empty(0, np.int32), pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), list_array(np.array(counts), values)],
-                                             ["doc_id", "ids"])
+            texts = [b"".join([special[piece] if is_special else b"".join(map(parts.__getitem__, own.chunks(piece)))
+                               for piece, is_special in own.pieces(t.decode())]) for t in utf8(b.column(1))]
+            values = pa.array(np.frombuffer(b"".join(texts), np.int32))
+            yield pa.RecordBatch.from_arrays([
+                b.column(0).cast(pa.int64()), list_array(np.array([len(t) // 4 for t in texts]), values)],
+                ["doc_id", "ids"])
 
     source = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     return map_texts(source, ["doc_id", "text"], run, "doc_id bigint, ids array<int>")
@@ -54,9 +54,14 @@ def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids", out: str =
     shared = encoded.sparkSession.sparkContext.broadcast(names)  # of fixed size
 
     @F.pandas_udf("string")
-    def text(column):
-        get = shared.value.get
-        return column.map(lambda ids: None if ids is None else " ".join(
-            [t for t in map(get, ids.tolist()) if t is not None]))
+    def text(column: pd.Series) -> pd.Series:
+        name = shared.value
+
+        def one(ids):
+            try:
+                return None if ids is None else " ".join(map(name.__getitem__, ids.tolist()))
+            except (KeyError, TypeError):
+                return " ".join(name[i] for i in ids.tolist() if i in name)
+        return column.map(one)
 
     return encoded.withColumn(out, text(F.col(f"`{ids_col}`")))

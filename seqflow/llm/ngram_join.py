@@ -19,6 +19,7 @@ that reach the bound given by the two sizes are wanted.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,21 +69,15 @@ class Levels:
     """Levels of set sizes such that linked sets are at most one level apart."""
 
     def __init__(self, percent: int = PERCENT):
-        self.percent = percent
-        self.starts = [1]
+        starts = [1]
+        while starts[-1] < 1 << 31:  # more n-grams than a text of 2 GB has
+            starts.append(max(starts[-1] + 1, -(-starts[-1] * 100 // percent)))
+        self.starts = starts
+        #: Most columns in which linked sets can differ if the larger is of this level.
+        self.differing = [2 * (s - 1) * (100 - percent) // (100 + percent) for s in starts[1:]]
 
     def of(self, size: int) -> int:
-        while self.starts[-1] <= size:
-            last = self.starts[-1]
-            self.starts.append(max(last + 1, -(-last * 100 // self.percent)))
-        return int(np.searchsorted(self.starts, size, side="right")) - 1
-
-    def differing(self, level: int) -> int:
-        """Most columns in which linked sets can differ if the larger is of this level."""
-        self.of(self.starts[-1])
-        while len(self.starts) < level + 2:
-            self.of(self.starts[-1])
-        return 2 * (self.starts[level + 1] - 1) * (100 - self.percent) // (100 + self.percent)
+        return bisect_right(self.starts, size) - 1
 
     def fingerprints(self, columns: np.ndarray) -> np.ndarray:
         """One number for each (level, range) in which the set has columns.
@@ -93,7 +88,7 @@ class Levels:
         out = []
         own = self.of(len(columns))
         for level in (own, own + 1):
-            d = self.differing(level)
+            d = self.differing[level]
             if d == 0:
                 continue
             ranges = d + 3 + d // 32

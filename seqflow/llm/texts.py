@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, functions as F
 _NOT_ALNUM = bytes(b for b in range(128) if not (48 <= b <= 57 or 97 <= b <= 122))
 _TO_SPACE = bytes.maketrans(_NOT_ALNUM, b" " * len(_NOT_ALNUM))
 
+SLICE_BYTES = 4 << 20
+
 
 def utf8(column: pa.Array) -> list[bytes]:
     """The column's texts as UTF-8; null counts as empty."""
@@ -44,6 +46,17 @@ class Memo(dict):
         return value
 
 
+_KEPT: dict = {}
+
+
+def kept_in_worker(key: tuple, make: Callable):
+    """``make()``, kept for later tasks of the same Python worker; only the latest key is kept."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def offsets(counts: np.ndarray) -> np.ndarray:
     """Start of each row's part when parts of the given sizes lie one after another, and the end."""
     out = np.zeros(len(counts) + 1, dtype=np.int64)
@@ -55,9 +68,19 @@ def list_array(counts: np.ndarray, values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets(counts).astype(np.int32)), values)
 
 
+def slices(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about ``most`` bytes, or one row, so that what a task makes of a batch stays small."""
+    for b in batches:
+        if b.num_rows == 0:
+            continue
+        step = max(1, b.num_rows * most // max(b.nbytes, 1))
+        for at in range(0, b.num_rows, step):
+            yield b.slice(at, step)
+
+
 def map_texts(df: DataFrame, columns: list[str], fn: Callable[..., Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """Apply ``fn(iterator of record batches)`` to the named columns only; other columns are never read."""
-    return df.select(*columns).mapInArrow(fn, schema)
+    return df.select(*columns).mapInArrow(lambda batches: fn(slices(batches)), schema)
 
 
 def same(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:

@@ -13,9 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from seqflow.llm.bpe import Merger, Vocabulary
-from seqflow.llm.texts import Memo, map_texts, utf8
+from seqflow.llm.texts import Memo, kept_in_worker, map_texts, utf8
 
-COUNTS = "doc_id bigint, n_bytes bigint, n_tokens bigint, n_whole bigint"
+COUNTS = "doc_id bigint, n_bytes bigint, n_tokens bigint"
+CHUNKS = 400_000
 
 
 class Costs(dict):
@@ -30,36 +31,29 @@ class Costs(dict):
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_bytes, n_tokens, n_whole`` for every row; null text counts as empty (no tokens).
+    """``doc_id, n_bytes, n_tokens`` for every row; null text counts as empty (no tokens).
 
-    ``n_whole`` is the number of pre-tokens that took the shortcut. Special strings inside a text are special tokens.
+    Special strings inside a text are special tokens.
     """
     merger = Merger(Vocabulary.read(vocabulary))
     # A vocabulary's size is fixed: some 50,000 strings.
     shared = docs.sparkSession.sparkContext.broadcast((merger.vocab, merger.whole_tokens()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tools():
         vocab, whole = shared.value
         own = Merger(vocab)
         cost = Costs(own, whole)
+        return own, Memo(lambda c: sum(map(cost.__getitem__, own.pre_tokens(c))), limit=CHUNKS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, chunk_cost = kept_in_worker(("count", vocabulary), tools)
         for b in batches:
             texts = utf8(b.column(1))
-            totals, shortcuts = [], []
-            for t in texts:
-                n = k = 0
-                for piece, special in own.pieces(t.decode()):
-                    if special:
-                        n += 1
-                        continue
-                    words = own.pre_tokens(piece)
-                    n += sum(map(cost.__getitem__, words))
-                    k += sum(map(whole.__contains__, words))
-                totals.append(n)
-                shortcuts.append(k)
+            totals = [sum(1 if special else sum(map(chunk_cost.__getitem__, own.chunks(piece)))
+                          for piece, special in own.pieces(t.decode())) for t in texts]
             yield pa.RecordBatch.from_arrays([
                 b.column(0).cast(pa.int64()), pa.array([len(t) for t in texts], pa.int64()),
-                pa.array(totals, pa.int64()), pa.array(shortcuts, pa.int64())],
-                ["doc_id", "n_bytes", "n_tokens", "n_whole"])
+                pa.array(totals, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     source = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     return map_texts(source, ["doc_id", "text"], run, COUNTS)
