@@ -11,7 +11,10 @@ from seqflow.llm.decontaminate import contamination
 from seqflow.llm.encode import decode, encode
 from seqflow.llm.exact_dedup import exact_dedup
 from seqflow.llm.importance import resample
+from seqflow.llm.licenses import license_report
+from seqflow.llm.line_templates import drop_recurring_lines
 from seqflow.llm.ngram_join import ngram_components
+from seqflow.llm.secret_scan import count_kind, find_secrets, spans_text
 from seqflow.llm.token_counts import count_tokens
 
 LONG_TOKENS = 1024
@@ -56,6 +59,18 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query("op3_secret_scan")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *[count_kind(k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+                        F.sha2(spans_text("base"), 256).alias("base_sha256"), spans_text("spans").alias("spans"))
+
+
+@query("op5_license_scan")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_report(table(spark, sf_dir, "documents"))
+
+
 LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 _PLAIN = (r"list_filter(regexp_split_to_array(" + LOWER + r", '[\x20\x09-\x0D]+'), lambda w: w != '')")
@@ -77,6 +92,28 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op7_line_templates", r"""WITH raw AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, i, ls[i] AS line, regexp_replace(trim(regexp_replace(ls[i], '[ \t\r]+', ' ', 'g'), ' '),
+    '[^ ]*[0-9][^ ]*', '<*>', 'g') AS shape FROM raw, LATERAL (SELECT unnest(range(1, len(ls) + 1)) AS i)),
+s AS (SELECT DISTINCT doc_id, shape, string_split(shape, ' ') AS w FROM l WHERE shape <> ''),
+leaf AS (SELECT *, len(w) AS words, array_to_string(w[1:3], ' ') AS lead FROM s),
+big AS (SELECT words, lead FROM leaf GROUP BY 1, 2 HAVING count(*) >= 10),
+shapes AS (SELECT shape, w, words, lead, count(*) AS n FROM leaf JOIN big USING (words, lead) GROUP BY 1, 2, 3, 4),
+tok AS (SELECT shape, words, lead, n, p, w[p] AS word FROM shapes, LATERAL (SELECT unnest(range(1, words + 1)) AS p)),
+fixed AS (SELECT words, lead, p, word FROM tok GROUP BY 1, 2, 3, 4 HAVING sum(n) >= 10),
+made AS (SELECT t.shape, t.n, t.words, string_agg(CASE WHEN f.word IS NOT NULL THEN t.word ELSE '<*>' END, ' ' ORDER BY t.p) AS tpl,
+    sum(CASE WHEN f.word IS NOT NULL AND t.word <> '<*>' THEN 1 ELSE 0 END) AS constants
+  FROM tok t LEFT JOIN fixed f USING (words, lead, p, word) GROUP BY 1, 2, 3),
+gone AS (SELECT shape FROM made WHERE constants >= words * 0.5 AND tpl IN (
+  SELECT tpl FROM made WHERE constants >= words * 0.5 GROUP BY tpl HAVING sum(n) >= 10))
+SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (shape IN (FROM gone)))::BIGINT AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (shape NOT IN (FROM gone)), '')) AS kept_sha256
+FROM l GROUP BY doc_id""")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = drop_recurring_lines(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 @query("op9_exact_dedup", f"""WITH t AS (SELECT doc_id, {LOWER.format('text')} AS norm FROM documents), g AS (
   SELECT doc_id, norm, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS n FROM t)
 SELECT doc_id, keep_id, n::BIGINT AS group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM g""")
