@@ -13,6 +13,7 @@ from seqflow.llm.exact_dedup import exact_dedup
 from seqflow.llm.importance import resample
 from seqflow.llm.licenses import license_report
 from seqflow.llm.line_templates import drop_recurring_lines
+from seqflow.llm.lm_trie import score_texts
 from seqflow.llm.ngram_join import ngram_components
 from seqflow.llm.secret_scan import count_kind, find_secrets, spans_text
 from seqflow.llm.token_counts import count_tokens
@@ -114,6 +115,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+@query("op8_lm_score")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 @query("op9_exact_dedup", f"""WITH t AS (SELECT doc_id, {LOWER.format('text')} AS norm FROM documents), g AS (
   SELECT doc_id, norm, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS n FROM t)
 SELECT doc_id, keep_id, n::BIGINT AS group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM g""")
