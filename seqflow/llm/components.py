@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from seqflow.session import materialize
+from seqflow.llm.rows import stored
 
 MAX_ROUNDS = 60  # the number of rounds grows with the logarithm of a component's size
 
@@ -17,7 +17,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     collected; every round is stored and cuts the lineage. Self-loops and null ids are ignored.
     """
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-    pairs = materialize(pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct(),
+    pairs = stored(pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct(),
                         "edges")
     before = None
     for _ in range(MAX_ROUNDS):
@@ -25,7 +25,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if tuple(state) == before or not state[0]:
             break
         before = tuple(state)
-        pairs = materialize(_small_star(_large_star(pairs)), "edges")
+        pairs = stored(_small_star(_large_star(pairs)), "edges")
     return pairs.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
         pairs.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 

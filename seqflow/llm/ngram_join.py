@@ -8,7 +8,7 @@ that reach the bound given by the two sizes are wanted.
   ``d(a, b)`` columns. The columns are dealt into more than d ranges by their
   hash, so the two rows agree completely on at least one range: rows are brought together by
   the fingerprints of their ranges, one family of ranges for each level of sizes. All other pairs are
-  below the bound. Nothing is sampled and no link is lost.
+  below the bound, and so are rows that agree with others in fewer ranges than any link needs. Nothing is sampled.
 * *Hubs.* Among rows with one fingerprint the most central is the hub; each of
   the others is multiplied with it once. Rows that link to the hub are one component and need no
   product with each other.
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from seqflow.llm.components import connected_components
 from seqflow.llm.rows import stored
@@ -35,6 +35,7 @@ WORDS = 4
 PERCENT = 85
 BLOCK_ROWS = 2048
 BLOCK_BYTES = 8 << 20
+NEED = 1 << 20
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -79,29 +80,35 @@ class Levels:
     def of(self, size: int) -> int:
         return bisect_right(self.starts, size) - 1
 
-    def fingerprints(self, columns: np.ndarray) -> np.ndarray:
-        """One number for each (level, range) in which the set has columns.
+    def fingerprints(self, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A number for each (level, range) in which the set has columns, and its tag.
 
+        The tag holds the level and, below, in how many of the set's ranges a linked set agrees at least.
         A level with no room for a difference is left out: sets there link only if equal. A set with
         columns in no more ranges than may differ also gives its empty ranges.
         """
-        out = []
+        out, tags = [], []
         own = self.of(len(columns))
         for level in (own, own + 1):
             d = self.differing[level]
             if d == 0:
                 continue
-            ranges = d + 3 + d // 32
+            ranges = d + 3 + d // 8
             # Ranges of hash values: the columns are sorted, so each range is a slice.
             part = ((columns >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
             first = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1])
             sums = np.add.reduceat(mix(columns ^ _M1), first)
             at = part[first]
-            if len(first) <= d:
+            need = len(first) - d  # the others of the agreeing ranges may be empty
+            if need <= 0:
+                need = ranges - d
                 empty = np.setdiff1d(np.arange(ranges, dtype=np.uint64), at)
                 at, sums = np.concatenate([at, empty]), np.concatenate([sums, np.zeros(len(empty), np.uint64)])
             out.append(mix(sums + mix(at + np.uint64(level << 32))))
-        return np.concatenate(out) if out else np.empty(0, np.uint64)
+            tags.append(np.full(len(at), level * NEED + min(need, NEED - 1), np.int32))
+        if not out:
+            return np.empty(0, np.uint64), np.empty(0, np.int32)
+        return np.concatenate(out), np.concatenate(tags)
 
 
 def linked(overlap, a, b, percent: int):
@@ -127,7 +134,7 @@ def _sets(words: int):
 
 
 def _fingerprints(words: int, percent: int):
-    """``sig, rep``; equal sets inside a batch count once."""
+    """``sig, rep, tag``; equal sets inside a batch count once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, levels = Shingler(words), Levels(percent)
         for b in batches:
@@ -137,11 +144,12 @@ def _fingerprints(words: int, percent: int):
                 if len(s) and i is not None:
                     key = s.tobytes()
                     sets[key] = min(i, sets.get(key, i))
-            sigs = [levels.fingerprints(np.frombuffer(k, np.uint64)) for k in sets]
-            if sigs:
-                reps = np.repeat(np.array(list(sets.values()), np.int64), [len(s) for s in sigs])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(sigs).view(np.int64)), pa.array(reps)], ["sig", "rep"])
+            made = [levels.fingerprints(np.frombuffer(k, np.uint64)) for k in sets]
+            if made:
+                reps = np.repeat(np.array(list(sets.values()), np.int64), [len(s) for s, _ in made])
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.concatenate([s for s, _ in made]).view(np.int64)), pa.array(reps),
+                    pa.array(np.concatenate([t for _, t in made]))], ["sig", "rep", "tag"])
     return run
 
 
@@ -245,6 +253,30 @@ def _rest(products: DataFrame, percent: int) -> DataFrame:
     return both.groupBy("hub", "i", "j").applyInArrow(lambda t: block_links(t, percent), "a bigint, b bigint")
 
 
+def _able(met: DataFrame) -> DataFrame:
+    """Without rows that meet others in fewer ranges than any link of theirs needs.
+
+    A range that is left with one row links nothing, and a row with too few ranges links with nobody at that
+    level: its size bound says in how many ranges a partner agrees.
+    """
+    live = met.groupBy("sig").agg(F.count("*").alias("rows")).where("`rows` > 1")
+    met = met.drop("rows").join(live, "sig")
+    enough = met.groupBy("rep", "tag").count().where(F.col("count") >= F.col("tag") % NEED).select("rep", "tag")
+    return met.join(enough, ["rep", "tag"], "left_semi")
+
+
+def _chosen_hubs(assigned: DataFrame) -> DataFrame:
+    """``hub, rep``: hubs that a row meets in few ranges are left out while these ranges are under half of what a link needs.
+
+    A linked pair agrees in as many ranges as either side needs. Both sides together leave out fewer, so
+    at least one range, and its hub, remains for both.
+    """
+    times = assigned.groupBy("rep", "tag", "hub").count()
+    fewest = W.partitionBy("rep", "tag").orderBy("count", "hub").rowsBetween(W.unboundedPreceding, 0)  # hubs of one row
+    so_far = times.withColumn("so_far", F.sum("count").over(fewest))
+    return so_far.where(2 * F.col("so_far") >= F.col("tag") % NEED).select("hub", "rep").distinct()
+
+
 def ngram_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(sets, links) for ``doc_id, text`` rows.
 
@@ -255,14 +287,16 @@ def ngram_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     classes = sets.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"))
     named = stored(sets.join(classes, ["n", "k1", "k2"], "left").select("doc_id", "n", "rep"), "named-sets")
 
-    sigs = map_texts(docs, ["doc_id", "text"], _fingerprints(words, percent), "sig bigint, rep bigint")
+    # Recomputed rather than stored for the second use: the fingerprints of all texts are as large as the texts.
+    sigs = map_texts(docs, ["doc_id", "text"], _fingerprints(words, percent), "sig bigint, rep bigint, tag int")
     shared = stored(sigs.groupBy("sig").agg(F.count("*").alias("rows")).where("`rows` > 1"), "shared-ranges")
     reps = named.where("n > 0").select("rep").distinct()
-    met = stored(sigs.join(shared, "sig").join(reps, "rep", "left_semi"), "met")
+    met = stored(sigs.join(shared.select("sig"), "sig").join(reps, "rep", "left_semi"), "met")
+    met = stored(_able(_able(met)), "able")
     central = met.groupBy("rep").agg(F.sum("rows").alias("weight"))
     best = F.max(F.struct("weight", (-F.col("rep")).alias("low")))["low"]
     hubs = met.join(central, "rep").groupBy("sig").agg((-best).alias("hub"), F.count("*").alias("members"))
-    pairs = stored(met.join(hubs.where("members > 1"), "sig").where("hub != rep").select("hub", "rep").distinct(), "pairs")
+    pairs = stored(_chosen_hubs(met.join(hubs.where("members > 1"), "sig").where("hub != rep")), "pairs")
 
     wanted = pairs.select("rep").unionByName(pairs.select(F.col("hub").alias("rep"))).distinct()
     chosen = docs.join(wanted, docs["doc_id"] == wanted["rep"], "left_semi")
