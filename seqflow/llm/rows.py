@@ -22,6 +22,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         spark.conf.set(_CLEANUP, before)
 
 
+def release(*frames: DataFrame) -> None:
+    """Delete the files of ``stored`` frames that no later plan reads."""
+    for df in frames:
+        for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(f)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", one_per_id: bool = False) -> DataFrame:
     """Rows of ``docs`` whose id is in ``kept``, with all their columns; null ids match null.
 
