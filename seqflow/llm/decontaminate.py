@@ -19,7 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from seqflow.llm.texts import alnum_words, map_texts, same, utf8
+from seqflow.llm.texts import alnum_words, free_name, map_texts, same, utf8
 from seqflow.session import materialize
 
 WINDOW = 13
@@ -245,18 +245,18 @@ def remove_spans(docs: DataFrame, items: DataFrame, longest: int = WINDOW, share
     document, all its spans go. A text that loses a span comes back as its remaining pieces, joined
     by one space; other texts stay byte for byte (null stays null).
     """
-    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "passages")
-    found = find_passages(rows, items, id_col="__row", text_col=text_col, **names).select(
-        F.col("doc_id").alias("__row"), "n_words", "spans")
-    joined = same(rows, found.where(F.size("spans") > 0).withColumnsRenamed(
-        {"n_words": "__n_words", "spans": "__spans"}), ["__row"], "left")
+    row, count, hits = (free_name(docs, n) for n in ("__row", "__n_words", "__spans"))
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "passages")
+    found = find_passages(rows, items, id_col=row, text_col=text_col, **names).where(F.size("spans") > 0).select(
+        F.col("doc_id").alias(row), F.col("n_words").alias(count), F.col("spans").alias(hits))
+    joined = same(rows, found, [row], "left")
 
     @F.pandas_udf("string")
     def clean(texts: pd.Series, counts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([t if s is None else without_spans(t, int(n), s, longest, share)
                           for t, n, s in zip(texts, counts, spans)])
 
-    cleaned = clean(F.col(f"`{text_col}`"), F.col("__n_words"), F.col("__spans"))
+    cleaned = clean(F.col(f"`{text_col}`"), F.col(count), F.col(hits))
     return joined.withColumn(text_col, cleaned).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

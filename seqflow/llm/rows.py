@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from seqflow.llm.texts import same
+from seqflow.llm.texts import free_name, same
 from seqflow.session import materialize
 
 #: Lets Spark delete a query's shuffle files as soon as the query has ended.
@@ -43,5 +43,6 @@ def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", one_per_
     if repeated.isEmpty():
         return out
     first = W.partitionBy(f"`{id_col}`").orderBy(*[F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])])
-    some = same(out, repeated, [id_col], "left_semi").withColumn("__nth", F.row_number().over(first))
-    return same(out, repeated, [id_col], "left_anti").unionByName(some.where("`__nth` = 1").drop("__nth"))
+    nth = free_name(docs, "__nth")
+    some = same(out, repeated, [id_col], "left_semi").withColumn(nth, F.row_number().over(first))
+    return same(out, repeated, [id_col], "left_anti").unionByName(some.where(F.col(nth) == 1).drop(nth))

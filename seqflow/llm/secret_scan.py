@@ -43,9 +43,9 @@ ALPHABETS = ["0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ
              "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
              "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"]
 _SETS = [(a, frozenset(a)) for a in ALPHABETS]
-UNEVEN = 0.9      # chi-squared per character of word-like text
+UNEVEN = 1.2      # chi-squared per character of word-like text
 CHANGES = 0.2     # share of neighbours of different class in word-like text
-CORRELATION = 0.5  # of neighbours in counting or repeated sequences
+CORRELATION = 0.8  # of neighbours in counting or repeated sequences
 
 
 def _normal(z: float) -> float:

@@ -83,6 +83,14 @@ def map_texts(df: DataFrame, columns: list[str], fn: Callable[..., Iterator[pa.R
     return df.select(*columns).mapInArrow(lambda batches: fn(slices(batches)), schema)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def same(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
     """Join on equal keys, null matching null; keeps the left columns and the right ones that are no keys.
 
