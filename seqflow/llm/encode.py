@@ -6,14 +6,14 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from seqflow.llm.bpe import Merger, Vocabulary
-from seqflow.llm.texts import Memo, kept_in_worker, list_array, map_texts, utf8
+from seqflow.llm.texts import Memo, kept_in_worker, list_array, map_texts, slices, utf8
 
-CHUNKS = 400_000
+CHUNKS = 200_000
 
 
 def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -26,7 +26,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     def tools():
         own = Merger(shared.value)
         special = {t: np.int32(i).tobytes() for t, i in own.vocab.special.items()}
-        words = Memo(lambda w: array("i", own.encode_word(w)).tobytes())
+        words = Memo(lambda w: array("i", own.encode_word(w)).tobytes(), limit=100_000)
         return own, special, Memo(lambda c: b"".join(map(words.__getitem__, own.pre_tokens(c))), limit=CHUNKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,15 +53,18 @@ def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids", out: str =
     names = {i: t for t, i in (vocab.tokens | vocab.special).items()}
     shared = encoded.sparkSession.sparkContext.broadcast(names)  # of fixed size
 
-    @F.pandas_udf("string")
-    def text(column: pd.Series) -> pd.Series:
+    at = encoded.columns.index(ids_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = shared.value
 
-        def one(ids):
+        def text(ids):
             try:
-                return None if ids is None else " ".join(map(name.__getitem__, ids.tolist()))
-            except (KeyError, TypeError):
-                return " ".join(name[i] for i in ids.tolist() if i in name)
-        return column.map(one)
+                return None if ids is None else " ".join(map(name.__getitem__, ids))
+            except KeyError:
+                return " ".join(name[i] for i in ids if i in name)
+
+        for b in slices(batches):
+            yield b.append_column(out, pa.array([text(ids) for ids in b.column(at).to_pylist()], pa.string()))
 
-    return encoded.withColumn(out, text(F.col(f"`{ids_col}`")))
+    return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField(out, StringType())]))

@@ -16,7 +16,7 @@ from seqflow.llm.bpe import Merger, Vocabulary
 from seqflow.llm.texts import Memo, kept_in_worker, map_texts, utf8
 
 COUNTS = "doc_id bigint, n_bytes bigint, n_tokens bigint"
-CHUNKS = 400_000
+CHUNKS = 200_000
 
 
 class Costs(dict):
