@@ -57,15 +57,16 @@ def padding_waste(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("batch_payload", f"""WITH RECURSIVE {PACKED}, {TOTALS},
-asked AS (SELECT DISTINCT source, b AS batch_no FROM documents, range(0, 12) r(b))
+asked AS (SELECT DISTINCT source, b AS batch_no FROM documents, range(0, (SELECT max(batch_no) + 1 FROM totals)) r(b))
 SELECT source, batch_no, n_seqs, n_tokens, n_seqs IS NOT NULL AS found
 FROM asked LEFT JOIN totals USING (source, batch_no)""")
 def batch_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ask every source for batches 0..11; some sources have fewer."""
+    """Ask every source for as many batches as the largest has; the others have fewer."""
     t = batching.batch_totals(packed_docs(spark, sf_dir), ["source", "batch_no"])
     batches = t.select(F.concat_ws("/", "source", "batch_no").alias("batch_id"), "n_seqs", "n_tokens")
     sources = table(spark, sf_dir, "documents").select("source").distinct()
-    asked = sources.withColumn("batch_no", F.explode(F.expr("sequence(0L, 11L)")))
+    last = t.agg(F.max("batch_no")).first()[0] or 0
+    asked = sources.withColumn("batch_no", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(last).cast("bigint"))))
     asked = asked.withColumn("batch_id", F.concat_ws("/", "source", "batch_no"))
     return batching.batch_payload(asked, batches).drop("batch_id")
 

@@ -77,10 +77,10 @@ def kmers(c: Column | str, k: int) -> Column:
 
 
 def composition(c: Column | str) -> Column:
-    """Share of each alphabet letter: a 20-wide embedding of the sequence."""
+    """Share of each alphabet letter: a 20-wide embedding of the sequence; nulls for an empty one."""
     s = _col(c)
     n = F.length(s)
-    return F.array(*[(n - F.length(F.replace(s, F.lit(a), F.lit("")))) / n for a in ALPHABET])
+    return F.array(*[F.try_divide(n - F.length(F.replace(s, F.lit(a), F.lit(""))), n) for a in ALPHABET])
 
 
 def hash32(*parts: Column | int | str) -> Column:

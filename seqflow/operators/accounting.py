@@ -61,9 +61,10 @@ def load_snapshot(requests: DataFrame, at: Column, start: str, end: str, by: Seq
 
 
 def first_completions(done: DataFrame, ts: str, cols: Sequence[str], key: str = "request_id") -> DataFrame:
-    """The earliest completion of each request; later ones are ignored."""
-    return done.groupBy(key).agg(F.min(ts).alias(ts),
-                                 *[F.min_by(c, ts).alias(c) for c in cols])
+    """The earliest completion of each request; later ones are ignored, equal times go by the other columns."""
+    first = F.min(F.when(F.col(ts).isNotNull(), F.struct(ts, *cols))).alias("_first")
+    return done.groupBy(key).agg(first).select(key, F.col(f"_first.{ts}").alias(ts),
+                                               *[F.col(f"_first.{c}").alias(c) for c in cols])
 
 
 def match_requests(requests: DataFrame, done: DataFrame, ts: str, cols: Sequence[str],
@@ -97,7 +98,7 @@ def failed_targets(results: DataFrame, target: str, order: str, message: str = "
     """Targets with an error, their error count and first message."""
     bad = results.where("status = 'error'")
     return bad.groupBy(target).agg(F.count(F.lit(1)).alias("n_failed"),
-                                   F.min_by(message, order).alias("first_error"))
+                                   F.min(F.struct(order, message))[message].alias("first_error"))
 
 
 def fold_attempts(attempts: DataFrame, key: str, attempt: str, cols: Sequence[str]) -> DataFrame:

@@ -11,6 +11,7 @@ from seqflow.session import materialize
 
 DEFAULT_K = 7
 BROADCAST_WORDS = 1_000_000
+CLASS = ["c1", "c2", "c3"]
 
 
 class WordIndex:
@@ -22,18 +23,20 @@ class WordIndex:
     def classes(self) -> tuple[DataFrame, DataFrame]:
         """Words grouped into classes with equal target lists.
 
-        ``words(by..., word, c1, c2)`` has one row per distinct word;
-        ``members(by..., c1, c2, target)`` says which targets a class stands
-        for. A class is named by an order-free 128-bit fingerprint of its
-        targets (xor of two hashes), which partial aggregation can build, so no
-        target list is ever collected. A word that every target holds is still
+        ``words(by..., word, c1, c2, c3)`` has one row per distinct word;
+        ``members(by..., c1, c2, c3, target)`` says which targets a class stands
+        for. A class is named by the number of its targets and an order-free
+        128-bit fingerprint of them (xor of two independent hashes; the postings
+        are distinct, so none cancels), which partial aggregation can build, so
+        no target list is ever collected. A word that every target holds is still
         one row of ``words``.
         """
         t = F.col("target")
         keys = [*self.by, "word"]
         words = self.postings.groupBy(*keys).agg(F.bit_xor(F.xxhash64(t)).alias("c1"),
-                                                 F.bit_xor(F.xxhash64(t, F.lit(1))).alias("c2"))
-        members = self.postings.join(words, keys).select(*self.by, "c1", "c2", "target").distinct()
+                                                 F.bit_xor(F.xxhash64(F.lit(1), t)).alias("c2"),
+                                                 F.count(F.lit(1)).alias("c3"))
+        members = self.postings.join(words, keys).select(*self.by, *CLASS, "target").distinct()
         return words, members
 
 
@@ -46,7 +49,7 @@ def build_index(targets: DataFrame, id_col: str = "id", seq_col: str = "seq", k:
     evaluate the word extraction a second time.
     """
     rows = targets.select(*by, F.col(id_col).alias("target"), F.explode_outer(S.kmers(seq_col, k)).alias("word"))
-    rows = rows.where(F.col("word").isNotNull())
+    rows = rows.where(F.col("word").isNotNull()).distinct()
     return WordIndex(materialize(rows, "index") if store else rows, k, by)
 
 
@@ -75,9 +78,9 @@ def search(queries: DataFrame, index: WordIndex, id_col: str = "id", seq_col: st
         counted = F.count(F.lit(1))
     else:
         class_words, members = index.classes()
-        per_class = (exploded.join(class_words, keys).groupBy(*by, "query", "c1", "c2")
+        per_class = (exploded.join(class_words, keys).groupBy(*by, "query", *CLASS)
                      .agg(F.count(F.lit(1)).alias("n"), F.first("n_words").alias("n_words")))
-        found = per_class.join(members, [*by, "c1", "c2"])
+        found = per_class.join(members, [*by, *CLASS])
         counted = F.sum("n").cast("bigint")
     hits = found.groupBy(*by, "query", "target").agg(counted.alias("shared"), F.max("n_words").alias("n_words"))
     return hits.select(*by, "query", "target", "shared", (F.col("shared") / F.col("n_words")).alias("fident"))

@@ -14,7 +14,7 @@ from seqflow.sources.embeddings import read_embeddings, write_embeddings
 
 def embedding_job(seqs: DataFrame, budget: int, by: Sequence[str], order: str, seq_col: str = "seq",
                   make_predict_fn: Callable = composition_model, path: str | None = None,
-                  max_saved_batch_no: int | None = None, **packing) -> DataFrame:
+                  **packing) -> DataFrame:
     """Embed ``seqs`` in token-budget batches per lane; returns the stored rows.
 
     Packing moves only ids and lengths; the text is shuffled once, to its batch.
@@ -23,8 +23,6 @@ def embedding_job(seqs: DataFrame, budget: int, by: Sequence[str], order: str, s
     lengths = seqs.select(*by, order, F.length(seq_col).alias("n"))
     # Empty rows never change a batch, so they can go after packing.
     plan = pack(lengths, order, "n", budget, by, **packing).where(F.col("n") > 0)
-    if max_saved_batch_no is not None:
-        plan = plan.where(F.col("batch_no") <= max_saved_batch_no)
     rows = seqs.select(order, seq_col).join(plan.select(*by, order, "batch_no"), order)
     vectors = embed_batches(rows, by, order, seq_col, make_predict_fn)
     tokens = plan.select(order, F.least(F.col("n") + S.SPECIAL_TOKENS, F.lit(S.MAX_TOKENS)).cast("int").alias("n_tokens"))

@@ -20,12 +20,12 @@ Scorer = Callable[[DataFrame], DataFrame]
 
 def substitute(seq: Column, draw: Column, step: Column) -> Column:
     """Replace one residue, never by itself: position ``draw % length``, letter
-    moved on by ``1 + step % 19`` places of the alphabet."""
-    pos = (draw % F.length(seq)).cast("int")
+    moved on by ``1 + step % 19`` places of the alphabet. An empty sequence stays."""
+    pos = (draw % F.greatest(F.length(seq), F.lit(1))).cast("int")
     old = F.instr(F.lit(ALPHABET), F.substring(seq, pos + 1, F.lit(1))) - 1
     shift = (1 + step % (len(ALPHABET) - 1)).cast("int")
     new = F.substring(F.lit(ALPHABET), ((old + shift) % len(ALPHABET)) + 1, F.lit(1))
-    return F.overlay(seq, new, pos + 1, F.lit(1))
+    return F.when(F.length(seq) > 0, F.overlay(seq, new, pos + 1, F.lit(1))).otherwise(seq)
 
 
 def propose(population: DataFrame, sizes: DataFrame, step: int, batch_size: int, num_mutations: int,

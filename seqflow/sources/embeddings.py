@@ -26,16 +26,13 @@ def read_embedding_csv(spark: SparkSession, path: str) -> DataFrame:
                       F.array(*[F.col(f"`{d}`").cast("double") for d in dims]).alias("embedding"))
 
 
-def write_embeddings(rows: DataFrame, path: str | None = None, max_saved_batch_no: int | None = None,
-                     mode: str = "overwrite") -> str:
+def write_embeddings(rows: DataFrame, path: str | None = None, mode: str = "overwrite") -> str:
     """Per-sequence vectors keyed ``(lane, batch_no, seq_idx)``.
 
     Folders hold a thousand batches each, so the number of files follows the
-    data. The optional cap is applied before anything is computed for the rows.
+    data.
     """
     path = path or scratch_path(rows.sparkSession, "embeddings")
-    if max_saved_batch_no is not None:
-        rows = rows.where(F.col("batch_no") <= max_saved_batch_no)
     (rows.withColumn("batch_group", F.floor(F.col("batch_no") / BATCHES_PER_GROUP))
      .write.mode(mode).partitionBy("batch_group").parquet(path))
     return path

@@ -22,7 +22,12 @@ TELEMETRY_SCHEMA = (
 
 
 def _read(spark: SparkSession, path, schema: str, multiline: bool) -> DataFrame:
-    return spark.read.schema(schema).option("multiLine", multiline).json(path)
+    rows = spark.read.schema(schema).option("multiLine", multiline).json(path)
+    if "run" not in rows.columns:
+        return rows
+    # Recorded files have no such field: the folder and the number of the file say which run it was.
+    file = F.regexp_replace(F.col("_metadata.file_path"), r"^.*/([^/]+)/[^/]*?(\d+)\.json$", "$1/$2")
+    return rows.withColumn("run", F.coalesce("run", file))
 
 
 def write_json(rows: DataFrame, path: str | None = None, mode: str = "overwrite") -> str:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from seqflow.functions import sequences as S
+from seqflow.operators.ordered import join_on
 from seqflow.operators.packing import pack_with_state
 from seqflow.session import scratch_path
 from seqflow.streaming.drain import drain_append, file_stream, run_batches
@@ -111,7 +112,7 @@ def pack_stream(seqs: DataFrame, order: str, size: str, budget: int, by: Sequenc
         packed, after = pack_with_state(df, order, size, budget, by, carry, **packing)
         packed.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
         if carry is not None:  # lanes without new rows keep their open batch
-            idle = carry.join(df.select(*by).distinct(), list(by), "left_anti")
+            idle = join_on(carry, df.select(*by).distinct(), list(by), "left_anti")
             after = after.unionByName(idle)
         after.write.mode("overwrite").parquet(f"{state}/after={batch_id}")
         df.unpersist()

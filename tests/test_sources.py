@@ -84,7 +84,6 @@ def test_embedding_csv(spark):
 def test_embedding_store_cap(spark):
     df = spark.createDataFrame([(b, 0, [1.0]) for b in (0, 10, 11, 2500)], "batch_no long, seq_idx int, embedding array<double>")
     assert E.read_embeddings(spark, E.write_embeddings(df)).count() == 4
-    assert E.read_embeddings(spark, E.write_embeddings(df, max_saved_batch_no=10)).count() == 2
 
 
 def test_indented_run_metrics(spark, tmp_path):
