@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seqflow.llm.decontaminate import contamination
-from seqflow.llm.encode import decode, encode
+from seqflow.llm.encode import encode
 from seqflow.llm.exact_dedup import exact_dedup
 from seqflow.llm.importance import resample
 from seqflow.llm.ngram_join import ngram_components
@@ -42,8 +42,7 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, ids, n_tokens, decoded`` of what is left."""
-    path = public_tokenizers.path("word_bpe_49k.json")
-    rows = decode(encode(docs, path), path)
+    rows = encode(docs, public_tokenizers.path("word_bpe_49k.json"), decoded=True)
     return rows.select("doc_id", "ids", F.size("ids").cast("bigint").alias("n_tokens"), "decoded")
 
 

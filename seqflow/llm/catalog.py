@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 import corpus_pipeline
 from seqflow.catalog.registry import Query
 from seqflow.llm.decontaminate import contamination
-from seqflow.llm.encode import decode, encode
+from seqflow.llm.encode import encode
 from seqflow.llm.exact_dedup import exact_dedup
 from seqflow.llm.importance import resample
 from seqflow.llm.licenses import license_report
@@ -53,8 +53,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op2_encode_decode")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path("word_bpe_49k.json")
-    rows = decode(encode(table(spark, sf_dir, "documents"), path), path)
+    rows = encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), decoded=True)
     return rows.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))

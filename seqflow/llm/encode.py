@@ -16,10 +16,23 @@ from seqflow.llm.texts import Memo, kept_in_worker, list_array, map_texts, slice
 CHUNKS = 200_000
 
 
-def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _names(vocab: Vocabulary) -> dict[int, str]:
+    return {i: t for t, i in (vocab.tokens | vocab.special).items()}
+
+
+def _text(name: dict[int, str], ids: list[int] | None) -> str | None:
+    try:
+        return None if ids is None else " ".join(map(name.__getitem__, ids))
+    except KeyError:
+        return " ".join(name[i] for i in ids if i in name)
+
+
+def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text",
+           decoded: bool = False) -> DataFrame:
     """``doc_id, ids``: the token ids of every row; null and empty texts give an empty list.
 
-    Special strings inside a text are special tokens.
+    Special strings inside a text are special tokens. ``decoded`` adds what ``decode`` makes of the ids, in the
+    same pass and the same Python worker.
     """
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.read(vocabulary))  # of fixed size
 
@@ -27,20 +40,20 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
         own = Merger(shared.value)
         special = {t: np.int32(i).tobytes() for t, i in own.vocab.special.items()}
         words = Memo(lambda w: array("i", own.encode_word(w)).tobytes(), limit=100_000)
-        return own, special, Memo(lambda c: b"".join(map(words.__getitem__, own.pre_tokens(c))), limit=CHUNKS)
+        return own, special, Memo(lambda c: b"".join(map(words.__getitem__, own.pre_tokens(c))), limit=CHUNKS), _names(own.vocab)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, special, parts = kept_in_worker(("encode", vocabulary), tools)
+        own, special, parts, name = kept_in_worker(("encode", vocabulary), tools)
         for b in batches:
             texts = [b"".join([special[piece] if is_special else b"".join(map(parts.__getitem__, own.chunks(piece)))
                                for piece, is_special in own.pieces(t.decode())]) for t in utf8(b.column(1))]
-            values = pa.array(np.frombuffer(b"".join(texts), np.int32))
-            yield pa.RecordBatch.from_arrays([
-                b.column(0).cast(pa.int64()), list_array(np.array([len(t) // 4 for t in texts]), values)],
-                ["doc_id", "ids"])
+            ids = list_array(np.array([len(t) // 4 for t in texts]), pa.array(np.frombuffer(b"".join(texts), np.int32)))
+            out = pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), ids], ["doc_id", "ids"])
+            yield out.append_column("decoded", pa.array([
+                _text(name, np.frombuffer(t, np.int32).tolist()) for t in texts], pa.string())) if decoded else out
 
     source = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return map_texts(source, ["doc_id", "text"], run, "doc_id bigint, ids array<int>")
+    return map_texts(source, ["doc_id", "text"], run, "doc_id bigint, ids array<int>" + ", decoded string" * decoded)
 
 
 def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
@@ -49,22 +62,11 @@ def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids", out: str =
     A vocabulary file without a decoding rule sets one space between token strings, as the files with
     word ends do. Unknown and null ids give nothing; a null list gives a null text.
     """
-    vocab = Vocabulary.read(vocabulary)
-    names = {i: t for t, i in (vocab.tokens | vocab.special).items()}
-    shared = encoded.sparkSession.sparkContext.broadcast(names)  # of fixed size
-
+    shared = encoded.sparkSession.sparkContext.broadcast(_names(Vocabulary.read(vocabulary)))  # of fixed size
     at = encoded.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name = shared.value
-
-        def text(ids):
-            try:
-                return None if ids is None else " ".join(map(name.__getitem__, ids))
-            except KeyError:
-                return " ".join(name[i] for i in ids if i in name)
-
         for b in slices(batches):
-            yield b.append_column(out, pa.array([text(ids) for ids in b.column(at).to_pylist()], pa.string()))
+            yield b.append_column(out, pa.array([_text(shared.value, i) for i in b.column(at).to_pylist()], pa.string()))
 
     return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField(out, StringType())]))

@@ -57,6 +57,8 @@ def test_encode_and_decode(edge, none, smoke):
             ids = t.encode(x or "", add_special_tokens=False).ids
             want[(i, tuple(ids), t.decode(ids, skip_special_tokens=False))] += 1
         assert Counter((r.doc_id, tuple(r.ids), r.decoded) for r in out) == want
+        assert bag(encode.encode(docs, WORDS, decoded=True).withColumn("ids", F.array_join("ids", " ")), "doc_id", "ids", "decoded") == Counter(
+            {(i, " ".join(map(str, ids)), x): n for (i, ids, x), n in want.items()})
     assert encode.encode(none, WORDS).count() == 0
 
 
