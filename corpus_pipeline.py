@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seqflow.llm.decontaminate import contamination
 from seqflow.llm.encode import encode
-from seqflow.llm.exact_dedup import exact_dedup
+from seqflow.llm.exact_dedup import exact_dedup, text_class
 from seqflow.llm.importance import resample
 from seqflow.llm.ngram_join import ngram_components
-from seqflow.llm.rows import keep_rows
+from seqflow.llm.rows import keep_rows, with_row_key
+from seqflow.llm.texts import free_name, same
 from seqflow.session import materialize
 
 #: Fitted models, random sampling and merges have no SQL form.
@@ -18,26 +19,34 @@ ORACLE_SQL = None
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects, by importance resampling, go."""
-    scored = resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return keep_rows(docs, scored.where("sampled").select("doc_id"))
+    """Rows that the classifier rejects, by importance resampling, go."""
+    rows, key = with_row_key(docs)
+    scored = resample(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"), row_col=key)
+    return keep_rows(rows, scored.where("sampled").select(F.col("row").alias(key)), key).drop(key)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the largest id stays."""
-    return keep_rows(docs, exact_dedup(docs).where("kept").select("doc_id"), one_per_id=True)
+    """Of equal texts, the row with the largest id stays; one row of those that repeat both."""
+    of_text = free_name(docs, "__text")
+    rows = docs.withColumn(of_text, text_class(F.col("text")))
+    kept = exact_dedup(docs).where("kept").select("doc_id", F.col("text_sha256").alias(of_text))
+    return keep_rows(rows, kept, ["doc_id", of_text], one_per_id=True).drop(of_text)
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by shared n-grams, the document with the smallest id stays."""
-    groups = ngram_components(docs)
-    return keep_rows(docs, groups.where("doc_id <=> component_id").select("doc_id"), one_per_id=True)
+    """Of each group linked by shared n-grams, one row with the smallest id stays, with a null id only if all are null."""
+    rows, key = with_row_key(docs)
+    groups = ngram_components(rows, id_col=key).select(F.col("doc_id").alias(key), F.col("component_id").alias("component"))
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text"), F.col(key).alias("key"))
+    first = same(rows.select(key, order.alias("order")), groups, [key], "inner").groupBy("component").agg(F.min("order").alias("order"))
+    return keep_rows(rows, first.select(F.col("order.key").alias(key)), key).drop(key)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with too large a share of benchmark words go."""
-    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return keep_rows(docs, found.where(~F.col("contaminated")).select("doc_id"))
+    """Rows with too large a share of benchmark words go."""
+    rows, key = with_row_key(docs)
+    found = contamination(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=key)
+    return keep_rows(rows, found.where(~F.col("contaminated")).select(F.col("doc_id").alias(key)), key).drop(key)
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

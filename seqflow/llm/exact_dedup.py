@@ -15,12 +15,13 @@ chain of one key.
 from __future__ import annotations
 
 import hashlib
+import string
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from seqflow.llm.texts import map_texts, same, utf8
 from seqflow.session import materialize
@@ -51,6 +52,11 @@ def _describe(key_bits: int):
     return run
 
 
+def text_class(text: Column) -> Column:
+    """``text_sha256`` of a text: equal for texts that count as copies."""
+    return F.sha2(F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase), 256)
+
+
 def _collapse(key_bits: int):
     """One row for each distinct text of a batch: its largest id and its number of rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -86,9 +86,10 @@ def fit(docs: DataFrame, known: dict[int, int], bits: int = BITS) -> np.ndarray:
 
 
 def ratios(docs: DataFrame, table: np.ndarray, known: dict[int, int]) -> DataFrame:
-    """``doc_id, n_grams, ratio, label`` for ``doc_id, text``; a text without n-grams has ratio 0."""
+    """``doc_id, n_grams, ratio, label`` for ``doc_id, text``, and ``row`` as it came; a text without n-grams has ratio 0."""
     bits = int(table.size).bit_length() - 1
     shared = docs.sparkSession.sparkContext.broadcast((table, known))
+    carried = ["row"] if "row" in docs.columns else []
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams(bits)
@@ -99,9 +100,10 @@ def ratios(docs: DataFrame, table: np.ndarray, known: dict[int, int]) -> DataFra
             yield pa.RecordBatch.from_arrays([
                 pa.array(ids, pa.int64()), pa.array([len(g) for g in found], pa.int64()),
                 pa.array([float(weights[g].sum() / (len(g) + PRIOR)) for g in found], pa.float64()),
-                pa.array([labels.get(i) for i in ids], pa.int32())], ["doc_id", "n_grams", "ratio", "label"])
+                pa.array([labels.get(i) for i in ids], pa.int32()), *b.columns[2:]],
+                ["doc_id", "n_grams", "ratio", "label", *carried])
 
-    return map_texts(docs, ["doc_id", "text"], score, SCORED)
+    return map_texts(docs, ["doc_id", "text", *carried], score, SCORED + ", row bigint" * len(carried))
 
 
 def best_cut(scores: np.ndarray, labels: np.ndarray) -> float:
@@ -144,14 +146,16 @@ def gumbel(seed: int):
 
 
 def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS,
-             sample: int = SAMPLE, sharpness: float = SHARPNESS, seed: int = 7) -> DataFrame:
-    """``doc_id, n_grams, ratio, gumbel_key, accepted, sampled`` for every row.
+             sample: int = SAMPLE, sharpness: float = SHARPNESS, seed: int = 7, row_col: str | None = None) -> DataFrame:
+    """``doc_id, n_grams, ratio, gumbel_key, accepted, sampled`` for every row, and its ``row_col`` (a bigint) as ``row``.
 
     ``accepted``: the ratio reaches the cut. ``sampled``: among the k largest keys, k being the number
     of accepted rows; equal keys (rows that repeat an id and a text) stand or fall together. A
     null or empty text has ratio 0. Without labels of both kinds every row is accepted and sampled.
     """
-    source = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    carried = [] if row_col is None else ["row"]
+    source = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"),
+                         *[F.col(f"`{row_col}`").alias(c) for c in carried])
     known = label_sample(labels, sample)
     scored = stored(ratios(source, fit(source, known, bits), known), "ratios")
     seen = scored.where("label IS NOT NULL").select("ratio", "label").collect()  # labelled rows of the sample
@@ -161,4 +165,4 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     k = keyed.where("accepted").count()
     last = kth_largest(keyed, "gumbel_key", k) if k else float("inf")
     return keyed.select("doc_id", "n_grams", "ratio", "gumbel_key", "accepted",
-                        (F.col("gumbel_key") >= F.lit(last)).alias("sampled"))
+                        (F.col("gumbel_key") >= F.lit(last)).alias("sampled"), *carried)

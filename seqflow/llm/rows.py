@@ -30,19 +30,34 @@ def release(*frames: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", one_per_id: bool = False) -> DataFrame:
-    """Rows of ``docs`` whose id is in ``kept``, with all their columns; null ids match null.
+def with_row_key(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, str]:
+    """``docs`` with a bigint of its own for every row, and that column's name.
+
+    The id itself where ids are unique and none is null. Otherwise rows are numbered, and stored with
+    their number, so that a later plan sees the same one.
+    """
+    key, id_ = free_name(docs, "__key"), F.col(f"`{id_col}`").cast("bigint")
+    shared = docs.groupBy(id_.alias("id")).count().where("id IS NULL OR count > 1")
+    if shared.isEmpty():
+        return docs.withColumn(key, id_), key
+    return stored(docs.withColumn(key, F.monotonically_increasing_id()), "numbered-rows"), key
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str | list[str] = "doc_id", one_per_id: bool = False) -> DataFrame:
+    """Rows of ``docs`` whose id, of one or more columns, is in ``kept``, with all their columns; null ids match null.
 
     With ``one_per_id``, one row stays of those that repeat an id. Only these few are ranked; the
     others are not shuffled again.
     """
-    out = same(docs, kept.distinct(), [id_col], "left_semi")
+    ids = [id_col] if isinstance(id_col, str) else id_col
+    out = same(docs, kept.distinct(), ids, "left_semi")
     if not one_per_id:
         return out
-    repeated = kept.groupBy(f"`{id_col}`").count().where("count > 1").select(f"`{id_col}`")
+    quoted = [f"`{c}`" for c in ids]
+    repeated = kept.groupBy(*quoted).count().where("count > 1").select(*quoted)
     if repeated.isEmpty():
         return out
-    first = W.partitionBy(f"`{id_col}`").orderBy(*[F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])])
+    first = W.partitionBy(*quoted).orderBy(*[F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])])
     nth = free_name(docs, "__nth")
-    some = same(out, repeated, [id_col], "left_semi").withColumn(nth, F.row_number().over(first))
-    return same(out, repeated, [id_col], "left_anti").unionByName(some.where(F.col(nth) == 1).drop(nth))
+    some = same(out, repeated, ids, "left_semi").withColumn(nth, F.row_number().over(first))
+    return same(out, repeated, ids, "left_anti").unionByName(some.where(F.col(nth) == 1).drop(nth))

@@ -1,9 +1,14 @@
 """The stages against plain Python, and on edge cases."""
 
+from collections import Counter
+
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from seqflow.llm import importance
+from seqflow.llm.rows import with_row_key
 from test_operators import brute_components, brute_hits, lower
 
 
@@ -36,3 +41,34 @@ def test_stages_on_edges(spark, smoke_dir, edge, none):
         out = stage(spark, edge, smoke_dir)
         assert out.columns == edge.columns and 0 < out.count() <= edge.count()
         assert stage(spark, none, smoke_dir).count() == 0
+
+
+def test_rows_of_one_id_are_decided_one_by_one(spark, smoke_dir):
+    texts = [" ".join(f"{w}{k}" for w in "red fox ran over some old stone wall by night".split()) for k in "abcdefg"]
+    near = " ".join([*texts[5].split() * 2, "tail"])
+    docs = spark.createDataFrame([(None, t) for t in texts[:3]] + [
+        (7, texts[3]), (7, texts[4]), (7, texts[3].upper()), (8, texts[3]),  # 7 loses one text, not the other
+        (4, " ".join(texts[5].split() * 2)), (9, near), (9, texts[6])], "doc_id long, text string").repartition(3)
+    exact = corpus_pipeline.dedup_stage(spark, docs, smoke_dir)
+    left = sorted(((r.doc_id or 0, r.text) for r in exact.collect()))
+    assert left == sorted([(0, t) for t in texts[:3]] + [(7, texts[4]), (8, texts[3]), (9, texts[6]), (9, near),
+                                                        (4, " ".join(texts[5].split() * 2))])
+    near_left = sorted((r.doc_id or 0, r.text) for r in corpus_pipeline.near_copy_stage(spark, exact, smoke_dir).collect())
+    assert near_left == [r for r in left if r != (9, near)]
+    bad = spark.read.parquet(f"{smoke_dir}/benchmark.parquet").where("length(text) > 100").first().text
+    mixed = docs.unionByName(spark.createDataFrame([(7, bad), (None, bad)], docs.schema))
+    clean = corpus_pipeline.benchmark_stage(spark, mixed, smoke_dir)
+    assert sorted((r.doc_id or 0, r.text) for r in clean.collect()) == sorted((r.doc_id or 0, r.text) for r in docs.collect())
+
+
+def test_null_ids_are_sampled_one_by_one(spark, smoke_dir):
+    docs = spark.read.parquet(f"{smoke_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{smoke_dir}/labels.parquet")
+    bad = docs.join(labels.where("quality = 0"), "doc_id", "left_semi").select("text").distinct().limit(8)
+    mixed = docs.unionByName(bad.selectExpr("NULL AS doc_id", "text", "'en' AS lang", "'x' AS source", "1 AS n_chars").select(
+        *[F.col(c).cast(docs.schema[c].dataType) for c in docs.columns]))
+    rows, key = with_row_key(mixed)
+    scored = {r.row: r.sampled for r in importance.resample(rows, labels, row_col=key).collect()}
+    want = Counter((r.doc_id, r.text) for r in rows.collect() if scored[r[key]])
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.quality_stage(spark, mixed, smoke_dir).collect())
+    assert got == want and len(scored) == mixed.count()
