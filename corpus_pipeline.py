@@ -16,6 +16,8 @@ from seqflow.session import materialize
 
 #: Fitted models, random sampling and merges have no SQL form.
 ORACLE_SQL = None
+#: Near copies share this part of their word n-grams (Jaccard). op4 has values of its own, which its SQL fixes.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +38,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by shared n-grams, one row with the smallest id stays, with a null id only if all are null."""
     rows, key = with_row_key(docs)
-    groups = ngram_components(rows, id_col=key).select(F.col("doc_id").alias(key), F.col("component_id").alias("component"))
+    groups = ngram_components(rows, id_col=key, words=NEAR_WORDS, percent=NEAR_PERCENT).select(F.col("doc_id").alias(key), F.col("component_id").alias("component"))
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text"), F.col(key).alias("key"))
     first = same(rows.select(key, order.alias("order")), groups, [key], "inner").groupBy("component").agg(F.min("order").alias("order"))
     return keep_rows(rows, first.select(F.col("order.key").alias(key)), key).drop(key)

@@ -1,5 +1,6 @@
 """The stages against plain Python, and on edge cases."""
 
+import random
 from collections import Counter
 
 import public_tokenizers
@@ -9,7 +10,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from seqflow.llm import importance
 from seqflow.llm.rows import with_row_key
-from test_operators import brute_components, brute_hits, lower
+from test_operators import brute_components, brute_hits, grams, lower
 
 
 def test_stages_one_after_another(spark, smoke_dir):
@@ -72,3 +73,28 @@ def test_null_ids_are_sampled_one_by_one(spark, smoke_dir):
     want = Counter((r.doc_id, r.text) for r in rows.collect() if scored[r[key]])
     got = Counter((r.doc_id, r.text) for r in corpus_pipeline.quality_stage(spark, mixed, smoke_dir).collect())
     assert got == want and len(scored) == mixed.count()
+
+
+def test_near_copies_of_five_words_at_80_percent(spark, smoke_dir):
+    rng = random.Random(4)
+    docs = []
+    for n in (40, 90, 150):
+        for _ in range(6):
+            base = [f"w{rng.randrange(10 ** 6)}" for _ in range(n)]
+            docs.append(base)
+            for cut in (n // 20, n // 10, n // 6, n // 4):  # an added stretch of words
+                at = rng.randrange(n)
+                docs.append(base[:at] + [f"w{rng.randrange(10 ** 6)}" for _ in range(cut)] + base[at:])
+    table = [(i, " ".join(d)) for i, d in enumerate(docs)]
+
+    def firsts(words, percent):
+        sets = [grams(t, words) for _, t in table]
+        root = list(range(len(sets)))
+        for x in range(len(sets)):
+            for y in range(x):
+                if root[x] != root[y] and 100 * len(sets[x] & sets[y]) >= percent * len(sets[x] | sets[y]):
+                    a, b = sorted((root[x], root[y]))
+                    root = [a if r == b else r for r in root]
+        return sorted(set(root))
+    out = corpus_pipeline.near_copy_stage(spark, spark.createDataFrame(table, "doc_id long, text string").repartition(5), smoke_dir)
+    assert sorted(r.doc_id for r in out.collect()) == firsts(5, 80) != firsts(4, 85)
