@@ -26,6 +26,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             break
         before = tuple(state)
         pairs = stored(_small_star(_large_star(pairs)), "edges")
+    else:
+        raise RuntimeError(f"components have not settled after {MAX_ROUNDS} rounds")
     return pairs.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
         pairs.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 

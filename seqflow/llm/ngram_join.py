@@ -85,7 +85,8 @@ class Levels:
 
         The tag holds the level and, below, in how many of the set's ranges a linked set agrees at least.
         A level with no room for a difference is left out: sets there link only if equal. A set with
-        columns in no more ranges than may differ also gives its empty ranges.
+        columns in no more ranges than may differ also gives its empty ranges. A linked set that doesn't
+        give its own meets it in one range at least, so no more is asked.
         """
         out, tags = [], []
         own = self.of(len(columns))
@@ -101,7 +102,7 @@ class Levels:
             at = part[first]
             need = len(first) - d  # the others of the agreeing ranges may be empty
             if need <= 0:
-                need = ranges - d
+                need = 1
                 empty = np.setdiff1d(np.arange(ranges, dtype=np.uint64), at)
                 at, sums = np.concatenate([at, empty]), np.concatenate([sums, np.zeros(len(empty), np.uint64)])
             out.append(mix(sums + mix(at + np.uint64(level << 32))))

@@ -146,6 +146,29 @@ def test_components_equal_brute_force(spark, monkeypatch, rows_per_block):
     assert len({c for _, c in got.values()}) > 10
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_linked_tiny_sets_meet_in_as_many_ranges_as_they_need(percent):
+    levels, rng = ngram_join.Levels(percent), random.Random(6)
+    for _ in range(3000):
+        n, parts = rng.randrange(4, 16), rng.choice([1, 2, 3])
+        low = [rng.randrange(4) for _ in range(parts)]
+        columns = {(rng.choice(low) << 62) + rng.randrange(1 << 62) for _ in range(n)}
+        more = columns | {rng.randrange(1 << 64) for _ in range(rng.choice([1, 1, 2]))}
+        if not ngram_join.linked(len(columns), len(columns), len(more), percent):
+            continue
+        one, two = (dict(zip(*(x.tolist() for x in levels.fingerprints(np.array(sorted(c), np.uint64))))) for c in (columns, more))
+        met, ends = Counter(one[s] // ngram_join.NEED for s in one.keys() & two.keys()), []
+        for tags in (one, two):
+            ends.append({t // ngram_join.NEED for t in tags.values() if met[t // ngram_join.NEED] >= t % ngram_join.NEED})
+        assert ends[0] & ends[1]
+
+
+def test_components_that_do_not_settle_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(components, "MAX_ROUNDS", 1)
+    with pytest.raises(RuntimeError):
+        components.connected_components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long"))
+
+
 def test_components_on_edges(edge, none):
     got = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.ngram_components(edge).collect()}
     assert {(1, 3, 1), (2, 3, 1), (None, 3, 1), (3, 0, 3), (4, 0, 4), (6, 1, 6), (8, 1, 8), (None, 0, None)} <= got
