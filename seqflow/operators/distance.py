@@ -14,6 +14,7 @@ from seqflow.session import materialize
 
 BROADCAST_BYTES = 64 << 20
 BLOCK_ROWS = 4096
+BLOCK_BYTES = 4 << 20
 # Distances are kept to 12 decimals, so equal ones rank as ties no matter in
 # which order their terms were added up.
 DECIMALS = 12
@@ -31,9 +32,14 @@ def _nearest(a: np.ndarray, r: np.ndarray, reduction: str) -> tuple[np.ndarray,
     """Per row of ``a``: reduced cosine and Euclidean distance to the rows of ``r``.
 
     Matrix products find the close pairs; the winning Euclidean distances are
-    then recomputed from differences so that no digits are lost.
+    then recomputed from differences so that no digits are lost. A pair whose distance is NaN
+    doesn't count for the nearest; the mean and a row that has no other pair become NaN.
     """
     cos_out, l2_out = np.empty(len(a)), np.empty(len(a))
+    if reduction == "min":
+        r = r[~np.isnan(r).any(1)]
+        if not len(r):
+            return np.full(len(a), np.nan), np.full(len(a), np.nan)
     nr = np.sqrt((r * r).sum(1))
     unit_r = r / np.where(nr == 0, 1.0, nr)[:, None]
     step = max(1, (1 << 22) // max(1, len(r)))
@@ -46,14 +52,15 @@ def _nearest(a: np.ndarray, r: np.ndarray, reduction: str) -> tuple[np.ndarray,
             cos_out[at:at + step] = cos.mean(1)
             l2_out[at:at + step] = np.sqrt(np.maximum(sq, 0.0)).mean(1)
             continue
-        cos_out[at:at + step] = cos.min(1)
+        cos_out[at:at + step] = np.fmin.reduce(cos, axis=1)
         slack = 1e-12 * (nx * nx + (nr * nr).max())
-        best = np.full(len(x), np.inf)
-        rows, cols = np.nonzero(sq <= (sq.min(1) + slack)[:, None])
+        best = np.full(len(x), np.nan)
+        close = (sq <= (np.fmin.reduce(sq, axis=1) + slack)[:, None]) | np.isnan(sq)
+        rows, cols = np.nonzero(close & ~np.isnan(x).any(1)[:, None])
         for lo in range(0, len(rows), 1 << 16):
             i, j = rows[lo:lo + (1 << 16)], cols[lo:lo + (1 << 16)]
             diff = x[i] - r[j]
-            np.minimum.at(best, i, np.sqrt((diff * diff).sum(1)))
+            np.fmin.at(best, i, np.sqrt((diff * diff).sum(1)))
         l2_out[at:at + step] = best
     return cos_out, l2_out
 
@@ -85,25 +92,27 @@ def _small_reference(cand: DataFrame, ref: DataFrame, vec_col: str, by: list[str
 
     @F.arrow_udf(_RESULT)
     def nearest(k: pa.Array, v: pa.Array) -> pa.Array:
-        cos, l2 = np.full(len(v), np.nan), np.full(len(v), np.nan)
+        cos, l2, none = np.full(len(v), np.nan), np.full(len(v), np.nan), np.ones(len(v), bool)
         x, known = _matrix(v), shared.value
         for name, at in _rows_by_key(k):
             if name in known:
                 cos[at], l2[at] = _nearest(x[at], known[name], reduction)
+                none[at] = False
         return pa.StructArray.from_arrays(
-            [pa.array(cos, from_pandas=True), pa.array(l2, from_pandas=True)], ["cos", "l2"])
+            [pa.array(d, mask=none, from_pandas=False) for d in (cos, l2)], ["cos", "l2"])
 
     return cand.withColumn("_d", nearest(_key(by), F.col(vec_col)))
 
 
-def _block_grid(cand: DataFrame, ref: DataFrame, id_col: str, vec_col: str, by: list[str],
-                reduction: str, block_rows: int) -> DataFrame:
+def _block_grid(cand: DataFrame, ref: DataFrame, vec_col: str, by: list[str], reduction: str,
+                block_rows: int) -> DataFrame:
     """Both sides are cut into blocks of bounded size; each task reduces one
-    (candidate block, reference block) cell, and cells merge by id."""
+    (candidate block, reference block) cell, and cells merge by row number."""
     vec = F.col(vec_col).cast("array<double>").alias("v")
-    left = cand.select(_key(by).alias("k"), F.col(id_col).alias("id"), vec)
     # Stored, so that a retried task sees the same row numbers. They, not the
-    # vectors, choose the block: copies of one vector spread over all blocks.
+    # vectors or ids, choose the block: copies spread over all blocks.
+    numbered = materialize(cand.withColumn("_row", F.monotonically_increasing_id()), "candidates")
+    left = numbered.select(_key(by).alias("k"), F.col("_row").alias("id"), vec)
     right = materialize(ref.select(_key(by).alias("k"), F.monotonically_increasing_id().alias("rid"), vec), "reference")
 
     def blocks(df: DataFrame, name: str) -> DataFrame:
@@ -130,18 +139,15 @@ def _block_grid(cand: DataFrame, ref: DataFrame, id_col: str, vec_col: str, by:
                          "n": pa.array(np.full(len(a), len(r), dtype=np.int64))})
 
     grid = ["k", "cb", "rb"]
-    id_type = cand.schema[id_col].dataType.simpleString()
     partial = cells_l.groupBy(*grid).cogroup(cells_r.groupBy(*grid)).applyInArrow(
-        cell, f"k string, id {id_type}, cos double, l2 double, n bigint")
+        cell, "k string, id bigint, cos double, l2 double, n bigint")
     if reduction == "mean":
         cos = F.sum(F.col("cos") * F.col("n")) / F.sum("n")
         l2 = F.sum(F.col("l2") * F.col("n")) / F.sum("n")
     else:
         cos, l2 = F.min("cos"), F.min("l2")
-    merged = partial.groupBy("k", "id").agg(F.struct(cos.alias("cos"), l2.alias("l2")).alias("_d"))
-    keyed = cand.withColumn("_k", _key(by)).withColumn("_id", F.col(id_col))
-    renamed = merged.select(F.col("k").alias("_k"), F.col("id").alias("_id"), "_d")
-    return keyed.join(renamed, ["_k", "_id"], "left").drop("_k", "_id")
+    merged = partial.groupBy(F.col("id").alias("_row")).agg(F.struct(cos.alias("cos"), l2.alias("l2")).alias("_d"))
+    return numbered.join(merged, "_row", "left").drop("_row")
 
 
 def _reference_bytes(ref: DataFrame, vec_col: str) -> int:
@@ -166,7 +172,7 @@ def nearest_distances(cand: DataFrame, ref: DataFrame, id_col: str = "id", vec_c
     if _reference_bytes(ref, vec_col) <= max_broadcast_bytes:
         out = _small_reference(cand, ref, vec_col, by, reduction)
     else:
-        out = _block_grid(cand, ref, id_col, vec_col, by, reduction, block_rows)
+        out = _block_grid(cand, ref, vec_col, by, reduction, block_rows)
     return out.select(*cand.columns, F.round("_d.cos", DECIMALS).alias(cos_name),
                       F.round("_d.l2", DECIMALS).alias(l2_name))
 
@@ -178,18 +184,24 @@ def pair_distances(cand: DataFrame, ref: DataFrame, ref_id: str, by: Sequence[st
 
     A report for small reference sets; ranking uses ``nearest_distances``,
     which never makes a pair a row. Within ``by`` it is an equi-join; without,
-    the reference rows travel as one size-checked array.
+    the reference rows travel as one size-checked array, or as several of bounded size.
     """
+    one = F.struct(F.col(ref_id).alias("ref_id"), F.col(vec_col).alias("_rv"))
     if by:
         right = ref.select(*by, F.col(ref_id).alias("ref_id"), F.col(vec_col).alias("_rv"))
         both = join_on(cand, right, list(by), "inner")
-    else:
-        if _reference_bytes(ref, vec_col) > max_broadcast_bytes:
-            raise ValueError("reference set too large for a full matrix; use nearest_distances")
-        packed = ref.agg(F.collect_list(F.struct(F.col(ref_id).alias("ref_id"),
-                                                 F.col(vec_col).alias("_rv"))))
+    elif (size := _reference_bytes(ref, vec_col)) <= max_broadcast_bytes:
+        packed = ref.agg(F.collect_list(one))
         both = (cand.withColumn("_r", F.explode(packed.scalar()))
                 .select(*cand.columns, "_r.ref_id", "_r._rv"))
+    else:
+        blocks = -(-size // max(1, min(max_broadcast_bytes, BLOCK_BYTES)))
+        # Stored, so that a retried task sees the same row numbers.
+        numbered = materialize(ref.select(one.alias("_one"), F.monotonically_increasing_id().alias("_n")), "reference")
+        packed = numbered.groupBy(F.pmod(F.xxhash64("_n"), F.lit(blocks)).alias("_b")).agg(F.collect_list("_one").alias("_rs"))
+        every = cand.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
+        both = (every.join(packed, "_b").withColumn("_r", F.explode("_rs"))
+                .select(*cand.columns, "_r.ref_id", "_r._rv"))
     return both.select(*cand.columns, "ref_id",
                        cosine_distance(vec_col, "_rv").alias("cos_dist"),
                        l2_distance(vec_col, "_rv").alias("l2_dist"))

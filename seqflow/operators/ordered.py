@@ -9,6 +9,7 @@ row per ``(key, chunk)`` carries totals across chunks.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -26,16 +27,17 @@ def chunk_bounds(df: DataFrame, order: str, chunk_rows: int = CHUNK_ROWS,
     if chunks <= 1:
         return []
     probs = ", ".join(f"{i / chunks!r}D" for i in range(1, chunks))
-    sketch = F.expr(f"percentile_approx(CAST(`{order}` AS DOUBLE), array({probs}), {20 * chunks})")
-    return sorted(set(df.agg(sketch).first()[0]))
+    sketch = F.expr(f"percentile_approx(nullif(CAST(`{order}` AS DOUBLE), DOUBLE('NaN')), array({probs}), {20 * chunks})")
+    return sorted(b for b in set(df.agg(sketch).first()[0] or []) if math.isfinite(b))
 
 
 def with_chunk(df: DataFrame, order: str, bounds: Sequence[float]) -> DataFrame:
-    """Add the chunk number of every row. Equal order values share a chunk."""
+    """Add the chunk number of every row. Equal order values share a chunk; nulls are in the first, NaN in the last."""
     if not bounds:
         return df.withColumn(CHUNK, F.lit(0))
     splits = [float("-inf"), *bounds, float("inf")]
-    raw = df.withColumn("_order", F.col(order).cast("double"))
+    value = F.col(order).cast("double")
+    raw = df.withColumn("_order", F.when(value.isNull(), splits[0]).when(F.isnan(value), splits[-1]).otherwise(value))
     cut = Bucketizer(splits=splits, inputCol="_order", outputCol="_bucket", handleInvalid="error")
     return (cut.transform(raw).withColumn(CHUNK, F.col("_bucket").cast("int"))
             .drop("_order", "_bucket"))
@@ -91,7 +93,7 @@ def previous(df: DataFrame, order: str, cols: Mapping[str, str], by: Sequence[st
     parts = chunked(df, order, **chunking)
     keys = [*by, CHUNK]
     values = F.struct(*[F.col(c).alias(n) for n, c in cols.items()])
-    last = parts.groupBy(*keys).agg(F.max_by(values, F.col(order)).alias("_last"))
+    last = parts.groupBy(*keys).agg(F.max_by(values, F.struct(order)).alias("_last"))  # a null order counts too
     carry = last.select(*keys, F.lag("_last").over(W.partitionBy(*by).orderBy(CHUNK)).alias("_carry"))
     here = W.partitionBy(*keys).orderBy(order)
     local = parts.select("*", F.lag(values).over(here).alias("_prev"),

@@ -95,3 +95,24 @@ def test_most_distant(spark, data, groups, k):
         want = sorted(mine, key=lambda i: (avg[i], i))[:k]
         rows = sorted((r for r in got.collect() if r.g == f"g{g}"), key=lambda r: r.pos)
         assert [(r.id, r.avg_rank) for r in rows] == [(i, avg[i]) for i in want]
+
+
+@pytest.mark.parametrize("reduction", ["min", "mean"])
+def test_branches_agree_on_repeated_ids_and_nan(spark, data, reduction):
+    nan = float("nan")
+    cand = spark.createDataFrame([(1, [0.0, 1.0]), (1, [5.0, 1.0]), (2, [nan, 1.0]), (None, [2.0, 2.0])], "id long, embedding array<double>")
+    ref = spark.createDataFrame([(k, [float(k), 2.0]) for k in range(6)] + [(9, [nan, 0.0])], "id long, embedding array<double>")
+    got = []
+    for options in ({}, {"max_broadcast_bytes": 0, "block_rows": 2}):
+        out = nearest_distances(cand, ref, reduction=reduction, **options).collect()
+        got.append(sorted((str(r.id), str(r.embedding), str(r.min_cos), str(r.min_l2)) for r in out))
+    assert got[0] == got[1] and len(got[0]) == 4
+    if reduction == "min":
+        assert [x[3] for x in got[0]] == ["1.0", "1.0", "nan", "0.0"]
+
+
+def test_matrix_of_a_large_reference(spark, data):
+    cand, ref = (frame(spark, m, 1) for m in data)
+    pairs = [sorted(map(str, pair_distances(cand, ref.withColumnRenamed("id", "rid"), "rid", **o).drop("embedding").collect()))
+             for o in ({}, {"max_broadcast_bytes": 700})]
+    assert pairs[0] == pairs[1] and len(pairs[0]) == 120 * 30

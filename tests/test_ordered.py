@@ -77,3 +77,18 @@ def test_ranks_with_heavy_tie(spark, rows, desc):
     for (k, x), r in got.items():
         assert r == 1 + sum(1 for kk, xx in data if kk == k and (xx > x if desc else xx < x))
     assert len(got) == len(set(data))
+
+
+def test_null_and_nan_order_values_at_every_size(spark):
+    values = [None, *map(float, range(200)), float("nan")]
+    df = spark.createDataFrame([(v, k % 2, k) for k, v in enumerate(values)], "o double, k int, v long").repartition(5)
+    one = O.previous(df, "o", {"p": "v"}, ["k"]).select("v", "p").collect()
+    many = O.previous(df, "o", {"p": "v"}, ["k"], **SMALL).select("v", "p").collect()
+    assert sorted(map(str, one)) == sorted(map(str, many)) and {r.v: r.p for r in many}[201] == 199
+    got = {r.v: r.ord for r in O.ordinal(df, "o", **SMALL).collect()}
+    assert got == {k: k for k in range(len(values))}
+    lone = spark.createDataFrame([(None, 7)] + [(float(k), k + 100) for k in range(60)], "o double, v long")
+    cut = O.with_chunk(lone, "o", [-1.0, 20.0])
+    assert cut.where("o IS NULL").first()[O.CHUNK] == 0
+    nulls = spark.createDataFrame([(None, k) for k in range(90)], "o double, v long")
+    assert O.chunked(nulls, "o", **SMALL).count() == 90
