@@ -16,6 +16,7 @@ from seqflow.llm.line_templates import drop_recurring_lines
 from seqflow.llm.lm_trie import score_texts
 from seqflow.llm.ngram_join import ngram_components
 from seqflow.llm.secret_scan import count_kind, find_secrets, spans_text
+from seqflow.llm.simhash import simhash_groups
 from seqflow.llm.token_counts import count_tokens
 
 LONG_TOKENS = 1024
@@ -150,6 +151,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans", "items")
 
 
+@query("op12_simhash")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(table(spark, sf_dir, "documents"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
