@@ -17,6 +17,7 @@ from seqflow.llm.lm_trie import score_texts
 from seqflow.llm.ngram_join import ngram_components
 from seqflow.llm.secret_scan import count_kind, find_secrets, spans_text
 from seqflow.llm.simhash import simhash_groups
+from seqflow.llm.spelling import spelling_groups
 from seqflow.llm.token_counts import count_tokens
 
 LONG_TOKENS = 1024
@@ -156,6 +157,11 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+@query("op13_spelling")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(table(spark, sf_dir, "documents"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
