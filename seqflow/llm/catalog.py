@@ -15,6 +15,7 @@ from seqflow.llm.licenses import license_report
 from seqflow.llm.line_templates import drop_recurring_lines
 from seqflow.llm.lm_trie import score_texts
 from seqflow.llm.ngram_join import ngram_components
+from seqflow.llm.periodic_runs import periodic_runs, repeated_tail
 from seqflow.llm.secret_scan import count_kind, find_secrets, spans_text
 from seqflow.llm.simhash import simhash_groups
 from seqflow.llm.spelling import spelling_groups
@@ -152,6 +153,20 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans", "items")
 
 
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(table(spark, sf_dir, "documents"), rewrite=repeated_tail)
+    by_length = F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("before"),
+                                                       (-r["period"]).alias("shorter")))
+    top = found.withColumn("top", F.array_max(by_length))
+    line = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","),
+                                                  r["period"].cast("string"), F.lit("\n")))
+    return top.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), (-F.col("top.before")).alias("start"), F.col("top.length").alias("length"),
+        (-F.col("top.shorter")).alias("period"), F.expr("1000 * top.length div -top.shorter").alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 @query("op12_simhash")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
