@@ -12,8 +12,8 @@ from seqflow.catalog.selection import r6
 from seqflow.catalog.sequences import COMP_SQL, SEQS, seq_clean, seqs
 from seqflow.functions import sequences as S
 from seqflow.operators import accounting as A
-from seqflow.operators.embed import embedding_udf
-from seqflow.plans.embedding_job import embedding_job, job_metrics
+from seqflow.operators.embed import embedding_udf, pool_parts
+from seqflow.plans.embedding_job import embedding_job, job_metrics, rejected_rows, token_job
 from seqflow.sources import embeddings as E, fasta, hits as H, runlogs as R
 
 
@@ -122,7 +122,8 @@ def telemetry_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 JOB = f"""{PACKED},
 placed AS (SELECT tok.*, row_number() OVER (PARTITION BY source, batch_no ORDER BY doc_id) - 1 AS seq_idx FROM tok),
-emb AS (SELECT p.*, [{COMP_SQL}] AS v FROM placed p JOIN seqs USING (doc_id, source))"""
+cut AS (SELECT doc_id, source, substr(seq, 1, {S.MAX_TOKENS - S.SPECIAL_TOKENS}) AS seq FROM seqs),
+emb AS (SELECT p.*, [{COMP_SQL}] AS v FROM placed p JOIN cut USING (doc_id, source))"""
 
 
 def run_job(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,6 +145,47 @@ def embedding_job_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return job_metrics(run_job(spark, sf_dir), ["source"])
 
 
+PART_ROWS = 256
+TOKENS = f"""{PACKED}, placed AS (
+  SELECT tok.*, row_number() OVER (PARTITION BY source, batch_no ORDER BY doc_id) - 1 AS seq_idx FROM tok),
+ids AS (SELECT p.source, batch_no, seq_idx, doc_id, list_append(list_transform(range(1, n_tokens - 1),
+    lambda i: strpos('{S.ALPHABET}', substr(seq, i, 1)) - 1), {S.END_ID}) AS ids FROM placed p JOIN seqs USING (doc_id, source)),
+vec AS (SELECT * EXCLUDE (ids), i - 1 AS place, (i - 1) // {PART_ROWS} AS part, ids[i] / 32 AS v0, coalesce(ids[i + 1], 0) / 32 AS v1,
+    (i - 1) / 1024 AS v2, (i = len(ids))::INTEGER::DOUBLE AS v3 FROM ids, LATERAL (SELECT unnest(range(1, len(ids) + 1)) AS i))"""
+_DIMS = range(4)
+
+
+def run_token_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = seqs(spark, sf_dir).select("source", "doc_id", "seq")
+    return token_job(rows, BUDGET, ["source"], "doc_id", part_bytes=PART_ROWS * 8 * len(_DIMS))
+
+
+@query("token_embeddings", f"""WITH RECURSIVE {TOKENS}
+SELECT source, batch_no, seq_idx::INTEGER AS seq_idx, doc_id, part::INTEGER AS part, min(place)::INTEGER AS start, count(*)::INTEGER AS n,
+  {", ".join(f"round(sum(v{i}), 6) AS s{i}" for i in _DIMS)} FROM vec GROUP BY ALL""")
+def token_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vector per token, stored in parts of 256 tokens; the sums of each part's vectors."""
+    def total(i: int):
+        return F.aggregate("vectors", F.lit(0.0), lambda a, v: a + v[i])
+    return run_token_job(spark, sf_dir).select(
+        "source", "batch_no", "seq_idx", "doc_id", "part", "start", F.size("vectors").alias("n"), *[r6(total(i), f"s{i}") for i in _DIMS])
+
+
+@query("token_pool", f"""WITH RECURSIVE {TOKENS}
+SELECT doc_id, count(*)::INTEGER AS n_rows, {", ".join(f"round(avg(v{i}), 6) AS e{i}" for i in _DIMS)} FROM vec GROUP BY doc_id""")
+def token_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean of the stored token vectors of each sequence."""
+    pooled = pool_parts(run_token_job(spark, sf_dir), ["doc_id"])
+    return pooled.select("doc_id", "n_rows", *[r6(F.col("embedding")[i], f"e{i}") for i in _DIMS])
+
+
+@query("rejected_rows", f"""WITH {SEQS} SELECT source, doc_id, length(seq)::INTEGER AS n,
+  CASE WHEN length(seq) = 0 THEN 'empty' ELSE 'oversize' END AS reason FROM seqs WHERE length(seq) = 0 OR length(seq) > {BUDGET}""")
+def rejected_rows_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the embedding job leaves out, and why."""
+    return rejected_rows(seqs(spark, sf_dir, keep_empty=True), BUDGET, ["source", "doc_id"])
+
+
 @query("embed_udf", f"""WITH {SEQS}, e AS (SELECT doc_id, [{COMP_SQL}] AS v FROM seqs WHERE length(seq) > 0)
 SELECT doc_id, {", ".join(f"round(v[{i + 1}], 6) AS e{i}" for i in range(20))} FROM e""")
 def embed_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
