@@ -13,6 +13,10 @@ from seqflow.functions import sequences as S
 from seqflow.session import scratch_path
 from seqflow.streaming import jobs as J
 from seqflow.streaming.drain import drain_append, drain_update, file_stream, table_stream
+from seqflow.streaming.stateful import first_completions, pack_keyed, rocksdb
+
+
+WAVES = 3
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,10 +60,27 @@ def stream_device_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drain_update(counts, ["device"])
 
 
-@query("stream_first_completion", f"WITH {LOG} SELECT DISTINCT event_id - k % 5 AS request_id FROM log")
+@query("stream_first_completion", f"""WITH {LOG}
+SELECT event_id - k % 5 AS request_id, make_timestamp(min(t)) AS first_at, arg_min(kind, (t, kind)) AS kind
+FROM log GROUP BY event_id - k % 5""")
 def stream_first_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = event_stream(spark, sf_dir).select((F.col("event_id") - F.col("k") % 5).alias("request_id"), "ts")
-    return drain_append(J.first_seen(done, "ts", "request_id", "1 day")).select("request_id")
+    """Up to five completions of a request; its later ones arrive in earlier micro-batches."""
+    k = F.get_json_object("props", "$.k").cast("int") % 5
+    ev = table(spark, sf_dir, "events").select(
+        (F.col("event_id") - k).alias("request_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("kind"),
+        F.when(k > 2, 0).when(k > 0, 1).otherwise(2).alias("wave"))
+    last = ev.agg(F.max("ts").alias("ts")).select(
+        F.lit(-1000).cast("bigint").alias("request_id"), (F.col("ts") + F.expr("INTERVAL 4000 DAYS")).alias("ts"), F.lit("end").alias("kind"))
+    inbox, checkpoint, out = (scratch_path(spark, n) for n in ("waves", "stream-ckpt", "stream-out"))
+    columns = ["request_id", "ts", "kind"]
+    ev.select(*columns).limit(0).write.parquet(inbox)
+    stream = file_stream(spark, inbox, "request_id bigint, ts timestamp, kind string")
+    first = first_completions(stream, "request_id", "ts", "kind", "3650 days")
+    with rocksdb(spark):
+        for wave in [ev.where(F.col("wave") == w).select(*columns) for w in range(WAVES)] + [last]:
+            wave.coalesce(1).write.mode("append").parquet(inbox)
+            rows = drain_append(first, checkpoint, out)
+    return rows.where("request_id <> -1000").select("request_id", plain("first_at"), "kind")
 
 
 @query("stream_timeouts", f"""WITH {LOG},
@@ -94,7 +115,18 @@ def stream_token_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.pack_stream(docs, "doc_id", "n", BUDGET, ["source"])
 
 
-WAVES = 3
+@query("stream_batches_resumed", f"WITH RECURSIVE {PACKED} SELECT source, doc_id, n::BIGINT AS n, batch_no FROM packed")
+def stream_batches_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs with one checkpoint: the second starts with the batches that the first left open."""
+    docs = table(spark, sf_dir, "documents").where(S.has_residue("text")).select(
+        "source", "doc_id", F.length(S.clean("text")).alias("n"))
+    half = (docs.agg(F.max("doc_id")).first()[0] or 0) // 2
+    inbox, checkpoint, out = (scratch_path(spark, n) for n in ("feed", "pack-ckpt", "packed"))
+    docs.limit(0).write.parquet(inbox)
+    for part in (docs.where(F.col("doc_id") <= half), docs.where(F.col("doc_id") > half)):
+        part.write.mode("append").parquet(inbox)
+        rows = pack_keyed(file_stream(spark, inbox, docs.schema), "doc_id", "n", BUDGET, ["source"], checkpoint, out)
+    return rows.where("batch_no IS NOT NULL")
 
 
 @query("stream_late_drop", f"""WITH {LOG},
