@@ -34,6 +34,7 @@ SEGMENT = 2       # bits in a segment: counts 0, 1, 2
 SHARED = 3        # groups of coordinates that span a cell
 CELL_ROWS = 4096  # a cell with more distinct fingerprints is joined in blocks
 HOT_CELLS = 500_000  # a list of large cells beyond this is not broadcast
+FREQUENT = 100_000  # fingerprints of more than one row in this many (and 1000 rows) are joined by broadcast
 _LOW = 0x5555555555555555
 _STEP = 1 << 18
 
@@ -206,11 +207,16 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     gives no rows. A text is held whole in one task; its hashes are summed in bounded steps.
     """
     rows = stored(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    first = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
+    first = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
     found = connected_components(near_links(first, bound, cell_rows))
     linked = found.join(first.withColumnRenamed("fp", "id"), "id")
     least = linked.groupBy("component").agg(F.min("first").alias("least"))
     moved = found.join(least, "component").select(F.col("id").alias("fp"), "least", F.lit(True).alias("linked"))
-    named = first.join(moved, "fp", "left").select("fp", F.when(F.col("linked"), F.col("least")).otherwise(F.col("first")).alias("component_id"))
-    return rows.join(named, "fp", "left").select(
+    named = stored(first.join(moved, "fp", "left").select(
+        "fp", "n", F.when(F.col("linked"), F.col("least")).otherwise(F.col("first")).alias("component_id")), "named-fingerprints")
+    # A fingerprint that many rows share would fill one task of the join; there are FREQUENT of these at most.
+    often = max(1000, (first.agg(F.sum("n")).first()[0] or 0) // FREQUENT)
+    few, many = (named.where(c).drop("n") for c in (F.col("n") <= often, F.col("n") > often))
+    apart = rows.join(F.broadcast(many.select("fp")), "fp", "left_anti").join(few, "fp", "left")
+    return apart.unionByName(rows.join(F.broadcast(many), "fp")).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
