@@ -12,10 +12,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from seqflow.functions.sequences import ALPHABET, fixed_length, hash32
 from seqflow.operators import population as P, similarity as M
-from seqflow.operators.ordered import ordinal
+from seqflow.operators.ordered import ordinal, prefix_sums
 from seqflow.session import materialize, scratch_path
 
 Scorer = Callable[[DataFrame], DataFrame]
+#: population, sizes, step, batch_size, num_mutations, seed, round_no -> (goal, i, id, seq)
+Proposer = Callable[[DataFrame, DataFrame, int, int, int, int, int], DataFrame]
+WEIGHT_UNITS = 100  # weights count hundredths of a reward
+OFFSETS = 4096      # places where the comb of a weighted draw may start
 
 
 def substitute(seq: Column, draw: Column, step: Column) -> Column:
@@ -35,10 +39,41 @@ def propose(population: DataFrame, sizes: DataFrame, step: int, batch_size: int,
     ``sizes`` is ``(goal, n)``. Parents are hashed positions, so this is an
     equi-join that matches one row each.
     """
-    draw = [seed, round_no, step, F.col("goal"), F.col("i")]
     slots = sizes.select("goal", "n", F.explode(F.sequence(F.lit(0), F.lit(batch_size - 1))).alias("i"))
+    draw = [seed, round_no, step, F.col("goal"), F.col("i")]
     slots = slots.select("goal", "i", (hash32(*draw, "parent") % F.col("n")).alias("pos"))
     cand = slots.join(population.select("goal", "pos", "seq"), ["goal", "pos"])
+    return _mutate(cand, step, num_mutations, seed, round_no)
+
+
+def propose_weighted(population: DataFrame, sizes: DataFrame, step: int, batch_size: int, num_mutations: int,
+                     seed: int, round_no: int) -> DataFrame:
+    """As ``propose``, with parents drawn in proportion to their reward (plus a hundredth).
+
+    Systematic sampling: a comb of ``batch_size`` even teeth with a hashed start is laid over the
+    running sum of the weights, and a parent serves the teeth that fall on its own stretch. Its
+    share differs from the expected one by less than one slot. The sums are a distributed scan; each
+    row knows its teeth by itself, so nothing is collected and no slot looks for its parent.
+    """
+    weight = F.round(F.greatest(F.col("reward").cast("double"), F.lit(0.0)) * WEIGHT_UNITS).cast("bigint") + 1
+    rows = population.select("goal", "pos", "seq", weight.alias("w"))
+    placed = prefix_sums(rows, "pos", {"before": F.col("w")}, ["goal"])
+    totals = rows.groupBy("goal").agg(F.sum("w").alias("total"))
+    start = hash32(seed, round_no, step, F.col("goal"), "comb") % OFFSETS
+
+    def tooth(reached: str) -> Column:
+        """The first tooth at or behind a running sum."""
+        at = F.expr(f"({reached} * {batch_size * OFFSETS}L + total - 1) div total")
+        return F.greatest(F.lit(0), F.floor((at - F.col("start") + (OFFSETS - 1)) / OFFSETS)).cast("int")
+
+    spread = placed.join(totals, "goal").withColumn("start", start)
+    spread = spread.withColumn("first", tooth("before")).withColumn("last", F.least(tooth("(before + w)"), F.lit(batch_size)) - 1)
+    cand = spread.where("first <= last").select("goal", F.explode(F.sequence("first", "last")).alias("i"), "seq")
+    return _mutate(cand, step, num_mutations, seed, round_no)
+
+
+def _mutate(cand: DataFrame, step: int, num_mutations: int, seed: int, round_no: int) -> DataFrame:
+    draw = [seed, round_no, step, F.col("goal"), F.col("i")]
     for j in range(num_mutations):
         mutated = substitute(F.col("seq"), hash32(*draw, j, "pos"), hash32(*draw, j, "letter"))
         cand = cand.withColumn("seq", mutated)
@@ -53,7 +88,7 @@ def index_scorer(index: M.WordIndex, score: str = "shared") -> Scorer:
 
 def evolve(start: DataFrame, order: str, length: DataFrame, scorer: Scorer, steps: int, batch_size: int,
            n: int, num_mutations: int = 1, seed: int = 42, round_no: int = 1,
-           path: str | None = None) -> DataFrame:
+           path: str | None = None, proposer: Proposer = propose) -> DataFrame:
     """``(goal, seq_id, seq, reward, pos)``: the ``n`` best distinct sequences.
 
     ``start`` is ``(goal, <order>, seq)``, ``length`` is ``(goal, length)``:
@@ -75,7 +110,7 @@ def evolve(start: DataFrame, order: str, length: DataFrame, scorer: Scorer, step
     sizes = materialize(population().groupBy("goal").agg(F.count(F.lit(1)).alias("n")), "sizes")
     for step in range(steps):
         now = sizes.select("goal", (F.col("n") + step * batch_size).alias("n"))
-        cand = materialize(propose(population(), now, step, batch_size, num_mutations, seed, round_no), "candidates")
+        cand = materialize(proposer(population(), now, step, batch_size, num_mutations, seed, round_no), "candidates")
         scored = M.attach_scores(cand, scorer(cand), by=["goal"])
         batch = scored.join(now, "goal").select(
             "goal", (F.col("n") + F.col("i")).alias("pos"), "seq", "reward")

@@ -1,4 +1,4 @@
-"""JSON reports: one object per target and round."""
+"""Reports per target and round: JSON evaluations, CSV records."""
 
 from __future__ import annotations
 
@@ -27,3 +27,14 @@ def write_parameters(params: DataFrame, path: str, mode: str = "overwrite") -> s
     """Run parameters as JSON, one row per run."""
     params.write.mode(mode).json(path)
     return path
+
+
+def write_round_records(records: DataFrame, path: str | None = None, mode: str = "overwrite") -> str:
+    """One row per generated sequence as CSV with a header, a folder for each ``goal`` and ``round``."""
+    path = path or scratch_path(records.sparkSession, "records")
+    records.write.mode(mode).partitionBy("goal", "round").option("header", True).csv(path)
+    return path
+
+
+def read_round_records(spark: SparkSession, path: str, schema) -> DataFrame:
+    return spark.read.schema(schema).option("header", True).csv(path)
