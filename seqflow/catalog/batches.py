@@ -42,6 +42,14 @@ def token_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_docs(spark, sf_dir).drop("n_tokens")
 
 
+@query("token_batches_chunked", f"""WITH RECURSIVE {PACKED.replace("(PARTITION BY source ORDER BY doc_id)", "(PARTITION BY '' ORDER BY doc_id)").replace(
+    "f.source = p.source AND ", "")} SELECT doc_id, n::BIGINT AS n, batch_no FROM packed""")
+def token_batches_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in one lane, in parts of 50 rows, scanned as a tree of four functions a task."""
+    rows = seqs(spark, sf_dir).select("doc_id", F.length("seq").alias("n"))
+    return pack(rows, "doc_id", "n", BUDGET, chunk_rows=50, fan=4)
+
+
 @query("batch_tokens", f"WITH RECURSIVE {PACKED}, {TOTALS} SELECT source, batch_no, n_seqs, n_tokens FROM totals")
 def batch_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = batching.batch_totals(packed_docs(spark, sf_dir), ["source", "batch_no"])

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from seqflow.operators.ordered import join_on, prefix_sums, previous
+from seqflow.operators.ordered import CHUNK, chunked, join_on, ordered_scan, prefix_sums
 
 BACKOFF_BASE = 0.5
 
@@ -20,15 +20,41 @@ def interval_rates(log: DataFrame, ts: str = "ts", requests: str = "requests", t
     ``t_start`` (a column), or is null.
     """
     by = list(by)
-    lagged = previous(log, ts, {"_r": requests, "_t": tokens}, by, **chunking)
-    deltas = (lagged.withColumn("d_requests", F.col(requests) - F.coalesce("_r", F.lit(0)))
-              .withColumn("d_tokens", F.col(tokens) - F.coalesce("_t", F.lit(0))).drop("_r", "_t"))
-    moved = deltas.where((F.col("d_requests") != 0) | (F.col("d_tokens") != 0))
-    timed = previous(moved, ts, {"_ts": ts}, by, **chunking)
-    since = F.col("_ts") if t_start is None else F.coalesce(F.col("_ts"), t_start)
-    dt = (F.col(ts) - since).cast("double")
-    out = timed.withColumn("dt", dt).drop("_ts")
-    out = out.where(F.col("dt").isNull() | (F.col("dt") > 0))
+    keys = [*by, CHUNK]
+    here = W.partitionBy(*keys).orderBy(ts)
+    chunks = W.partitionBy(*by).orderBy(CHUNK)
+
+    def deltas(prev: Column, now: Column) -> tuple[Column, Column]:
+        return tuple(now[c] - F.coalesce(prev[c], F.lit(0)) for c in ("r", "t"))
+
+    def moved(prev: Column, now: Column) -> Column:
+        r, t = deltas(prev, now)
+        return (r != 0) | (t != 0)
+
+    now = F.struct(F.col(requests).alias("r"), F.col(tokens).alias("t"))
+    local = chunked(log, ts, **chunking).withColumn("_now", now)
+    local = local.select("*", F.row_number().over(here).alias("_rn"), F.lag("_now").over(here).alias("_prev"))
+    # Whether a chunk's first line moved depends on the chunk ahead; of the others it is known here.
+    clock = F.when((F.col("_rn") > 1) & moved(F.col("_prev"), F.col("_now")), F.col(ts))
+    local = local.withColumn("_inside", F.last(clock, ignorenulls=True).over(here.rowsBetween(W.unboundedPreceding, -1)))
+    edges = local.groupBy(*keys).agg(
+        F.min_by(F.struct(F.col(ts).alias("ts"), F.col("_now").alias("now")), "_rn").alias("_first"),
+        F.max_by("_now", "_rn").alias("_last"), F.max(clock).alias("_end"))
+    edges = edges.withColumn("_carry", F.lag("_last").over(chunks))
+    edges = edges.withColumn("_lead", F.when(moved(F.col("_carry"), F.col("_first.now")), F.col("_first.ts")))
+    upto = F.coalesce("_end", "_lead")
+    since = F.last(upto, ignorenulls=True).over(chunks.rowsBetween(W.unboundedPreceding, -1))
+    edges = edges.select(*keys, "_carry", "_lead", since.alias("_since"))
+    lines = join_on(local, edges, keys)
+    first = F.col("_rn") == 1
+    prev = F.when(first, F.col("_carry")).otherwise(F.col("_prev"))
+    d_requests, d_tokens = deltas(prev, F.col("_now"))
+    last_move = F.when(first, F.col("_since")).otherwise(F.coalesce("_inside", "_lead", "_since"))
+    if t_start is not None:
+        last_move = F.coalesce(last_move, t_start)
+    out = lines.select(*log.columns, d_requests.alias("d_requests"), d_tokens.alias("d_tokens"),
+                       (F.col(ts) - last_move).cast("double").alias("dt"))
+    out = out.where(((F.col("d_requests") != 0) | (F.col("d_tokens") != 0)) & (F.col("dt").isNull() | (F.col("dt") > 0)))
     return (out.withColumn("req_per_sec", F.col("d_requests") / F.col("dt"))
             .withColumn("tok_per_sec", F.col("d_tokens") / F.col("dt")))
 
@@ -118,10 +144,7 @@ def fold_attempts(attempts: DataFrame, key: str, attempt: str, cols: Sequence[st
 
 def step_times(log: DataFrame, ts: str, by: Sequence[str], **chunking) -> DataFrame:
     """Time since the previous step and since the first one."""
-    by = list(by)
-    lagged = previous(log, ts, {"_prev": ts}, by, **chunking)
-    first = log.groupBy(*by).agg(F.min(ts).alias("_first"))
-    out = join_on(lagged, first, by)
+    out = ordered_scan(log, ts, by, lags={"_prev": ts}, firsts={"_first": ts}, **chunking)
     return (out.withColumn("step", F.col(ts) - F.coalesce("_prev", "_first"))
             .withColumn("total", F.col(ts) - F.col("_first")).drop("_prev", "_first"))
 

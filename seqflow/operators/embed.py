@@ -6,12 +6,12 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from seqflow.functions.sequences import ALPHABET, END_ID, MAX_TOKENS, SPECIAL_TOKENS
+from seqflow.operators.segments import segment_bounds
 
 Predict = Callable[[np.ndarray], np.ndarray]
 TokenPredict = Callable[[np.ndarray], list[np.ndarray]]
@@ -85,7 +85,7 @@ def embed_tokens(packed: DataFrame, by: Sequence[str], order: str, seq_col: str
     cut to what fits ``max_tokens`` ahead of the model; ``pool_parts`` joins parts again.
     """
     def emit(t: pa.Table, keys: list[str], cols: list[str], seq_col: str, model: TokenPredict):
-        bounds = _batch_bounds(t, keys)
+        bounds = segment_bounds(t, keys)
         for a, b in zip(bounds, bounds[1:]):
             yield from _token_parts(t.slice(a, b - a), cols, model(_sequences(t, seq_col, a, b)), part_bytes)
 
@@ -139,7 +139,7 @@ def _run_batches(packed: DataFrame, keys: list[str], order: str, seq_col: str, m
                 continue
             t = pa.Table.from_batches([batch])
             held = t if held is None else pa.concat_tables([held, t])
-            last = _batch_bounds(held, keys)[-2]
+            last = segment_bounds(held, keys)[-2]
             if last:  # every batch but the last one is complete
                 yield from emit(held.slice(0, last), keys, cols, seq_col, model)
                 held = held.slice(last)
@@ -154,20 +154,8 @@ def _sequences(t: pa.Table, seq_col: str, a: int, b: int) -> np.ndarray:
     return np.asarray(t[seq_col].slice(a, b - a).to_pylist(), dtype=object)
 
 
-def _batch_bounds(t: pa.Table, keys: list[str]) -> list[int]:
-    change = np.zeros(len(t), bool)
-    change[0] = True
-    for k in keys:
-        col = t[k].combine_chunks()
-        here, before = col.slice(1), col.slice(0, len(t) - 1)
-        moved = pc.or_(pc.fill_null(pc.not_equal(here, before), False),
-                       pc.xor(pc.is_null(here), pc.is_null(before)))
-        change[1:] |= moved.to_numpy(zero_copy_only=False)
-    return [*np.flatnonzero(change).tolist(), len(t)]
-
-
 def _predict(t: pa.Table, keys: list[str], cols: list[str], seq_col: str, model: Predict):
-    bounds = _batch_bounds(t, keys)
+    bounds = segment_bounds(t, keys)
     for a, b in zip(bounds, bounds[1:]):
         part = t.slice(a, b - a)
         vectors = model(_sequences(t, seq_col, a, b))

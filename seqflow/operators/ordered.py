@@ -1,51 +1,39 @@
 """Order-dependent operators without an unpartitioned window.
 
 A running value over one long order would pull everything into one task. Here
-rows are cut into chunks of consecutive order values (bounds from a quantile
-sketch, so a chunk holds a bounded number of rows even when one key owns most
-of the table). The window runs inside ``(key, chunk)``; a small table with one
-row per ``(key, chunk)`` carries totals across chunks.
+rows are dealt by ranges of the order column to chunks of consecutive values, of
+about as many rows each even when one key owns most of the table. The window runs
+inside ``(key, chunk)``; a small table with one row per ``(key, chunk)`` carries
+totals, last and first values across chunks. The number of chunks has no bound.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from seqflow.session import materialize
+
 CHUNK = "_chunk"
 CHUNK_ROWS = 50_000
-MAX_CHUNKS = 4096
-
-
-def chunk_bounds(df: DataFrame, order: str, chunk_rows: int = CHUNK_ROWS,
-                 max_chunks: int = MAX_CHUNKS) -> list[float]:
-    """Quantile cut points of ``order``; at most ``max_chunks - 1`` numbers."""
-    chunks = min(max_chunks, -(-df.count() // chunk_rows)) if max_chunks > 1 else 1
-    if chunks <= 1:
-        return []
-    probs = ", ".join(f"{i / chunks!r}D" for i in range(1, chunks))
-    sketch = F.expr(f"percentile_approx(nullif(CAST(`{order}` AS DOUBLE), DOUBLE('NaN')), array({probs}), {20 * chunks})")
-    return sorted(b for b in set(df.agg(sketch).first()[0] or []) if math.isfinite(b))
-
 
-def with_chunk(df: DataFrame, order: str, bounds: Sequence[float]) -> DataFrame:
-    """Add the chunk number of every row. Equal order values share a chunk; nulls are in the first, NaN in the last."""
-    if not bounds:
-        return df.withColumn(CHUNK, F.lit(0))
-    splits = [float("-inf"), *bounds, float("inf")]
-    value = F.col(order).cast("double")
-    raw = df.withColumn("_order", F.when(value.isNull(), splits[0]).when(F.isnan(value), splits[-1]).otherwise(value))
-    cut = Bucketizer(splits=splits, inputCol="_order", outputCol="_bucket", handleInvalid="error")
-    return (cut.transform(raw).withColumn(CHUNK, F.col("_bucket").cast("int"))
-            .drop("_order", "_bucket"))
 
+def chunked(df: DataFrame, order: str, chunk_rows: int = CHUNK_ROWS, max_chunks: int | None = None) -> DataFrame:
+    """``df``, stored, with the number of each row's chunk.
 
-def chunked(df: DataFrame, order: str, chunk_rows: int = CHUNK_ROWS,
-            max_chunks: int = MAX_CHUNKS) -> DataFrame:
-    return with_chunk(df, order, chunk_bounds(df, order, chunk_rows, max_chunks))
+    Equal order values share a chunk; nulls are in the first, NaN in the last. ``df`` is read once;
+    counting, range bounds and scans read what was stored, and chunk numbers are stored with the rows,
+    so a retried task sees the same ones. ``max_chunks`` bounds the number of chunks only if given.
+    """
+    rows = materialize(df, "ordered")
+    chunks = -(-rows.count() // chunk_rows)
+    if max_chunks is not None:
+        chunks = min(chunks, max_chunks)
+    if chunks <= 1:
+        return rows.withColumn(CHUNK, F.lit(0))
+    dealt = rows.repartitionByRange(chunks, order).withColumn(CHUNK, F.spark_partition_id())
+    return materialize(dealt, "chunks")
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
@@ -56,28 +44,44 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def prefix_sums(df: DataFrame, order: str, sums: Mapping[str, Column], by: Sequence[str] = (),
-                chunk_rows: int = CHUNK_ROWS, max_chunks: int = MAX_CHUNKS) -> DataFrame:
-    """Add, per ``by`` in ``order``, the sum of each value over all earlier rows.
+def ordered_scan(df: DataFrame, order: str, by: Sequence[str] = (), sums: Mapping[str, Column] | None = None,
+                 lags: Mapping[str, str] | None = None, firsts: Mapping[str, str] | None = None, **chunking) -> DataFrame:
+    """Add running values per ``by`` in ``order``, all from one chunking, one sort and one bundle of carries.
 
-    ``order`` must be a unique number within ``by``; the sum excludes the row
-    itself and is 0 on the first row.
+    ``sums``: the sum of a value over all earlier rows, 0 on the first. ``lags``: a column's value on the
+    row ahead, null on the first. ``firsts``: a column's value on the first row. ``order`` must be a
+    unique number within ``by``.
     """
-    by = list(by)
-    parts = chunked(df.select("*", *[v.alias(f"_v_{n}") for n, v in sums.items()]),
-                    order, chunk_rows, max_chunks)
+    by, sums, lags, firsts = list(by), sums or {}, lags or {}, firsts or {}
+    parts = chunked(df.select("*", *[v.alias(f"_v_{n}") for n, v in sums.items()]), order, **chunking)
     keys = [*by, CHUNK]
-    before = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    totals = parts.groupBy(*keys).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
-    # One row per (key, chunk): at most ``max_chunks`` rows in a window partition.
-    earlier = W.partitionBy(*by).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
-    carry = totals.select(*keys, *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_c_{n}")
-                                   for n in sums])
-    local = parts.select(
-        *df.columns, CHUNK,
-        *[F.coalesce(F.sum(f"_v_{n}").over(before), F.lit(0)).alias(f"_l_{n}") for n in sums])
-    out = join_on(local, carry, keys)
-    return out.select(*df.columns, *[(F.col(f"_l_{n}") + F.col(f"_c_{n}")).alias(n) for n in sums])
+    here = W.partitionBy(*keys).orderBy(order)
+    before, at = here.rowsBetween(W.unboundedPreceding, -1), F.struct(order)  # in a struct, a null order counts too
+    local = [F.coalesce(F.sum(f"_v_{n}").over(before), F.lit(0)).alias(f"_l_{n}") for n in sums]
+    totals = [F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums]
+    # One row per (key, chunk).
+    chunks = W.partitionBy(*by).orderBy(CHUNK)
+    earlier = chunks.rowsBetween(W.unboundedPreceding, -1)
+    carry = [F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_c_{n}") for n in sums]
+    added = [(F.col(f"_l_{n}") + F.col(f"_c_{n}")).alias(n) for n in sums]
+    if lags:
+        values = F.struct(*[F.col(c).alias(n) for n, c in lags.items()])
+        local += [F.lag(values).over(here).alias("_prev"), F.row_number().over(here).alias("_rn")]
+        totals.append(F.max_by(values, at).alias("_last"))
+        carry.append(F.lag("_last").over(chunks).alias("_carry"))
+        picked = F.when(F.col("_rn") == 1, F.col("_carry")).otherwise(F.col("_prev"))
+        added += [picked[n].alias(n) for n in lags]
+    if firsts:
+        totals.append(F.min_by(F.struct(*[F.col(c).alias(n) for n, c in firsts.items()]), at).alias("_first"))
+        carry.append(F.first("_first").over(chunks).alias("_start"))
+        added += [F.col("_start")[n].alias(n) for n in firsts]
+    edges = parts.groupBy(*keys).agg(*totals).select(*keys, *carry)
+    return join_on(parts.select(*df.columns, CHUNK, *local), edges, keys).select(*df.columns, *added)
+
+
+def prefix_sums(df: DataFrame, order: str, sums: Mapping[str, Column], by: Sequence[str] = (), **chunking) -> DataFrame:
+    """Add, per ``by`` in ``order``, the sum of each value over all earlier rows; 0 on the first row."""
+    return ordered_scan(df, order, by, sums=sums, **chunking)
 
 
 def ordinal(df: DataFrame, order: str, by: Sequence[str] = (), name: str = "ord",
@@ -89,18 +93,7 @@ def ordinal(df: DataFrame, order: str, by: Sequence[str] = (), name: str = "ord"
 def previous(df: DataFrame, order: str, cols: Mapping[str, str], by: Sequence[str] = (),
              **chunking) -> DataFrame:
     """Add the value of each column on the preceding row (null on the first row)."""
-    by = list(by)
-    parts = chunked(df, order, **chunking)
-    keys = [*by, CHUNK]
-    values = F.struct(*[F.col(c).alias(n) for n, c in cols.items()])
-    last = parts.groupBy(*keys).agg(F.max_by(values, F.struct(order)).alias("_last"))  # a null order counts too
-    carry = last.select(*keys, F.lag("_last").over(W.partitionBy(*by).orderBy(CHUNK)).alias("_carry"))
-    here = W.partitionBy(*keys).orderBy(order)
-    local = parts.select("*", F.lag(values).over(here).alias("_prev"),
-                         F.row_number().over(here).alias("_rn"))
-    picked = F.when(F.col("_rn") == 1, F.col("_carry")).otherwise(F.col("_prev"))
-    return join_on(local, carry, keys).select(
-        *df.columns, *[picked[n].alias(n) for n in cols])
+    return ordered_scan(df, order, by, lags=cols, **chunking)
 
 
 def value_ranks(df: DataFrame, value: str, by: Sequence[str] = (), weight: Column | None = None,

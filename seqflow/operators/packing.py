@@ -2,15 +2,17 @@
 
 Rows of a lane are packed first come, first served: a row that would lift the
 open batch above the budget opens the next one. That is sequential by nature,
-so a lane is cut into chunks of consecutive rows and three steps are run:
+so rows are dealt by (lane, order) to parts of consecutive rows and three steps are run:
 
-1. per (lane, chunk), in parallel: for every possible fill level of the batch
-   that is open when the chunk starts, the fill level at its end and the number
-   of batches opened. This is a step function with at most ``budget`` steps,
-   and mostly very few, because chains from different starts soon meet.
-2. per lane: walk its chunk summaries (at most ``max_chunks``) to get each
-   chunk's true entry state.
-3. per (lane, chunk), in parallel: replay with the known entry state.
+1. per part, as a stream: for every possible fill level of the batch that is open
+   when a lane enters the part, the fill level at its end and the number of batches
+   opened. This is a step function with at most ``budget`` steps, and mostly very
+   few, because chains from different starts soon meet. Functions of consecutive
+   stretches compose into one, so a part of any length needs little memory.
+2. per lane that spans several parts: a prefix scan over its functions as a tree.
+   Going up, each task composes at most ``fan`` neighbours; going down, it hands each
+   of them its entry state. The number of parts has no bound.
+3. per part, as a stream: replay with the known entry state.
 
 A lane holding most of the table is thus packed by many tasks, with the result
 of a single pass.
@@ -18,15 +20,21 @@ of a single pass.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from seqflow.operators.ordered import (CHUNK, CHUNK_ROWS, MAX_CHUNKS, chunk_bounds, join_on,
-                                       with_chunk)
+from seqflow.operators.ordered import join_on
+from seqflow.operators.segments import segment_bounds
+from seqflow.session import materialize
+
+PART_ROWS = 1_000_000  # rows in a part, about; a part is streamed
+FAN = 64               # functions that one task of the scan composes
+_F = "froms array<bigint>, exits array<bigint>, opened array<bigint>"
+
+Steps = tuple[list[int], list[int], list[int]]
 
 
 def _chain_starts(prefix: np.ndarray, first: int, budget: int) -> list[int]:
@@ -89,101 +97,209 @@ def first_overflow_many(prefix: np.ndarray, budget: int) -> np.ndarray:
     return rows[np.diff(prefix)[rows] > 0] if len(rows) else rows
 
 
+def apply_steps(f: Steps, used: int) -> tuple[int, int]:
+    """Fill of the open batch behind the rows of ``f``, and how many batches they opened."""
+    froms, exits, opened = f
+    i = int(np.searchsorted(froms, used, side="right")) - 1
+    return (used + exits[i] if opened[i] == 0 else exits[i]), opened[i]
+
+
+def compose_steps(f: Steps, g: Steps, budget: int) -> Steps:
+    """The step function of rows ``f`` followed by rows ``g``."""
+    froms, exits, opened = [], [], []
+
+    def add(start: int, left: int, count: int) -> None:
+        if not (count and opened and opened[-1] == count and exits[-1] == left):
+            froms.append(start), exits.append(left), opened.append(count)
+
+    for i, (start, left, count) in enumerate(zip(*f)):
+        if count:
+            end, more = apply_steps(g, left)
+            add(start, end, count + more)
+            continue
+        # All rows of f fit: the fills from ``left`` on meet one step of g after another.
+        last = f[0][i + 1] - 1 if i + 1 < len(f[0]) else budget - left
+        lo, hi = (int(np.searchsorted(g[0], v, side="right")) - 1 for v in (start + left, last + left))
+        for j in range(lo, hi + 1):
+            add(max(start, g[0][j] - left), (left if not g[2][j] else 0) + g[1][j], g[2][j])
+    return froms, exits, opened
+
+
 def _lane_struct(by: Sequence[str]):
     return F.to_json(F.struct(*by), {"ignoreNullFields": "false"}) if by else F.lit("")
 
 
 def pack(rows: DataFrame, order: str, size: str, budget: int, by: Sequence[str] = (),
-         carry: DataFrame | None = None, chunk_rows: int = CHUNK_ROWS,
-         max_chunks: int = MAX_CHUNKS) -> DataFrame:
+         carry: DataFrame | None = None, chunk_rows: int = PART_ROWS,
+         max_chunks: int | None = None, fan: int = FAN) -> DataFrame:
     """``(by..., order, size, batch_no)``; rows above the budget are dropped.
 
     ``order`` is a unique integer within a lane. ``carry`` (``by..., used,
-    batch_no``) continues batches left open by an earlier call.
+    batch_no``) continues batches left open by an earlier call. Parts have about ``chunk_rows`` rows;
+    ``max_chunks`` bounds their number only if given.
     """
-    return pack_with_state(rows, order, size, budget, by, carry, chunk_rows, max_chunks)[0]
+    return pack_with_state(rows, order, size, budget, by, carry, chunk_rows, max_chunks, fan)[0]
 
 
 def pack_with_state(rows: DataFrame, order: str, size: str, budget: int, by: Sequence[str] = (),
-                    carry: DataFrame | None = None, chunk_rows: int = CHUNK_ROWS,
-                    max_chunks: int = MAX_CHUNKS) -> tuple[DataFrame, DataFrame]:
+                    carry: DataFrame | None = None, chunk_rows: int = PART_ROWS,
+                    max_chunks: int | None = None, fan: int = FAN) -> tuple[DataFrame, DataFrame]:
     """As ``pack``, plus the open batch of each lane after the last row."""
     by = list(by)
     fields = {f.name: f.dataType.simpleString() for f in rows.schema}
-    narrow = rows.select(*by, F.col(order).cast("bigint").alias(order), size)
-    bounds = chunk_bounds(narrow, order, chunk_rows, max_chunks)
-    cut = with_chunk(narrow, order, bounds)
-    if by and bounds:  # only lanes that need it are cut; the many short ones stay whole
-        long_lanes = (narrow.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-                      .where(F.col("_n") > chunk_rows))
-        cut = join_on(cut, long_lanes, by).withColumn(
-            CHUNK, F.when(F.col("_n").isNull(), 0).otherwise(F.col(CHUNK))).drop("_n")
-    cut = cut.select(_lane_struct(by).alias("_lane"), CHUNK, *by, order,
-                     F.col(size).cast("bigint").alias(size))
-    lanes = ", ".join(f"`{c}` {fields[c]}" for c in by)
-    lanes = f"{lanes}, " if lanes else ""
-
-    def fitting(t: pa.Table) -> pa.Table:
-        # Not a plan filter: that would be pushed down and compute ``size`` twice.
-        return t.filter(pc.less_equal(t[size], budget)).sort_by(order)
-
-    def summarize(t: pa.Table) -> pa.Table:
-        head = t.slice(0, 1)
-        t = fitting(t)
-        froms, exits, opened = transfer_steps(t[size].to_numpy(), budget)
-        cols = {c: head[c] for c in ["_lane", CHUNK, *by]}
-        steps = {"froms": froms, "exits": exits, "opened": opened}
-        return pa.table({**cols, **{k: pa.array([v], pa.list_(pa.int64())) for k, v in steps.items()}})
-
-    summaries = cut.groupBy("_lane", CHUNK).applyInArrow(
-        summarize, f"_lane string, {CHUNK} int, {lanes}froms array<bigint>, exits array<bigint>, "
-                   "opened array<bigint>")
+    lanes = "".join(f"`{c}` {fields[c]}, " for c in by)
+    narrow = rows.select(_lane_struct(by).alias("_lane"), *by, F.col(order).cast("bigint").alias(order),
+                         F.col(size).cast("bigint").alias(size))
+    # Stored: ids and lengths only, so that the text is read once however many passes follow.
+    narrow = materialize(narrow, "lengths").where(F.col(size) <= budget)
+    parts = max(1, -(-narrow.count() // chunk_rows))
+    if max_chunks is not None:
+        parts = min(parts, max_chunks)
+    dealt = narrow.repartitionByRange(parts, "_lane", order).withColumn("_part", F.spark_partition_id())
+    dealt = dealt.sortWithinPartitions("_lane", order)
+    tagged = materialize(dealt.mapInArrow(
+        _summarize(by, size, budget), f"_lane string, {lanes}`{order}` bigint, `{size}` bigint, _part int, {_F}"), "parts")
+    functions = tagged.where("froms IS NOT NULL").select("_lane", *by, F.col("_part").alias("node"), "froms", "exits", "opened")
     if carry is None:
-        starts = rows.sparkSession.createDataFrame([], "_lane string, used0 bigint, no0 bigint")
+        starts = rows.sparkSession.createDataFrame([], "_lane string, used bigint, no bigint")
     else:
-        starts = carry.select(_lane_struct(by).alias("_lane"),
-                              F.col("used").cast("bigint").alias("used0"),
-                              F.col("batch_no").cast("bigint").alias("no0"))
-
-    def walk(s: pa.Table, c: pa.Table) -> pa.Table:
-        used = c["used0"][0].as_py() if len(c) else 0
-        no = c["no0"][0].as_py() if len(c) else 0
-        s = s.sort_by(CHUNK)
-        states = []
-        for froms, exits, opened in zip(s["froms"].to_pylist(), s["exits"].to_pylist(),
-                                        s["opened"].to_pylist()):
-            states.append((used, no))
-            i = int(np.searchsorted(froms, used, side="right")) - 1
-            used = used + exits[i] if opened[i] == 0 else exits[i]
-            no += opened[i]
-        states.append((used, no))
-        last = s.slice(max(0, len(s) - 1), 1)
-        body = pa.concat_tables([s, last]).select(["_lane", CHUNK, *by])
-        if not len(s):
-            return body.append_column("used", pa.array([], pa.int64())).append_column(
-                "no", pa.array([], pa.int64())).append_column("final", pa.array([], pa.bool_()))
-        return (body.append_column("used", pa.array([u for u, _ in states], pa.int64()))
-                .append_column("no", pa.array([b for _, b in states], pa.int64()))
-                .append_column("final", pa.array([False] * len(s) + [True])))
-
-    entries = summaries.groupBy("_lane").cogroup(starts.groupBy("_lane")).applyInArrow(
-        walk, f"_lane string, {CHUNK} int, {lanes}used bigint, no bigint, final boolean")
-
-    def replay(t: pa.Table, e: pa.Table) -> pa.Table:
-        t = fitting(t)
-        cols = [*by, order, size]
-        if not len(t):
-            return t.select(cols).append_column("batch_no", pa.array([], pa.int64()))
-        prefix = np.concatenate([[0], np.cumsum(t[size].to_numpy(), dtype=np.int64)])
-        first = first_overflow(prefix, e["used"][0].as_py(), budget)
-        flags = np.zeros(len(t), np.int64)
-        flags[_chain_starts(prefix, first, budget)] = 1
-        return t.select(cols).append_column(
-            "batch_no", pa.array(np.cumsum(flags) + e["no"][0].as_py()))
-
-    keys = ["_lane", CHUNK]
-    open_now = entries.where(~F.col("final")).select("_lane", CHUNK, "used", "no")
-    packed = cut.groupBy(*keys).cogroup(open_now.groupBy(*keys)).applyInArrow(
-        replay, f"{lanes}`{order}` bigint, `{size}` bigint, batch_no bigint")
-    state = entries.where("final").select(*by, "used", F.col("no").alias("batch_no"))
+        starts = carry.select(_lane_struct(by).alias("_lane"), F.col("used").cast("bigint").alias("used"),
+                              F.col("batch_no").cast("bigint").alias("no"))
+    entries, ends = _scan(functions, starts, parts, budget, fan)
+    entries = functions.select("_lane", *by, "node").join(entries, ["_lane", "node"])
+    packed = _replay(tagged.where("froms IS NULL").drop("froms", "exits", "opened"), entries, by, order, size, budget, lanes)
+    lane_names = functions.groupBy("_lane").agg(*[F.first(c).alias(c) for c in by], F.count(F.lit(1)).alias("_n"))
+    state = lane_names.join(ends, "_lane").select(*by, "used", F.col("no").alias("batch_no"))
     return packed, state
+
+
+def _summarize(by: list[str], size: str, budget: int):
+    """Rows go through unchanged; behind them one row with the step function of each lane in the part."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[str, pa.Table, Steps] | None = None
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if held is not None:
+                out = held[1]
+                for name, v in zip(("froms", "exits", "opened"), held[2]):
+                    out = out.append_column(name, pa.array([v], pa.list_(pa.int64())))
+                yield from out.combine_chunks().to_batches()
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b])
+            sizes = t[size].to_numpy()
+            for name in ("froms", "exits", "opened"):
+                t = t.append_column(name, pa.nulls(len(t), pa.list_(pa.int64())))
+            yield from t.to_batches()
+            bounds = segment_bounds(t, ["_lane"])
+            for a, e in zip(bounds, bounds[1:]):
+                lane, f = t["_lane"][a].as_py(), transfer_steps(sizes[a:e], budget)
+                if held is not None and held[0] == lane:
+                    held = (lane, held[1], compose_steps(held[2], f, budget))
+                else:
+                    yield from close()
+                    held = (lane, t.slice(a, 1).drop_columns(["froms", "exits", "opened"]), f)
+        yield from close()
+    return run
+
+
+def _scan(functions: DataFrame, starts: DataFrame, parts: int, budget: int, fan: int) -> tuple[DataFrame, DataFrame]:
+    """``(_lane, node, used, no)`` at the entry of every part, and ``(_lane, used, no)`` behind the last one."""
+    levels = [functions.select("_lane", "node", "froms", "exits", "opened")]
+    nodes = parts
+    while nodes > fan:
+        up = levels[-1].withColumn("above", F.expr(f"node div {fan}")).groupBy("_lane", "above").applyInArrow(
+            _compose_group(budget), f"_lane string, node int, {_F}")
+        levels.append(materialize(up, "scan"))
+        nodes = -(-nodes // fan)
+    top = levels[-1]
+    many = top.groupBy("_lane").agg(F.count(F.lit(1)).alias("_n"))
+    entered = top.join(many, "_lane").join(starts, "_lane", "left").select(
+        *top.columns, "_n", F.coalesce("used", F.lit(0)).alias("used0"), F.coalesce("no", F.lit(0)).alias("no0"))
+    # A lane in one place needs no walk.
+    step = F.size(F.filter("froms", lambda x: x <= F.col("used0")))
+    at = lambda c: F.element_at(F.col(c), step)
+    alone = entered.where("_n = 1")
+    single = alone.select("_lane", "node", F.col("used0").alias("used"), F.col("no0").alias("no"), F.lit(False).alias("final")).unionByName(
+        alone.select("_lane", "node", (F.when(at("opened") == 0, F.col("used0")).otherwise(0) + at("exits")).alias("used"),
+                     (F.col("no0") + at("opened")).alias("no"), F.lit(True).alias("final")))
+    walk_schema = "_lane string, node int, used bigint, no bigint, final boolean"
+    walked = entered.where("_n > 1").groupBy("_lane").applyInArrow(_walk_group, walk_schema)
+    states = materialize(single.unionByName(walked), "scan")
+    entries, ends = states.where("NOT final").drop("final"), states.where("final").select("_lane", "used", "no")
+    for level in reversed(levels[:-1]):
+        above = entries.select("_lane", F.col("node").alias("above"), F.col("used").alias("used0"), F.col("no").alias("no0"))
+        below = level.withColumn("above", F.expr(f"node div {fan}")).join(above, ["_lane", "above"])
+        entries = materialize(below.groupBy("_lane", "above").applyInArrow(_walk_group, walk_schema).where("NOT final").drop("final"), "scan")
+    return entries, ends
+
+
+def _steps(t: pa.Table, i: int) -> Steps:
+    return tuple(t[c][i].as_py() for c in ("froms", "exits", "opened"))
+
+
+def _compose_group(budget: int):
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("node")
+        f = _steps(t, 0)
+        for i in range(1, len(t)):
+            f = compose_steps(f, _steps(t, i), budget)
+        return pa.table({"_lane": t["_lane"].slice(0, 1), "node": t["above"].slice(0, 1).cast(pa.int32()),
+                         **{c: pa.array([v], pa.list_(pa.int64())) for c, v in zip(("froms", "exits", "opened"), f)}})
+    return run
+
+
+def _walk_group(t: pa.Table) -> pa.Table:
+    """At most ``fan`` neighbours in turn: each one's entry state, and the state behind the last."""
+    t = t.sort_by("node")
+    used, no = t["used0"][0].as_py(), t["no0"][0].as_py()
+    states = []
+    for i in range(len(t)):
+        states.append((used, no))
+        used, opened = apply_steps(_steps(t, i), used)
+        no += opened
+    states.append((used, no))
+    body = pa.concat_tables([t, t.slice(len(t) - 1, 1)]).select(["_lane", "node"])
+    return (body.append_column("used", pa.array([u for u, _ in states], pa.int64()))
+            .append_column("no", pa.array([n for _, n in states], pa.int64()))
+            .append_column("final", pa.array([False] * len(t) + [True])))
+
+
+def _replay(rows: DataFrame, entries: DataFrame, by: list[str], order: str, size: str, budget: int, lanes: str) -> DataFrame:
+    """Rows behind their lane's entry state, part by part, in one sorted stream."""
+    none = F.lit(None).cast("bigint")
+    stream = rows.select("_part", "_lane", *by, order, size, none.alias("used"), none.alias("no")).unionByName(
+        entries.select(F.col("node").alias("_part"), "_lane", *by, none.alias(order), none.alias(size), "used", "no"))
+    columns = [*by, order, size]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        used = no = 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b])
+            entry, entry_no = t["used"].to_pylist(), t["no"].to_pylist()
+            sizes = t[size].fill_null(0).to_numpy()
+            numbers = np.zeros(len(t), np.int64)
+            bounds = segment_bounds(t, ["_part", "_lane"])
+            for a, e in zip(bounds, bounds[1:]):
+                if entry[a] is not None:
+                    used, no = entry[a], entry_no[a]
+                    a += 1
+                if a == e:
+                    continue
+                prefix = np.concatenate([[0], np.cumsum(sizes[a:e])])
+                opens = _chain_starts(prefix, first_overflow(prefix, used, budget), budget)
+                flags = np.zeros(e - a, np.int64)
+                flags[opens] = 1
+                numbers[a:e] = no + np.cumsum(flags)
+                no += len(opens)
+                used = int(prefix[-1] - prefix[opens[-1]]) if opens else used + int(prefix[-1])
+            kept = pa.array([x is None for x in entry])
+            out = t.select(columns).append_column("batch_no", pa.array(numbers)).filter(kept)
+            yield from out.to_batches()
+
+    ordered = stream.repartition("_part").sortWithinPartitions("_part", "_lane", F.col("used").isNull(), order)
+    return ordered.mapInArrow(run, f"{lanes}`{order}` bigint, `{size}` bigint, batch_no bigint")

@@ -88,7 +88,19 @@ def test_null_and_nan_order_values_at_every_size(spark):
     got = {r.v: r.ord for r in O.ordinal(df, "o", **SMALL).collect()}
     assert got == {k: k for k in range(len(values))}
     lone = spark.createDataFrame([(None, 7)] + [(float(k), k + 100) for k in range(60)], "o double, v long")
-    cut = O.with_chunk(lone, "o", [-1.0, 20.0])
-    assert cut.where("o IS NULL").first()[O.CHUNK] == 0
+    cut = O.chunked(lone, "o", chunk_rows=20)
+    assert cut.where("o IS NULL").first()[O.CHUNK] == 0 and cut.select(O.CHUNK).distinct().count() > 2
     nulls = spark.createDataFrame([(None, k) for k in range(90)], "o double, v long")
     assert O.chunked(nulls, "o", **SMALL).count() == 90
+
+
+def test_one_scan_gives_sums_lags_and_firsts(spark, rows):
+    df = spark.createDataFrame(rows, "id long, k string, v long")
+    out = O.ordered_scan(df, "id", ["k"], sums={"seen": F.col("v")}, lags={"p": "v"}, firsts={"f": "v"}, chunk_rows=30)
+    want = {}
+    for items in by_key(rows).values():
+        total, prev = 0, None
+        for i, v in items:
+            want[i] = (total, prev, items[0][1])
+            total, prev = total + v, v
+    assert {r.id: (r.seen, r.p, r.f) for r in out.collect()} == want
