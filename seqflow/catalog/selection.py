@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from seqflow.catalog.registry import query, table
 from seqflow.functions.vectors import mean_vector, norm
 from seqflow.operators.distance import nearest_distances, pair_distances
-from seqflow.operators.ranking import distance_stats, most_distant
+from seqflow.operators.ranking import average_ranks, distance_stats, most_distant
 from seqflow.operators.rounds import previous_round_reference
 from seqflow.session import materialize
 from seqflow.sources.reports import read_evaluations, write_evaluations
@@ -57,6 +57,37 @@ def most_distant_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("vec_id", "pos", "avg_rank", r6("min_cos", "min_cos"), r6("min_l2", "min_l2"))
 
 
+@query("most_distant_nulls", f"""WITH {NEAREST},
+seen AS (SELECT *, vec_id % 5 > 3 OR vec_id % 7 = 6 OR vec_id % 11 = 10 OR vec_id % 13 = 12 AS bad FROM near),
+ranked AS (SELECT vec_id, c, l, (rank() OVER (ORDER BY c DESC) + rank() OVER (ORDER BY l DESC)) / 2.0 AS avg_rank FROM seen WHERE NOT bad)
+SELECT vec_id, bad, CASE WHEN NOT bad THEN round(seen.c, 6) END AS min_cos, CASE WHEN NOT bad THEN round(seen.l, 6) END AS min_l2,
+  avg_rank FROM seen LEFT JOIN ranked USING (vec_id)""")
+def most_distant_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some vectors are null, too short, NaN or infinite: they have no distance and no rank."""
+    emb = table(spark, sf_dir, "embeddings")
+    v, i = F.col("embedding").cast("array<double>"), F.col("vec_id")
+    odd = (F.when(i % 5 > 3, F.lit(None)).when(i % 7 == 6, F.slice(v, 1, 10))
+           .when(i % 11 == 10, F.concat(F.array(F.lit(float("nan"))), F.slice(v, 2, 1000)))
+           .when(i % 13 == 12, F.concat(F.array(F.lit(float("-inf"))), F.slice(v, 2, 1000))).otherwise(v))
+    bad = (i % 5 > 3) | (i % 7 == 6) | (i % 11 == 10) | (i % 13 == 12)
+    rows = emb.select("vec_id", odd.alias("embedding"), bad.alias("bad"))
+    dist = materialize(nearest_distances(rows, label_means(emb), "vec_id").drop("embedding"), "distances")
+    ranks = average_ranks(dist.where("min_cos IS NOT NULL"))
+    return dist.join(ranks, ["min_cos", "min_l2"], "left").select(
+        "vec_id", "bad", r6("min_cos", "min_cos"), r6("min_l2", "min_l2"), "avg_rank")
+
+
+@query("nearest_pruned", f"""WITH vecs AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)
+SELECT a.vec_id, round(min(list_cosine_distance(a.v, b.v)), 6) AS min_cos, round(min(list_distance(a.v, b.v)), 6) AS min_l2
+FROM vecs a JOIN vecs b ON a.label = b.label AND a.vec_id % 2 <> b.vec_id % 2 GROUP BY a.vec_id""")
+def nearest_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest vector of the same label and the other parity, by pivot cells, none of them broadcast."""
+    emb = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding", (F.col("vec_id") % 2).alias("side"))
+    other = emb.withColumn("side", 1 - F.col("side"))
+    out = nearest_distances(emb, other, "vec_id", by=["label", "side"], max_broadcast_bytes=0, block_rows=64, pivots=16)
+    return out.where("min_l2 IS NOT NULL").select("vec_id", r6("min_cos", "min_cos"), r6("min_l2", "min_l2"))
+
+
 @query("pairwise_distance", f"""WITH {CENTROIDS}
 SELECT vec_id, ref_label AS ref_id, round(list_cosine_distance(v, rv), 6) AS cos_dist,
        round(list_distance(v, rv), 6) AS l2_dist

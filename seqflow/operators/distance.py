@@ -15,12 +15,30 @@ from seqflow.session import materialize
 BROADCAST_BYTES = 64 << 20
 BLOCK_ROWS = 4096
 BLOCK_BYTES = 4 << 20
+PIVOTS = 32        # cells of a pruned grid, at most
+SLACK = 1e-9       # relative; bounds are compared with rounding errors in mind
 # Distances are kept to 12 decimals, so equal ones rank as ties no matter in
 # which order their terms were added up.
 DECIMALS = 12
 _RESULT = "struct<cos:double,l2:double>"
 
 
+def vector_width(ref: DataFrame, vec_col: str) -> int | None:
+    """The commonest width of the reference vectors (ties: the smallest); null without any."""
+    sizes = ref.where(F.col(vec_col).isNotNull()).groupBy(F.size(vec_col).alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    row = sizes.orderBy(F.col("n").desc(), "w").first()
+    return row["w"] if row else None
+
+
+def usable(vec: Column | str, width: int | None) -> Column:
+    """True for a vector of that width whose elements are all finite numbers."""
+    if width is None:
+        return F.lit(False)
+    v = (F.col(vec) if isinstance(vec, str) else vec).cast("array<double>")
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.coalesce((F.size(v) == width) & finite, F.lit(False))
+
+
 def _matrix(vectors: pa.Array) -> np.ndarray:
     if isinstance(vectors, pa.ChunkedArray):
         vectors = vectors.combine_chunks()
@@ -81,7 +99,7 @@ def _key(by: Sequence[str]) -> Column:
 
 
 def _small_reference(cand: DataFrame, ref: DataFrame, vec_col: str, by: list[str],
-                     reduction: str) -> DataFrame:
+                     reduction: str, width: int | None) -> DataFrame:
     table = ref.select(_key(by).alias("k"), F.col(vec_col).cast("array<double>").alias("v")).toArrow()
     blocks: dict[str, np.ndarray] = {}
     if len(table):
@@ -93,35 +111,52 @@ def _small_reference(cand: DataFrame, ref: DataFrame, vec_col: str, by: list[str
     @F.arrow_udf(_RESULT)
     def nearest(k: pa.Array, v: pa.Array) -> pa.Array:
         cos, l2, none = np.full(len(v), np.nan), np.full(len(v), np.nan), np.ones(len(v), bool)
-        x, known = _matrix(v), shared.value
-        for name, at in _rows_by_key(k):
-            if name in known:
-                cos[at], l2[at] = _nearest(x[at], known[name], reduction)
-                none[at] = False
+        rows = np.flatnonzero(v.is_valid().to_numpy(zero_copy_only=False))
+        if len(rows):
+            x, known = _matrix(v.take(pa.array(rows))), shared.value
+            for name, at in _rows_by_key(k.take(pa.array(rows))):
+                if name in known:
+                    cos[rows[at]], l2[rows[at]] = _nearest(x[at], known[name], reduction)
+                    none[rows[at]] = False
         return pa.StructArray.from_arrays(
             [pa.array(d, mask=none, from_pandas=False) for d in (cos, l2)], ["cos", "l2"])
 
-    return cand.withColumn("_d", nearest(_key(by), F.col(vec_col)))
+    known = F.when(usable(vec_col, width), F.col(vec_col).cast("array<double>"))
+    return cand.withColumn("_d", nearest(_key(by), known))
 
 
 def _block_grid(cand: DataFrame, ref: DataFrame, vec_col: str, by: list[str], reduction: str,
-                block_rows: int) -> DataFrame:
+                block_rows: int, width: int | None) -> DataFrame:
     """Both sides are cut into blocks of bounded size; each task reduces one
     (candidate block, reference block) cell, and cells merge by row number."""
     vec = F.col(vec_col).cast("array<double>").alias("v")
     # Stored, so that a retried task sees the same row numbers. They, not the
     # vectors or ids, choose the block: copies spread over all blocks.
     numbered = materialize(cand.withColumn("_row", F.monotonically_increasing_id()), "candidates")
-    left = numbered.select(_key(by).alias("k"), F.col("_row").alias("id"), vec)
+    left = numbered.where(usable(vec_col, width)).select(_key(by).alias("k"), F.col("_row").alias("id"), vec)
     right = materialize(ref.select(_key(by).alias("k"), F.monotonically_increasing_id().alias("rid"), vec), "reference")
+    partial = _compare(left, right, ["k"], reduction, block_rows)
+    if reduction == "mean":
+        cos = F.sum(F.col("cos") * F.col("n")) / F.sum("n")
+        l2 = F.sum(F.col("l2") * F.col("n")) / F.sum("n")
+    else:
+        cos, l2 = F.min("cos"), F.min("l2")
+    merged = partial.groupBy(F.col("id").alias("_row")).agg(F.struct(cos.alias("cos"), l2.alias("l2")).alias("_d"))
+    return numbered.join(merged, "_row", "left").drop("_row")
+
 
+def _compare(left: DataFrame, right: DataFrame, cell: list[str], reduction: str, block_rows: int) -> DataFrame:
+    """``id, cos, l2, n`` for each ``left(cell..., id, v)`` and each block of ``right(cell..., rid, v)`` of its cell.
+
+    Large cells are cut into blocks on both sides; a task compares one pair of blocks.
+    """
     def blocks(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("k").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias(name))
+        return df.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / block_rows).alias(name))
 
-    sizes = blocks(left, "nc").join(blocks(right, "nr"), "k")
+    sizes = blocks(left, "nc").join(blocks(right, "nr"), cell)
 
     def place(df: DataFrame, key: Column, own: str, other: str, own_n: str, other_n: str) -> DataFrame:
-        return (df.join(sizes, "k")
+        return (df.join(sizes, cell)
                 .withColumn(own, F.pmod(F.xxhash64(key), F.col(own_n)))
                 .withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(other_n) - 1)))
                 .drop("nc", "nr"))
@@ -129,25 +164,106 @@ def _block_grid(cand: DataFrame, ref: DataFrame, vec_col: str, by: list[str], re
     cells_l = place(left, F.col("id"), "cb", "rb", "nc", "nr")
     cells_r = place(right, F.col("rid"), "rb", "cb", "nr", "nc").drop("rid")
 
-    def cell(a: pa.Table, r: pa.Table) -> pa.Table:
+    def compare(a: pa.Table, r: pa.Table) -> pa.Table:
         if not len(a) or not len(r):
             none = pa.array([], pa.float64())
-            return pa.table({"k": a["k"].slice(0, 0), "id": a["id"].slice(0, 0), "cos": none,
-                             "l2": none, "n": pa.array([], pa.int64())})
+            return pa.table({"id": a["id"].slice(0, 0), "cos": none, "l2": none, "n": pa.array([], pa.int64())})
         cos, l2 = _nearest(_matrix(a["v"]), _matrix(r["v"]), reduction)
-        return pa.table({"k": a["k"], "id": a["id"], "cos": pa.array(cos), "l2": pa.array(l2),
+        return pa.table({"id": a["id"], "cos": pa.array(cos), "l2": pa.array(l2),
                          "n": pa.array(np.full(len(a), len(r), dtype=np.int64))})
 
-    grid = ["k", "cb", "rb"]
-    partial = cells_l.groupBy(*grid).cogroup(cells_r.groupBy(*grid)).applyInArrow(
-        cell, "k string, id bigint, cos double, l2 double, n bigint")
-    if reduction == "mean":
-        cos = F.sum(F.col("cos") * F.col("n")) / F.sum("n")
-        l2 = F.sum(F.col("l2") * F.col("n")) / F.sum("n")
-    else:
-        cos, l2 = F.min("cos"), F.min("l2")
-    merged = partial.groupBy(F.col("id").alias("_row")).agg(F.struct(cos.alias("cos"), l2.alias("l2")).alias("_d"))
-    return numbered.join(merged, "_row", "left").drop("_row")
+    grid = [*cell, "cb", "rb"]
+    return cells_l.groupBy(*grid).cogroup(cells_r.groupBy(*grid)).applyInArrow(
+        compare, "id bigint, cos double, l2 double, n bigint")
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    n = np.sqrt((x * x).sum(1))
+    return x / np.where(n == 0, 1.0, n)[:, None]
+
+
+def _to_pivots(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Euclidean distances, from differences, so that a pivot is at distance 0 from itself."""
+    return np.stack([np.sqrt(((x - p) ** 2).sum(1)) for p in pivots], axis=1)
+
+
+def needed_cells(left: DataFrame, right: DataFrame, unit: bool, pivots: int = PIVOTS) -> tuple[DataFrame, DataFrame]:
+    """``left(k, id, v)`` with the cells that may hold its nearest row, and ``right(k, rid, v)`` with its cell.
+
+    The reference rows lie with their nearest pivot, some of the reference vectors. By the triangle
+    inequality all rows of a cell are at least ``d - R`` away, with ``d`` the distance of its pivot and
+    ``R`` the cell's radius, and one row is at most ``d + r`` away, with ``r`` the pivot's distance from
+    its nearest row. ``cells`` lists ``(bound, cell)`` by bound, without cells beyond the best ``d + r``.
+    ``unit`` measures directions: the Euclidean distance of unit vectors grows with the cosine distance.
+    """
+    picked = right.select("v").orderBy(F.xxhash64("v")).limit(pivots).toArrow()
+    points = _matrix(picked["v"]) if len(picked) else np.zeros((0, 1))
+    points = np.unique(_unit(points) if unit else points, axis=0)
+    shared = left.sparkSession.sparkContext.broadcast(points)  # at most ``pivots`` vectors
+
+    def distances(v: pa.Array) -> np.ndarray:
+        x = _matrix(v)
+        return _to_pivots(_unit(x) if unit else x, shared.value)
+
+    @F.arrow_udf("struct<cell:int,d:double>")
+    def home(v: pa.Array) -> pa.Array:
+        d = distances(v)
+        cell = d.argmin(1)
+        return pa.StructArray.from_arrays([pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(d)), cell])], ["cell", "d"])
+
+    placed = materialize(right.withColumn("h", home("v")).select("k", "rid", "v", "h.cell", "h.d"), "reference-cells")
+    per_cell = placed.groupBy("k", "cell").agg(F.max("d").alias("far"), F.min("d").alias("near"))
+    listed = per_cell.groupBy("k").agg(F.collect_list(F.struct("cell", "far", "near")).alias("known"))  # one for each pivot at most
+
+    @F.arrow_udf("array<struct<bound:double,cell:int>>")
+    def needed(v: pa.Array, known: pa.Array) -> pa.Array:
+        d = distances(v)
+        sizes = np.diff(known.offsets.to_numpy())
+        row = np.repeat(np.arange(len(v)), sizes)
+        cell, far, near = (known.flatten().field(c).to_numpy() for c in ("cell", "far", "near"))
+        at = d[row, cell]
+        upper = np.full(len(v), np.inf)
+        np.minimum.at(upper, row, at + near)
+        bound = np.maximum(0.0, at - far - SLACK * (at + far))
+        keep = np.flatnonzero(bound <= upper[row] * (1 + SLACK))
+        keep = keep[np.lexsort((bound[keep], row[keep]))]
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(row[keep], minlength=len(v)))])
+        pairs = pa.StructArray.from_arrays([pa.array(bound[keep]), pa.array(cell[keep])], ["bound", "cell"])
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pairs)
+
+    out = left.join(listed, "k").withColumn("cells", needed("v", "known")).drop("known")
+    return materialize(out, "needed-cells"), placed.drop("d")
+
+
+def _pruned(left: DataFrame, right: DataFrame, unit: bool, block_rows: int, pivots: int) -> DataFrame:
+    """``id, cos, l2`` of the nearest row: first the cell of the least bound, then those that may still be nearer."""
+    rows, placed = needed_cells(left, right, unit, pivots)
+    one = rows.where(F.size("cells") > 0).select("k", F.col("cells")[0]["cell"].alias("cell"), "id", "v")
+    first = materialize(_compare(one, placed, ["k", "cell"], "min", block_rows).groupBy("id").agg(
+        F.min("cos").alias("cos"), F.min("l2").alias("l2")), "nearest")
+    # The distance of unit vectors at cosine distance c is sqrt(2 c).
+    reached = F.sqrt(F.greatest(F.lit(0.0), F.col("cos")) * 2) if unit else F.col("l2")
+    more = rows.join(first, "id").select("k", "id", "v", reached.alias("reached"), F.explode(F.slice("cells", F.lit(2), F.size("cells"))).alias("c"))
+    more = more.where(F.col("c.bound") <= F.col("reached") * (1 + SLACK) + 1e-7).select("k", F.col("c.cell").alias("cell"), "id", "v")
+    rest = _compare(more, placed, ["k", "cell"], "min", block_rows)
+    return first.unionByName(rest.drop("n")).groupBy("id").agg(F.min("cos").alias("cos"), F.min("l2").alias("l2"))
+
+
+def _pruned_grid(cand: DataFrame, ref: DataFrame, vec_col: str, by: list[str], block_rows: int, width: int | None,
+                 pivots: int) -> DataFrame:
+    """The nearest row by each distance; cells that the bounds rule out are never compared."""
+    vec = F.col(vec_col).cast("array<double>").alias("v")
+    numbered = materialize(cand.withColumn("_row", F.monotonically_increasing_id()), "candidates")
+    left = numbered.where(usable(vec_col, width)).select(_key(by).alias("k"), F.col("_row").alias("id"), vec)
+    right = materialize(ref.select(_key(by).alias("k"), F.monotonically_increasing_id().alias("rid"), vec), "reference")
+    l2 = _pruned(left, right, False, block_rows, pivots).select("id", "l2")
+    # A zero vector has no direction; its cosine distance from anything is 1.
+    zero = F.forall("v", lambda x: x == 0)
+    cos = _pruned(left, right.where(~zero), True, block_rows, pivots).select("id", "cos")
+    with_zero = right.where(zero).select("k").distinct().withColumn("one", F.lit(1.0))
+    near = left.select("k", "id").join(l2, "id").join(cos, "id", "left").join(with_zero, "k", "left")
+    near = near.select(F.col("id").alias("_row"), F.struct(F.least("cos", "one").alias("cos"), "l2").alias("_d"))
+    return numbered.join(near, "_row", "left").drop("_row")
 
 
 def _reference_bytes(ref: DataFrame, vec_col: str) -> int:
@@ -158,21 +274,27 @@ def _reference_bytes(ref: DataFrame, vec_col: str) -> int:
 def nearest_distances(cand: DataFrame, ref: DataFrame, id_col: str = "id", vec_col: str = "embedding",
                       by: Sequence[str] = (), reduction: str = "min", cos_name: str = "min_cos",
                       l2_name: str = "min_l2", max_broadcast_bytes: int = BROADCAST_BYTES,
-                      block_rows: int = BLOCK_ROWS) -> DataFrame:
+                      block_rows: int = BLOCK_ROWS, pivots: int = PIVOTS) -> DataFrame:
     """Add each candidate's distance to the reference rows of its ``by`` group.
 
     ``reduction`` is ``min`` (nearest reference row) or ``mean``. A candidate
-    without reference rows gets null. The reference set is broadcast only if
-    its measured size is within ``max_broadcast_bytes``; beyond that a block
-    grid is used. All pairs are compared either way, none is ever a row.
+    without reference rows gets null, and so does one whose vector is null, has a null, NaN or infinite
+    element or another width than most of the reference; such reference rows count as absent.
+    The reference set is broadcast only if its measured size is within ``max_broadcast_bytes``; beyond
+    that a grid is used, for the nearest row one of pivot cells of which the triangle inequality rules
+    out most. The result is that of comparing all pairs either way; no pair is ever a row.
     """
     if reduction not in ("min", "mean"):
         raise ValueError("reduction must be 'min' or 'mean'")
     by = list(by)
-    if _reference_bytes(ref, vec_col) <= max_broadcast_bytes:
-        out = _small_reference(cand, ref, vec_col, by, reduction)
+    width = vector_width(ref, vec_col)
+    known = ref.where(usable(vec_col, width))
+    if _reference_bytes(known, vec_col) <= max_broadcast_bytes:
+        out = _small_reference(cand, known, vec_col, by, reduction, width)
+    elif reduction == "mean":
+        out = _block_grid(cand, known, vec_col, by, reduction, block_rows, width)
     else:
-        out = _block_grid(cand, ref, vec_col, by, reduction, block_rows)
+        out = _pruned_grid(cand, known, vec_col, by, block_rows, width, pivots)
     return out.select(*cand.columns, F.round("_d.cos", DECIMALS).alias(cos_name),
                       F.round("_d.l2", DECIMALS).alias(l2_name))
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqflow.functions import vectors as V
+from seqflow.operators import distance as D
 from seqflow.operators.distance import nearest_distances, pair_distances
 from seqflow.operators.ranking import most_distant
 
@@ -107,8 +108,43 @@ def test_branches_agree_on_repeated_ids_and_nan(spark, data, reduction):
         out = nearest_distances(cand, ref, reduction=reduction, **options).collect()
         got.append(sorted((str(r.id), str(r.embedding), str(r.min_cos), str(r.min_l2)) for r in out))
     assert got[0] == got[1] and len(got[0]) == 4
+    assert [x[3] == "None" for x in got[0]] == [False, False, True, False]  # NaN has no distance and can't rank
     if reduction == "min":
-        assert [x[3] for x in got[0]] == ["1.0", "1.0", "nan", "0.0"]
+        assert [x[3] for x in got[0]] == ["1.0", "1.0", "None", "0.0"]
+
+
+@pytest.mark.parametrize("options", [{}, {"max_broadcast_bytes": 0, "block_rows": 3, "pivots": 4}])
+@pytest.mark.parametrize("reduction", ["min", "mean"])
+def test_vectors_without_a_distance(spark, options, reduction):
+    inf, nan = float("inf"), float("nan")
+    odd = [None, [], [1.0], [1.0, 2.0, 3.0], [nan, 1.0], [inf, 0.0], [1.0, None]]
+    schema = "id long, embedding array<double>"
+    cand = spark.createDataFrame([(0, [3.0, 4.0]), (100, [0.0, 0.0])] + [(k + 1, v) for k, v in enumerate(odd)], schema)
+    ref = spark.createDataFrame([(0, [0.0, 4.0]), (1, [3.0, 0.0]), (2, [6.0, 8.0])] + [(k + 9, v) for k, v in enumerate(odd)], schema)
+    got = {r.id: (r.min_cos, r.min_l2) for r in nearest_distances(cand, ref, reduction=reduction, **options).collect()}
+    assert all(got[k + 1] == (None, None) for k in range(len(odd))) and len(got) == 2 + len(odd)
+    want = {"min": ((0.0, 3.0), (1.0, 3.0)), "mean": (((0.2 + 0.4 + 0.0) / 3, (3 + 4 + 5) / 3), (1.0, (4 + 3 + 10) / 3))}[reduction]
+    assert got[0] == pytest.approx(want[0], abs=1e-9) and got[100] == pytest.approx(want[1], abs=1e-9)
+    empty = nearest_distances(cand, ref.where("id >= 9 AND id <> 12"), reduction=reduction, **options)
+    assert empty.where("min_cos IS NOT NULL").count() in (0, 1)
+
+
+def test_pruned_grid_skips_cells_and_agrees(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(12, 5)) * 40
+    cand, ref = (centres[rng.integers(0, 12, n)] + rng.normal(size=(n, 5)) for n in (300, 400))
+    ref[::50] = 0.0
+    c, r = frame(spark, cand, 2), frame(spark, ref, 2)
+    got = {}
+    for name, options in (("all", {}), ("pruned", {"max_broadcast_bytes": 0, "block_rows": 60, "pivots": 12})):
+        got[name] = {x.id: (x.min_cos, x.min_l2) for x in nearest_distances(c, r, by=["g"], **options).collect()}
+    one, other = (np.array([v for _, v in sorted(got[n].items())]) for n in ("all", "pruned"))
+    assert one.shape == (300, 2) and np.allclose(one, other, atol=1e-9)
+    left, right = (df.select(F.col("g").alias("k"), F.col("id").alias(i), F.col("embedding").alias("v")) for df, i in ((c, "id"), (r, "rid")))
+    rows, placed = D.needed_cells(left, right, False, 12)
+    per_key = {x.k: x["count"] for x in placed.select("k", "cell").distinct().groupBy("k").count().collect()}
+    asked = {x.k: x.n for x in rows.groupBy("k").agg(F.sum(F.size("cells")).alias("n")).collect()}
+    assert all(asked[k] < 150 * n / 2 for k, n in per_key.items()), (asked, per_key)
 
 
 def test_matrix_of_a_large_reference(spark, data):
