@@ -38,6 +38,19 @@ def fasta_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.md5("seq").alias("seq_md5"))
 
 
+@query("fasta_scan_ordered", f"""WITH {SEQS}
+SELECT row_number() OVER (ORDER BY substr(source, 4)::INTEGER, doc_id) - 1 AS ord, 'doc_' || doc_id AS seq_id, md5(seq) AS seq_md5
+FROM seqs WHERE length(seq) > 0""")
+def fasta_scan_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file per source, records by id: positions over all files, by path and place in the file."""
+    rows = seqs(spark, sf_dir)
+    rows = rows.withColumn("part", F.format_string("%05d", F.substring("source", 4, 9).cast("int")))
+    placed = rows.repartition("part").sortWithinPartitions("part", "doc_id")
+    path = fasta.write_fasta(placed, F.concat(F.lit("doc_"), F.col("doc_id")), wrap=60, partition_by=["part"])
+    back = fasta.read_fasta(spark, path, with_order=True)
+    return back.select("ord", "seq_id", F.md5("seq").alias("seq_md5"))
+
+
 @query("hits_scan", f"""WITH {HITS}
 SELECT query::VARCHAR AS query, target::VARCHAR AS target, round(fident, 6) AS fident, shared::DOUBLE AS bits,
        round(fident / 2, 6) AS alntmscore FROM hits""")

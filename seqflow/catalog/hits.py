@@ -40,6 +40,23 @@ def kmer_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_hits(spark, sf_dir).withColumn("fident", r6("fident"))
 
 
+TOP_HITS, LEAST_SHARE = 3, 0.25
+
+
+@query("kmer_top_hits", f"""WITH {SEQS}, {BENCH},
+{words_sql("dw", "seqs", "doc_id")},
+{words_sql("bw", "bench", "item_id")},
+bn AS (SELECT item_id, count(*) AS n FROM bw GROUP BY item_id),
+h AS (SELECT item_id AS query, doc_id AS target, count(*) AS shared, any_value(n) AS n FROM bw JOIN dw USING (word) JOIN bn USING (item_id) GROUP BY ALL)
+SELECT query, target, shared, round(shared / n, 6) AS fident, pos::INTEGER AS pos FROM (
+  SELECT *, row_number() OVER (PARTITION BY query ORDER BY shared DESC, target) AS pos FROM h WHERE shared >= ceil(n * {LEAST_SHARE}::DOUBLE)) WHERE pos <= {TOP_HITS}""")
+def kmer_top_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that share most words with each benchmark item."""
+    index = M.build_index(seqs(spark, sf_dir), "doc_id", k=K, store=True)
+    top = M.top_hits(bench_seqs(spark, sf_dir), index, TOP_HITS, (0.8, 0.5, LEAST_SHARE), "item_id")
+    return top.withColumn("fident", r6("fident"))
+
+
 @query("avg_score", f"WITH {HITS} SELECT query, round(avg(fident), 6) AS avg_score FROM hits GROUP BY query")
 def avg_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.mean_scores(search_hits(spark, sf_dir), "fident").withColumn("avg_score", r6("avg_score"))

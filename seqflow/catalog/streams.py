@@ -11,8 +11,9 @@ from seqflow.catalog.selection import r6
 from seqflow.catalog.sequences import COMP_SQL, SEQS
 from seqflow.functions import sequences as S
 from seqflow.session import scratch_path
+from seqflow.sources import runlogs as R
 from seqflow.streaming import jobs as J
-from seqflow.streaming.drain import drain_append, drain_update, file_stream, table_stream
+from seqflow.streaming.drain import Ledger, counted, drain_append, drain_update, file_stream, table_stream
 from seqflow.streaming.stateful import first_completions, pack_keyed, rocksdb
 
 
@@ -129,13 +130,16 @@ def stream_batches_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("batch_no IS NOT NULL")
 
 
-@query("stream_late_drop", f"""WITH {LOG},
+LATE = f"""{LOG},
 e AS (SELECT t, least((t + k * 3600000000::BIGINT * 3 - lo) * {WAVES} // (hi - lo + 1), {WAVES - 1}) AS wave
       FROM log, (SELECT min(t) AS lo, max(t) AS hi FROM log)),
 wm AS (SELECT wave, max(t) AS top FROM e GROUP BY wave),
 kept AS (SELECT e.t FROM e LEFT JOIN (SELECT w.wave + 1 AS wave, max(p.top) - 7200000000 AS wm
                                       FROM wm w JOIN wm p ON p.wave <= w.wave GROUP BY w.wave) m USING (wave)
-         WHERE wm IS NULL OR (t // {HOUR_US} + 1) * {HOUR_US} > wm // 1000 * 1000)
+         WHERE wm IS NULL OR (t // {HOUR_US} + 1) * {HOUR_US} > wm // 1000 * 1000)"""
+
+
+@query("stream_late_drop", f"""WITH {LATE}
 SELECT make_timestamp(t // {HOUR_US} * {HOUR_US}) AS start, count(*) AS n FROM kept GROUP BY t // {HOUR_US}""")
 def stream_late_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events arrive up to twelve days late, in waves that are drained in turn.
@@ -143,6 +147,10 @@ def stream_late_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     A row is dropped if its window had ended before the watermark that the
     earlier waves left behind.
     """
+    return late_windows(spark, sf_dir)
+
+
+def late_windows(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
     ev = table(spark, sf_dir, "events").select(
         F.col("ts").cast("timestamp").alias("ts"), F.get_json_object("props", "$.k").cast("int").alias("k"))
     t = F.unix_micros("ts")
@@ -155,5 +163,41 @@ def stream_late_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     def release(wave: int):
         return lambda: staged.where(F.col("wave") == wave).select("ts").write.mode("append").parquet(inbox)
 
-    counts = J.windowed_counts(file_stream(spark, inbox, "ts timestamp"), "ts", "1 hour", "2 hours")
+    counts = J.windowed_counts(counted(file_stream(spark, inbox, "ts timestamp"), name), "ts", "1 hour", "2 hours")
     return drain_update(counts, ["start"], [release(w) for w in range(WAVES)]).select(plain("start"), "n")
+
+
+@query("stream_drop_count", f"""WITH {LATE}
+SELECT (SELECT count(*) FROM e) AS rows_in, count(*) AS rows_kept, (SELECT count(*) FROM e) - count(*) AS rows_dropped FROM kept""")
+def stream_drop_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows came too late, from the ledger of all micro-batches."""
+    with Ledger(spark) as ledger:
+        kept = late_windows(spark, sf_dir).agg(F.sum("n").alias("rows_kept"))
+    came = ledger.total("events", "rows").withColumnRenamed("rows", "rows_in")
+    return came.select("rows_in", kept.scalar().alias("rows_kept")).withColumn("rows_dropped", F.col("rows_in") - F.col("rows_kept"))
+
+
+@query("stream_telemetry_files", f"""WITH {LOG},
+s AS (SELECT 'node' || (user_id % 4) AS host, t // 1000000 AS sec, value FROM log),
+b AS (SELECT host, sec AS moment, value AS v FROM s UNION ALL SELECT host, sec + 5, value / 2 FROM s)
+SELECT host, g AS gauge, make_timestamp(moment // 3600 * 3600 * 1000000) AS start, count(*) AS num_samples,
+  round(avg(v * f), 6) AS avg, round(max(v * f), 6) AS max
+FROM b, (VALUES ('cpu_percent', 1), ('power_watts', 2)) q(g, f) GROUP BY host, g, moment // 3600""")
+def stream_telemetry_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checkpoint objects, one file after another as they arrive, one file to a micro-batch."""
+    ev = table(spark, sf_dir, "events")
+    host = F.concat(F.lit("node"), (F.col("user_id") % 4).cast("string"))
+    sec = F.unix_seconds(F.col("ts").cast("timestamp"))
+
+    def sample(at, v):
+        gauges = F.create_map(F.lit("cpu_percent"), v, F.lit("gpu_0_power_watts"), v * 2)
+        return F.struct(at.alias("timestamp"), host.alias("hostname"), gauges.alias("metrics"))
+
+    objects = ev.select(
+        F.struct(host.alias("hostname"), sec.alias("timestamp"), F.lit(2).cast("bigint").alias("num_samples")).alias("checkpoint_metadata"),
+        F.array(sample(sec, F.col("value")), sample(sec + 5, F.col("value") / 2)).alias("metrics"))
+    path = R.write_json(objects.repartitionByRange(4, F.col("checkpoint_metadata.timestamp")))
+    samples = R.telemetry_samples(R.stream_telemetry(spark, path, max_files_per_trigger=1))
+    windows = J.telemetry_windows(samples, "ts", ["host", "gauge"], "value", "1 hour", "400 days")
+    out = drain_update(windows, ["host", "gauge", "start"])
+    return out.select("host", "gauge", plain("start"), "num_samples", r6("avg", "avg"), r6("max", "max"))

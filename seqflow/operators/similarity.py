@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from seqflow.functions import sequences as S
 from seqflow.session import materialize
@@ -86,6 +86,45 @@ def search(queries: DataFrame, index: WordIndex, id_col: str = "id", seq_col: st
     return hits.select(*by, "query", "target", "shared", (F.col("shared") / F.col("n_words")).alias("fident"))
 
 
+def top_hits(queries: DataFrame, index: WordIndex, n: int, shares: Sequence[float] = (0.8, 0.5, 0.3),
+             id_col: str = "id", seq_col: str = "seq") -> DataFrame:
+    """``(by..., query, target, shared, fident, pos)``: the ``n`` targets that share most words with each query.
+
+    Only targets with at least the last of ``shares`` of the query's distinct words count; ties go by
+    target. The others are never paired: a target that shares ``t`` of a query's ``w`` words holds one
+    of any ``w - t + 1`` of them, so only the postings of that many of its rarest words are looked up,
+    and what they name is counted exactly. The search starts with the highest share, where few and rare
+    words do; a query that has ``n`` targets at one share is complete and leaves the search.
+    """
+    by = index.by
+    keys = [*by, "query"]
+    words = queries.select(*by, F.col(id_col).alias("query"), S.kmers(seq_col, index.k).alias("_w"))
+    words = words.select(*keys, F.size("_w").alias("n_words"), "_w").select(*keys, "n_words", F.explode_outer("_w").alias("word"))
+    spread = index.postings.groupBy(*by, "word").agg(F.count(F.lit(1)).alias("df"))
+    rarity = W.partitionBy(*keys).orderBy(F.coalesce("df", F.lit(0)), "word")
+    words = words.where(F.col("word").isNotNull()).join(spread, [*by, "word"], "left").withColumn("rank", F.row_number().over(rarity))
+    words = materialize(words, "query-words")
+    found = None
+    left = words
+    for share in shares:
+        least = F.greatest(F.lit(1), F.ceil(F.col("n_words") * F.lit(share)))
+        rare = left.where((F.col("rank") <= F.col("n_words") - least + 1) & F.col("df").isNotNull())
+        pairs = rare.select(*keys, "word").join(index.postings, [*by, "word"]).select(*keys, "target").distinct()
+        asked = left.where("df IS NOT NULL").select(*keys, "word", "n_words", least.alias("least"))
+        counted = pairs.join(asked, keys).join(index.postings, [*by, "word", "target"], "left_semi")
+        hits = counted.groupBy(*keys, "target").agg(F.count(F.lit(1)).alias("shared"), F.first("n_words").alias("n_words"),
+                                                    F.first("least").alias("least"))
+        hits = materialize(hits.where(F.col("shared") >= F.col("least")).drop("least"), "hits")
+        full = materialize(hits.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= n).select(*keys), "complete")
+        last = share == shares[-1]
+        kept = hits if last else hits.join(full, keys, "left_semi")
+        found = kept if found is None else found.unionByName(kept)
+        left = left.join(full, keys, "left_anti")
+    order = W.partitionBy(*keys).orderBy(F.col("shared").desc(), "target")
+    ranked = found.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= n)
+    return ranked.select(*keys, "target", "shared", (F.col("shared") / F.col("n_words")).alias("fident"), "pos")
+
+
 def mean_scores(hits: DataFrame, score: str, by: Sequence[str] = ()) -> DataFrame:
     """Mean score per query."""
     return hits.groupBy(*by, "query").agg(F.avg(score).alias("avg_score"))

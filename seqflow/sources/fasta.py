@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from seqflow.operators.ordered import join_on
+from seqflow.operators.ordered import join_on, prefix_sums
 from seqflow.session import scratch_path
 
 
@@ -30,10 +30,9 @@ def read_fasta(spark: SparkSession, paths: str | Sequence[str], keep_empty: bool
     rows = rows.select(*extra, F.split(head, "\\s+", 2)[0].alias("seq_id"),
                        head.alias("description"), body.alias("seq"), *[c for c in rows.columns if c in ("_f", "_b", "_m")])
     if with_order:
-        # One row per file block carries the offset; the records stay in place.
+        # One row per file block carries the offset, by a distributed scan; the records stay in place.
         blocks = rows.groupBy("_f", "_b").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_m0"))
-        earlier = W.orderBy("_f", "_b").rowsBetween(W.unboundedPreceding, -1)
-        blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+        blocks = prefix_sums(blocks.withColumn("_at", F.struct("_f", "_b")), "_at", {"_before": F.col("_n")}).drop("_n", "_at")
         rows = (join_on(rows, blocks, ["_f", "_b"])
                 .withColumn("ord", F.col("_before") + F.col("_m") - F.col("_m0"))
                 .drop("_f", "_b", "_m", "_m0", "_before"))

@@ -60,6 +60,14 @@ def read_telemetry(spark: SparkSession, path, multiline: bool = False) -> DataFr
     return _read(spark, path, TELEMETRY_SCHEMA, multiline)
 
 
+def stream_telemetry(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """Checkpoint files as a stream, at most that many to a micro-batch."""
+    reader = spark.readStream.schema(TELEMETRY_SCHEMA)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return reader.json(path)
+
+
 def telemetry_samples(checkpoints: DataFrame) -> DataFrame:
     """One row per host, instant and gauge; GPU gauges get their GPU number."""
     samples = checkpoints.select(F.inline("metrics"))

@@ -2,12 +2,80 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from seqflow.session import scratch_path
 
+LEDGER = "query string, run string, batch bigint, name string, metrics map<string,bigint>, dropped bigint, input_rows bigint"
+
+
+class Ledger(StreamingQueryListener):
+    """Every micro-batch's counters, as Spark reports them, however many there are.
+
+    A stream counts rows under a name with ``DataFrame.observe``; each micro-batch then gives one entry
+    for each name. Use it as a context around the runs; ``entries()`` is the stored list behind it.
+    """
+
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        self.spark = spark
+        self.path = path or scratch_path(spark, "ledger")
+        self._held: list[tuple] = []
+        self._lock = threading.Lock()
+        self._open: set[str] = set()
+        self._quiet = threading.Condition(self._lock)
+
+    def onQueryStarted(self, event) -> None:
+        with self._lock:
+            self._open.add(str(event.runId))
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        late = sum(op.numRowsDroppedByWatermark for op in p.stateOperators)
+        metrics = {name: {k: int(v or 0) for k, v in row.asDict().items()} for name, row in p.observedMetrics.items()}
+        with self._lock:
+            for name, counts in (metrics or {"": {}}).items():
+                self._held.append((str(p.id), str(p.runId), p.batchId, name, counts, late, p.numInputRows))
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        with self._quiet:
+            self._open.discard(str(event.runId))
+            self._quiet.notify_all()
+
+    def __enter__(self) -> "Ledger":
+        self.spark.streams.addListener(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        with self._quiet:  # reports arrive a little behind the stream
+            self._quiet.wait_for(lambda: not self._open, timeout=60)
+        self.spark.streams.removeListener(self)
+        self._write()
+
+    def _write(self) -> None:
+        with self._lock:
+            rows, self._held = self._held, []
+        self.spark.createDataFrame(rows, LEDGER).coalesce(1).write.mode("append").parquet(self.path)
+
+    def entries(self) -> DataFrame:
+        return self.spark.read.schema(LEDGER).parquet(self.path)
+
+    def total(self, name: str, counter: str) -> DataFrame:
+        """One row: the sum of a counter over all micro-batches; a batch reported twice counts once."""
+        own = self.entries().where(F.col("name") == name).dropDuplicates(["query", "batch"])
+        return own.agg(F.coalesce(F.sum(F.col("metrics")[counter]), F.lit(0)).alias(counter))
+
+
+def counted(stream: DataFrame, name: str) -> DataFrame:
+    """``stream``, whose rows a ``Ledger`` counts as ``rows`` under ``name``."""
+    return stream.observe(name, F.count(F.lit(1)).alias("rows"))
+
 
 def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet",
                 max_files_per_trigger: int | None = None) -> DataFrame:

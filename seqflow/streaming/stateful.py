@@ -51,8 +51,14 @@ class _Earliest(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         best = min((r["us"], r["value"] is not None, r["value"] or "") for r in rows)
         held = self.held.get()
+        if held is not None and held[2]:
+            forget = _milli(held[0] + self.remember_us)
+            if timerValues.getCurrentWatermarkInMs() < forget:
+                return
+            self.handle.deleteTimer(forget)  # due, but rows come ahead of timers
+            held = None
         if held is not None:
-            if held[2] or (held[0], held[1] is not None, held[1] or "") <= best:
+            if (held[0], held[1] is not None, held[1] or "") <= best:
                 return
             self.handle.deleteTimer(_milli(held[0]))
         self.held.update((best[0], best[2] if best[1] else None, False))
@@ -90,36 +96,46 @@ def first_completions(events: DataFrame, key: str, ts: str, value: str, delay: s
 
 
 class _OpenBatch(StatefulProcessor):
-    """One lane's open batch: its fill, its number and, with a wait, a timer that closes it."""
+    """One lane's open batch: its fill, its number and, with a wait, the time of its last row and a timer."""
 
-    def __init__(self, lanes: Sequence[str], order: str, size: str, budget: int, wait_us: int | None):
-        self.lanes, self.order, self.size, self.budget, self.wait_us = list(lanes), order, size, budget, wait_us
+    def __init__(self, lanes: Sequence[str], budget: int, wait_us: int | None):
+        self.lanes, self.budget, self.wait_us = list(lanes), budget, wait_us
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.open = handle.getValueState("open", "used bigint, batch_no bigint, closes bigint")
+        self.open = handle.getValueState("open", "used bigint, batch_no bigint, last_us bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        t = pd.concat(list(rows)).sort_values(self.order, kind="stable")
-        used, number, closes = self.open.get() or (0, 0, None)
-        sizes = t[self.size].to_numpy(np.int64)
-        fits = sizes <= self.budget
-        prefix = np.concatenate([[0], np.cumsum(sizes[fits])])
-        flags = np.zeros(len(prefix) - 1, np.int64)
-        if len(flags):
-            at = _chain_starts(prefix, max(0, first_overflow(prefix, used, self.budget)), self.budget)
-            flags[at] = 1
-            used = int(prefix[-1] - prefix[at[-1]]) if at else used + int(prefix[-1])
+        t = pd.concat(list(rows))
+        t = t.sort_values("ord", kind="stable")
+        used, number, last = self.open.get() or (0, 0, None)
+        sizes = t["size"].to_numpy(np.int64)
         numbers = np.full(len(t), -1, np.int64)
-        numbers[fits] = number + np.cumsum(flags)
-        number += int(flags.sum())
+        breaks = [0, len(t)]
         if self.wait_us is not None:
-            if closes is not None:
-                self.handle.deleteTimer(closes)
-            closes = _milli(int(t["_us"].max()) + self.wait_us)
-            self.handle.registerTimer(closes)
-        self.open.update((used, number, closes))
-        out = t[[*self.lanes, self.order, self.size]].copy()
+            us = t["us"].to_numpy(np.int64)
+            if last is not None:
+                self.handle.deleteTimer(_milli(last + self.wait_us))
+                if us[0] - last > self.wait_us:
+                    used = self.budget + 1
+            breaks = [0, *(np.flatnonzero(np.diff(us) > self.wait_us) + 1).tolist(), len(t)]
+            last = int(us[-1])
+            self.handle.registerTimer(_milli(last + self.wait_us))
+        for a, e in zip(breaks, breaks[1:]):
+            if a:
+                used = self.budget + 1  # a gap of more than the wait has closed the batch
+            fits = np.flatnonzero(sizes[a:e] <= self.budget) + a
+            if not len(fits):
+                continue
+            prefix = np.concatenate([[0], np.cumsum(sizes[fits])])
+            opens = _chain_starts(prefix, max(0, first_overflow(prefix, used, self.budget)), self.budget)
+            flags = np.zeros(len(fits), np.int64)
+            flags[opens] = 1
+            numbers[fits] = number + np.cumsum(flags)
+            number += len(opens)
+            used = int(prefix[-1] - prefix[opens[-1]]) if opens else used + int(prefix[-1])
+        self.open.update((used, number, last))
+        out = t[[*self.lanes, "ord", "size"]].copy()
         out["batch_no"] = pd.array(numbers, dtype="Int64")
         out.loc[numbers < 0, "batch_no"] = pd.NA
         yield out
@@ -141,21 +157,24 @@ def pack_keyed(seqs: DataFrame, order: str, size: str, budget: int, by: Sequence
     ``checkpoint`` and ``path``; a further call goes on with the batches left open. Rows come in
     order between micro-batches and are sorted within one, so a micro-batch of a lane must fit a task
     (``maxFilesPerTrigger``). A row above the budget is kept with a null batch number. With
-    ``wait_seconds``, a batch also closes once the watermark of ``ts`` is that far behind its last row.
+    ``wait_seconds``, a batch also closes once the watermark of ``ts``, or the lane's next row, is further
+    than that behind its last row.
     """
     spark = seqs.sparkSession
     timed = wait_seconds is not None
     if timed and ts is None:
         raise ValueError("closing by time needs a time column")
-    lanes = [F.col(c) for c in by]
-    rows = seqs.select(*lanes, F.col(order).cast("bigint").alias(order), F.col(size).cast("bigint").alias(size),
-                       *([F.col(ts), F.unix_micros(ts).alias("_us")] if timed else []))
+    # Names of their own: Spark hands columns over by names that must be plain identifiers.
+    lanes = [f"lane{i}" for i in range(max(1, len(by)))]
+    keys = [F.col(c).alias(n) for n, c in zip(lanes, by)] or [F.lit(0).alias(lanes[0])]
+    rows = seqs.select(*keys, F.col(order).cast("bigint").alias("ord"), F.col(size).cast("bigint").alias("size"),
+                       *([F.col(ts).alias("at"), F.unix_micros(ts).alias("us")] if timed else []))
     if timed:
-        rows = rows.withWatermark(ts, delay)
+        rows = rows.withWatermark("at", delay)
     kinds = dict(rows.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*by, order, size]) + ", batch_no bigint"
-    keyed = rows.groupBy(*by) if by else rows.withColumn("_all", F.lit(0)).groupBy("_all")
-    packer = _OpenBatch(by, order, size, budget, wait_seconds * 1_000_000 if timed else None)
-    packed = keyed.transformWithStateInPandas(packer, schema, "Append", "EventTime" if timed else "None")
+    schema = ", ".join(f"{c} {kinds[c]}" for c in [*lanes, "ord", "size"]) + ", batch_no bigint"
+    packer = _OpenBatch(lanes, budget, wait_seconds * 1_000_000 if timed else None)
+    packed = rows.groupBy(*lanes).transformWithStateInPandas(packer, schema, "Append", "EventTime" if timed else "None")
+    named = packed.select(*[F.col(n).alias(c) for n, c in zip(lanes, by)], F.col("ord").alias(order), F.col("size").alias(size), "batch_no")
     with rocksdb(spark):
-        return drain_append(packed, checkpoint, path)
+        return drain_append(named, checkpoint, path)

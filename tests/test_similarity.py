@@ -1,5 +1,6 @@
 """Word search, scores and lists against sets in Python."""
 
+import math
 import random
 
 import pytest
@@ -67,3 +68,23 @@ def test_round_records(spark):
     rec = {r.id: r for r in M.round_records(seqs, dist, hits, F.lit("ACDF"), "bits", 2).collect()}
     assert (rec["a"].round, rec["a"].length, rec["a"].mean_score, rec["a"].substitutions) == (2, 4, 5.0, 1)
     assert (rec["b"].mean_score, rec["b"].min_l2, rec["b"].substitutions) == (None, None, 2)
+
+
+@pytest.mark.parametrize("shares", [(0.2,), (0.9, 0.5, 0.2), (1.0, 0.2)])
+@pytest.mark.parametrize("n", [1, 3, 100])
+def test_top_hits_equal_brute_force(spark, shares, n):
+    rng = random.Random(4)
+    base = ["".join(rng.choice("ACDE") for _ in range(60)) for _ in range(6)]
+    cut = lambda s: s[rng.randrange(20):][:rng.randrange(10, 60)]
+    targets = [(i, cut(rng.choice(base)) + cut(rng.choice(base))) for i in range(60)] + [(60, ""), (61, base[0])]
+    queries = [(i, cut(rng.choice(base))) for i in range(15)] + [(15, ""), (16, "WWWWWWWW"), (17, base[0])]
+    words = lambda s: {s[i:i + 4] for i in range(len(s) - 3)}
+    want = set()
+    for q, s in queries:
+        w = words(s)
+        hits = sorted((-len(w & words(t)), i) for i, t in targets if w and len(w & words(t)) >= math.ceil(len(w) * shares[-1]))
+        want |= {(q, i, -k, pos + 1) for pos, (k, i) in enumerate(hits[:n])}
+    schema = "id long, seq string"
+    index = M.build_index(spark.createDataFrame(targets, schema), k=4, store=True)
+    got = M.top_hits(spark.createDataFrame(queries, schema), index, n, shares)
+    assert {(r["query"], r.target, r.shared, r.pos) for r in got.collect()} == want
