@@ -5,10 +5,11 @@ base 32, base 36, base 62, base 64) gives the alphabet for three tests, each aga
 hypothesis that the string is not random in that respect:
 
 * chi-squared uniformity of the alphabet, against a distribution as uneven as words;
-* the number of runs of one character class, against the few runs of names and words;
+* the number of runs of one character class, against the few runs of names and words in the same alphabet;
 * serial correlation of neighbours, against counting and repeated sequences.
 
-A string is random only if all three reject, so its p-value is the largest. Longer strings
+The standard scores of the first two are added up (either alone is weak for narrow alphabets);
+the serial test must reject by itself, so the p-value is the larger of the two. Longer strings
 say more: p-values are weighted by length, and a Benjamini-Hochberg step over
 the candidates of all documents bounds the share of false findings.
 """
@@ -17,7 +18,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +34,14 @@ KINDS = ["assign", "access", "hex", "random"]
 LONGEST_WEIGHT = 4.0
 STEPS = 50  # p-values are rounded up to steps of a fiftieth of a decade
 DEEPEST = 30  # decades
+DULL = 0.5    # larger p-values are counted only; weighted by length, even the longest stay above any limit in use
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _NAMES = (b"passw", b"secret", b"token", b"api")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}")
+_MIXED = re.compile(r"[+/].*[_-]|[_-].*[+/]")
+_PART = re.compile(r"[A-Za-z0-9]{20,}")
 
 #: Alphabets from the narrowest to the widest (fixed values).
 ALPHABETS = ["0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
@@ -44,10 +51,21 @@ ALPHABETS = ["0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ
              "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"]
 _SETS = [(a, frozenset(a)) for a in ALPHABETS]
 UNEVEN = 1.2      # chi-squared per character of word-like text
-CHANGES = 0.2     # share of neighbours of different class in word-like text
+CHANGES = 0.32    # neighbours of different class in word-like text, as a part of those in random text
 CORRELATION = 0.8  # of neighbours in counting or repeated sequences
 
 
+def _class(c: str) -> int:
+    return 0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3
+
+
+@cache
+def _turnover(alphabet: str) -> float:
+    """Share of neighbours of different class in random text over the alphabet."""
+    n = len(alphabet)
+    return 1 - sum((k / n) ** 2 for k in Counter(map(_class, alphabet)).values())
+
+
 def _normal(z: float) -> float:
     return 0.5 * math.erfc(-z / math.sqrt(2))
 
@@ -63,15 +81,16 @@ def randomness(text: str) -> float:
     counts = np.bincount(at, minlength=k)
     chi = float(((counts - n / k) ** 2).sum() * k / n)
     mean, var = (k - 1) + n * UNEVEN * k / 36, 2 * (k - 1) + 4 * n * UNEVEN * k / 36
-    uniform = _normal((chi - mean) / math.sqrt(var))
-    kind = np.array([0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3 for c in text])
+    uniform = (mean - chi) / math.sqrt(var)
+    kind = np.array([_class(c) for c in text])
     changes = int((kind[1:] != kind[:-1]).sum())
-    runs = 1 - _normal((changes - 0.5 - CHANGES * (n - 1)) / math.sqrt((n - 1) * CHANGES * (1 - CHANGES)))
+    share = CHANGES * _turnover(alphabet)
+    runs = (changes - 0.5 - share * (n - 1)) / math.sqrt((n - 1) * share * (1 - share))
     a, b = at[:-1] - at[:-1].mean(), at[1:] - at[1:].mean()
     spread = math.sqrt(float((a * a).sum() * (b * b).sum()))
     r = min(0.999999, abs(float((a * b).sum()) / spread)) if spread else 0.999999
     serial = _normal((math.atanh(r) - math.atanh(CORRELATION)) * math.sqrt(n - 3))
-    return max(uniform, runs, serial, 1e-30)
+    return max(_normal(-(uniform + runs) / math.sqrt(2)), serial, 1e-30)
 
 
 def base_spans(text: str, raw: bytes) -> list[tuple[int, int, int]]:
@@ -87,13 +106,18 @@ def base_spans(text: str, raw: bytes) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, float]]:
-    """(start, end, p-value) of key-like strings that no fixed pattern touches."""
+    """(start, end, p-value) of key-like strings that no fixed pattern touches; ``base`` is sorted by start."""
+    starts, reach = [a for a, _, _ in base], [0]
+    for _, _, e in base:
+        reach.append(max(reach[-1], e))
     found = []
     for m in _CANDIDATE.finditer(text):
-        if not any(a < m.end() and m.start() < e for a, _, e in base):
-            p = randomness(m[0])
-            if p < 0.5:
-                found.append((m.start(), m.end(), p))
+        if reach[bisect_left(starts, m.end())] > m.start():
+            continue
+        if _MIXED.search(m[0]):  # no encoding has both kinds of separators
+            found += [(m.start() + k.start(), m.start() + k.end(), randomness(k[0])) for k in _PART.finditer(m[0])]
+        else:
+            found.append((m.start(), m.end(), randomness(m[0])))
     return found
 
 
@@ -103,14 +127,19 @@ _FOUND = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("p",
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        base, more = [], []
+        base, more, total, weights = [], [], [], []
         for raw in utf8(b.column(1)):
             text = raw.decode()
             spans = base_spans(text, raw)
             base.append([{"first": a, "kind": k, "last": e} for a, k, e in spans])
-            more.append([{"first": a, "last": e, "p": p} for a, e, p in candidates(text, spans)])
-        yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(base, _SPAN), pa.array(more, _FOUND)],
-                                         ["doc_id", "base", "found"])
+            seen = candidates(text, spans)
+            # Dull ones are counted with the others but need not be kept: none of them can be a finding.
+            total.append(len(seen))
+            weights.append(sum(min(LONGEST_WEIGHT, (e - a) / 32) for a, e, _ in seen))
+            more.append([{"first": a, "last": e, "p": p} for a, e, p in seen if p < DULL])
+        yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(base, _SPAN), pa.array(more, _FOUND),
+                                          pa.array(total, pa.int64()), pa.array(weights, pa.float64())],
+                                         ["doc_id", "base", "found", "n_candidates", "weights"])
 
 
 def _weight(c: Column) -> Column:
@@ -118,14 +147,14 @@ def _weight(c: Column) -> Column:
 
 
 def discovery_limit(found: DataFrame, q: float) -> tuple[float, float]:
-    """(mean weight, largest accepted step) of a weighted Benjamini-Hochberg rule over ``doc_id, found``.
+    """(mean weight, largest accepted step) of a weighted Benjamini-Hochberg rule over all candidates.
 
     Counts by rounded p-value suffice: at most ``STEPS * DEEPEST`` numbers reach the driver.
     """
-    c = found.select(F.explode("found").alias("c"))
-    total, weight = c.agg(F.count("*"), F.avg(_weight(F.col("c")))).first()
+    total, weights = found.agg(F.sum("n_candidates"), F.sum("weights")).first()
     if not total:
         return 1.0, math.inf
+    c, weight = found.select(F.explode("found").alias("c")), weights / total
     steps = {r["step"]: r["n"] for r in c.groupBy(_step(F.col("c"), weight).alias("step")).agg(
         F.count("*").alias("n")).collect()}
     seen, limit = 0, math.inf
@@ -151,7 +180,7 @@ def find_secrets(docs: DataFrame, q: float = 0.01, id_col: str = "doc_id", text_
     source = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     found = stored(map_texts(source, ["doc_id", "text"], _scan, "doc_id bigint, "
                              "base array<struct<first:bigint,kind:int,last:bigint>>, "
-                             "found array<struct<first:bigint,last:bigint,p:double>>"), "secrets")
+                             "found array<struct<first:bigint,last:bigint,p:double>>, n_candidates bigint, weights double"), "secrets")
     weight, limit = discovery_limit(found, q)
     random = F.transform(F.filter("found", lambda c: _step(c, weight) >= F.lit(limit)), lambda c: F.struct(
         c["first"].alias("first"), F.lit(3).alias("kind"), c["last"].alias("last")))
