@@ -105,10 +105,13 @@ shapes AS (SELECT shape, w, words, lead, count(*) AS n FROM leaf JOIN big USING
 tok AS (SELECT shape, words, lead, n, p, w[p] AS word FROM shapes, LATERAL (SELECT unnest(range(1, words + 1)) AS p)),
 fixed AS (SELECT words, lead, p, word FROM tok GROUP BY 1, 2, 3, 4 HAVING sum(n) >= 10),
 made AS (SELECT t.shape, t.n, t.words, string_agg(CASE WHEN f.word IS NOT NULL THEN t.word ELSE '<*>' END, ' ' ORDER BY t.p) AS tpl,
-    sum(CASE WHEN f.word IS NOT NULL AND t.word <> '<*>' THEN 1 ELSE 0 END) AS constants
+    sum(CASE WHEN f.word IS NOT NULL AND t.word <> '<*>' THEN 1 ELSE 0 END) AS constants,
+    sum(CASE WHEN f.word IS NOT NULL AND t.word <> '<*>' AND t.p > 3 THEN 1 ELSE 0 END) AS behind
   FROM tok t LEFT JOIN fixed f USING (words, lead, p, word) GROUP BY 1, 2, 3),
-gone AS (SELECT shape FROM made WHERE constants >= words * 0.5 AND tpl IN (
-  SELECT tpl FROM made WHERE constants >= words * 0.5 GROUP BY tpl HAVING sum(n) >= 10))
+good AS (SELECT shape, tpl FROM made WHERE constants >= words * 0.5 AND behind >= greatest(words - 3, 0) * 0.5),
+often AS (SELECT tpl FROM good JOIN s USING (shape) GROUP BY tpl HAVING count(DISTINCT doc_id) >= 10),
+gone AS (SELECT shape FROM good JOIN often USING (tpl)
+  UNION SELECT shape FROM leaf WHERE words > 50 GROUP BY shape HAVING count(DISTINCT doc_id) >= 2)
 SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (shape IN (FROM gone)))::BIGINT AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (shape NOT IN (FROM gone)), '')) AS kept_sha256
 FROM l GROUP BY doc_id""")
