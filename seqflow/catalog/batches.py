@@ -11,6 +11,7 @@ from seqflow.functions import sequences as S
 from seqflow.operators import batching
 from seqflow.operators.packing import pack
 from seqflow.operators.population import resample_fill
+from seqflow.operators.stats import pad_to_longest
 
 BUDGET = 16000
 
@@ -31,6 +32,13 @@ TOTALS = """totals AS (
          max(n_tokens)::INTEGER AS width FROM tok GROUP BY source, batch_no)"""
 
 
+BENCH = f"bench AS (SELECT item_id, {CLEAN} AS seq FROM benchmark)"
+
+
+def bench_seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select("item_id", S.clean("text").alias("seq"))
+
+
 def packed_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = seqs(spark, sf_dir).select("source", "doc_id", F.length("seq").alias("n"))
     out = pack(rows, "doc_id", "n", BUDGET, ["source"])
@@ -79,6 +87,24 @@ def batch_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batching.batch_payload(asked, batches).drop("batch_id")
 
 
+@query("missing_batches", f"""WITH RECURSIVE {PACKED}, {TOTALS},
+asked AS (SELECT DISTINCT source, b AS batch_no FROM documents, range(0, (SELECT max(batch_no) + 1 FROM totals)) r(b))
+SELECT source, batch_no FROM asked ANTI JOIN totals USING (source, batch_no)""")
+def missing_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of the batches that every source is asked for don't exist."""
+    asked = batch_payload(spark, sf_dir)
+    batches = asked.where("found").select(F.concat_ws("/", "source", "batch_no").alias("batch_id"))
+    named = asked.select(F.concat_ws("/", "source", "batch_no").alias("batch_id"), "source", "batch_no")
+    return batching.missing_batches(named, batches).select("source", "batch_no")
+
+
+@query("seq_pad_longest", f"""WITH {BENCH}, top AS (SELECT max(length(seq))::INTEGER AS n FROM bench)
+SELECT item_id, rpad(seq, n, '{S.PAD}') AS seq FROM bench, top""")
+def seq_pad_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without a given length, the longest sequence sets it."""
+    return pad_to_longest(bench_seqs(spark, sf_dir))
+
+
 @query("budget_cutoff", f"""WITH {SEQS},
 s AS (SELECT doc_id, length(seq) AS n FROM seqs),
 run AS (SELECT doc_id, n, coalesce(sum(n) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen,
@@ -104,13 +130,6 @@ def fixed_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batching.fixed_groups(table(spark, sf_dir, "events").select("event_id"), "event_id", 64)
 
 
-BENCH = f"bench AS (SELECT item_id, {CLEAN} AS seq FROM benchmark)"
-
-
-def bench_seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select("item_id", S.clean("text").alias("seq"))
-
-
 @query("cycled_source", f"""WITH {BENCH} SELECT c::INTEGER AS cycle, item_id, seq FROM bench, range(3) r(c)""")
 def cycled_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batching.cycle(bench_seqs(spark, sf_dir), 3)

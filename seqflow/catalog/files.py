@@ -51,6 +51,13 @@ def fasta_scan_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("ord", "seq_id", F.md5("seq").alias("seq_md5"))
 
 
+@query("labels_scan", f"""WITH {SEQS} SELECT 'doc_' || doc_id AS label FROM seqs WHERE length(seq) > 0""")
+def labels_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels of the sequences, one a line, written and read back."""
+    names = seq_clean(spark, sf_dir).select(F.concat(F.lit("doc_"), F.col("doc_id")).alias("name"))
+    return fasta.read_labels(spark, fasta.write_labels(names, "name"))
+
+
 @query("hits_scan", f"""WITH {HITS}
 SELECT query::VARCHAR AS query, target::VARCHAR AS target, round(fident, 6) AS fident, shared::DOUBLE AS bits,
        round(fident / 2, 6) AS alntmscore FROM hits""")

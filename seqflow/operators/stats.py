@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from seqflow.functions import sequences as S
+from seqflow.operators.ordered import join_on
 
 
 def median_length(seqs: DataFrame, seq_col: str = "seq") -> DataFrame:
@@ -50,3 +51,10 @@ def length_stats(seqs: DataFrame, by: Sequence[str] = (), seq_col: str = "seq")
     return out.select(*by, "num_seqs", "sum_len", "min_len", "avg_len", "max_len",
                       F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("q2"),
                       F.col("_q")[2].alias("q3"), "n50")
+
+
+def pad_to_longest(seqs: DataFrame, by: Sequence[str] = (), seq_col: str = "seq") -> DataFrame:
+    """Every sequence padded to the longest of its group, the length to use where none is given."""
+    longest = seqs.groupBy(*by).agg(F.max(F.length(seq_col)).alias("_longest"))
+    rows = join_on(seqs, longest, list(by), "inner") if by else seqs.withColumn("_longest", longest.scalar())
+    return rows.withColumn(seq_col, S.fixed_length(seq_col, F.col("_longest"))).drop("_longest")
