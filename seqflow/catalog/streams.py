@@ -181,7 +181,7 @@ def stream_drop_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 s AS (SELECT 'node' || (user_id % 4) AS host, t // 1000000 AS sec, value FROM log),
 b AS (SELECT host, sec AS moment, value AS v FROM s UNION ALL SELECT host, sec + 5, value / 2 FROM s)
 SELECT host, g AS gauge, make_timestamp(moment // 3600 * 3600 * 1000000) AS start, count(*) AS num_samples,
-  round(avg(v * f), 6) AS avg, round(max(v * f), 6) AS max
+  round(sum(v * f), 3) AS total, round(max(v * f), 6) AS max
 FROM b, (VALUES ('cpu_percent', 1), ('power_watts', 2)) q(g, f) GROUP BY host, g, moment // 3600""")
 def stream_telemetry_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Checkpoint objects, one file after another as they arrive, one file to a micro-batch."""
@@ -200,4 +200,5 @@ def stream_telemetry_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = R.telemetry_samples(R.stream_telemetry(spark, path, max_files_per_trigger=1))
     windows = J.telemetry_windows(samples, "ts", ["host", "gauge"], "value", "1 hour", "400 days")
     out = drain_update(windows, ["host", "gauge", "start"])
-    return out.select("host", "gauge", plain("start"), "num_samples", r6("avg", "avg"), r6("max", "max"))
+    total = F.round(F.col("avg") * F.col("num_samples"), 3)
+    return out.select("host", "gauge", plain("start"), "num_samples", total.alias("total"), r6("max", "max"))
