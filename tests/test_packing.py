@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from seqflow.operators.packing import pack, pack_with_state, transfer_steps
+from seqflow.operators.packing import apply_steps, compose_steps, pack, pack_with_state, transfer_steps
 
 DEMO = ["STANHFNAYKLTRPYVAYCADCGMGHSCHSPAMIENIQADATDGTLK", "MKTFFVLLLAGAGAG", "MASQDVKIVVLGGLG",
         "MVHLTPEEKSAVTALWGKV"]
@@ -77,3 +77,27 @@ def test_carry_continues_open_batches(spark):
 def test_length_equal_to_budget_stays(spark):
     df = spark.createDataFrame([(1, 10), (2, 11), (3, 1)], "id long, n long")
     assert {r.id: r.batch_no for r in pack(df, "id", "n", 10).collect()} == {1: 0, 3: 1}
+
+
+def test_composition_equals_one_pass():
+    rng = random.Random(2)
+    for _ in range(300):
+        budget = rng.randint(1, 30)
+        parts = [[rng.randint(0, budget) for _ in range(rng.randint(0, 12))] for _ in range(3)]
+        fs = [transfer_steps(np.array(p, np.int64), budget) for p in parts]
+        left = compose_steps(compose_steps(fs[0], fs[1], budget), fs[2], budget)
+        right = compose_steps(fs[0], compose_steps(fs[1], fs[2], budget), budget)
+        whole = transfer_steps(np.array(sum(parts, []), np.int64), budget)
+        for u in range(budget + 1):
+            assert apply_steps(left, u) == apply_steps(right, u) == apply_steps(whole, u)
+
+
+def test_many_parts_in_a_deep_tree(spark):
+    rng = random.Random(9)
+    rows = [("hot" if rng.random() < 0.8 else f"l{rng.randrange(3)}", i, rng.choice([0, 3, 40, 99, 100])) for i in range(700)]
+    df = spark.createDataFrame(rows, "lane string, id long, n long").repartition(7)
+    carry = spark.createDataFrame([("hot", 97, 5)], "lane string, used long, batch_no long")
+    packed, state = pack_with_state(df, "id", "n", 100, ["lane"], carry, chunk_rows=10, fan=3)
+    want, end = greedy(rows, 100, {"hot": (97, 5)})
+    assert {(r.lane, r.id): r.batch_no for r in packed.collect()} == want
+    assert {r.lane: (r.used, r.batch_no) for r in state.collect()} == end

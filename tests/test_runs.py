@@ -1,5 +1,7 @@
 """Populations, batches, accounting, embedding, evolution."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -62,6 +64,27 @@ def test_interval_rates_skip_idle_lines(spark):
     assert got == {("r", 10): (2, 20, 10.0), ("r", 30): (3, 30, 20.0), ("q", 5): (1, 1, 5.0)}
 
 
+def test_interval_rates_over_chunks_read_their_input_twice_at_most(spark):
+    rng = random.Random(6)
+    rows, want = [], {}
+    for run in ("a", "b"):
+        r = t = 0
+        last, clock = (0, 0), None
+        for ts in sorted(rng.sample(range(1000), 150)):
+            if rng.random() < 0.4:
+                r, t = r + rng.randrange(3), t + rng.randrange(2)
+            rows.append((run, ts, r, t))
+            if (r, t) != last:
+                want[run, ts] = (r - last[0], t - last[1], None if clock is None else float(ts - clock))
+                last, clock = (r, t), ts
+    log = spark.createDataFrame(rows, "run string, ts long, requests long, tokens long").repartition(5)
+    for chunk_rows in (7, 10**6):
+        out = A.interval_rates(log, chunk_rows=chunk_rows)
+        assert {(r.run, r.ts): (r.d_requests, r.d_tokens, r.dt) for r in out.collect()} == want
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.split("Initial Plan")[0].count("FileScan") <= 2
+
+
 def test_in_flight_and_snapshot(spark):
     log = spark.createDataFrame([(0, 10, 5), (4, 6, 7), (10, 12, 1)], "a long, b long, tok long")
     got = {r.t: (r.in_flight, r.queue_tokens) for r in A.in_flight(log, "a", "b", "tok", chunk_rows=1, max_chunks=4).collect()}
