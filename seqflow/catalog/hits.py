@@ -52,7 +52,7 @@ SELECT query, target, shared, round(shared / n, 6) AS fident, pos::INTEGER AS po
   SELECT *, row_number() OVER (PARTITION BY query ORDER BY shared DESC, target) AS pos FROM h WHERE shared >= ceil(n * {LEAST_SHARE}::DOUBLE)) WHERE pos <= {TOP_HITS}""")
 def kmer_top_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that share most words with each benchmark item."""
-    index = M.build_index(seqs(spark, sf_dir), "doc_id", k=K, store=True)
+    index = M.build_index(seqs(spark, sf_dir), "doc_id", k=K)
     top = M.top_hits(bench_seqs(spark, sf_dir), index, TOP_HITS, (0.8, 0.5, LEAST_SHARE), "item_id")
     return top.withColumn("fident", r6("fident"))
 

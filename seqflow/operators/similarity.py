@@ -100,18 +100,20 @@ def top_hits(queries: DataFrame, index: WordIndex, n: int, shares: Sequence[floa
     keys = [*by, "query"]
     words = queries.select(*by, F.col(id_col).alias("query"), S.kmers(seq_col, index.k).alias("_w"))
     words = words.select(*keys, F.size("_w").alias("n_words"), "_w").select(*keys, "n_words", F.explode_outer("_w").alias("word"))
-    spread = index.postings.groupBy(*by, "word").agg(F.count(F.lit(1)).alias("df"))
+    words = materialize(words.where(F.col("word").isNotNull()), "query-words")
+    # Only postings of the queries' words are kept; the join reaches below the index's own aggregation.
+    postings = materialize(index.postings.join(words.select(*by, "word").distinct(), [*by, "word"], "left_semi"), "postings")
+    spread = postings.groupBy(*by, "word").agg(F.count(F.lit(1)).alias("df"))
     rarity = W.partitionBy(*keys).orderBy(F.coalesce("df", F.lit(0)), "word")
-    words = words.where(F.col("word").isNotNull()).join(spread, [*by, "word"], "left").withColumn("rank", F.row_number().over(rarity))
-    words = materialize(words, "query-words")
+    words = materialize(words.join(spread, [*by, "word"], "left").withColumn("rank", F.row_number().over(rarity)), "ranked-words")
     found = None
     left = words
     for share in shares:
         least = F.greatest(F.lit(1), F.ceil(F.col("n_words") * F.lit(share)))
         rare = left.where((F.col("rank") <= F.col("n_words") - least + 1) & F.col("df").isNotNull())
-        pairs = rare.select(*keys, "word").join(index.postings, [*by, "word"]).select(*keys, "target").distinct()
+        pairs = rare.select(*keys, "word").join(postings, [*by, "word"]).select(*keys, "target").distinct()
         asked = left.where("df IS NOT NULL").select(*keys, "word", "n_words", least.alias("least"))
-        counted = pairs.join(asked, keys).join(index.postings, [*by, "word", "target"], "left_semi")
+        counted = pairs.join(asked, keys).join(postings, [*by, "word", "target"], "left_semi")
         hits = counted.groupBy(*keys, "target").agg(F.count(F.lit(1)).alias("shared"), F.first("n_words").alias("n_words"),
                                                     F.first("least").alias("least"))
         hits = materialize(hits.where(F.col("shared") >= F.col("least")).drop("least"), "hits")
