@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from seqflow.llm.bpe import Merger, Vocabulary
-from seqflow.llm.texts import Memo, kept_in_worker, list_array, map_texts, slices, utf8
+from seqflow.llm.texts import RecentMemo, kept_in_worker, list_array, map_texts, slices, utf8
 
-CHUNKS = 200_000
+#: Words and chunks that a worker remembers, twice over.
+WORDS, CHUNKS = 200_000, 100_000
 
 
 def _names(vocab: Vocabulary) -> dict[int, str]:
@@ -39,8 +40,8 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     def tools():
         own = Merger(shared.value)
         special = {t: np.int32(i).tobytes() for t, i in own.vocab.special.items()}
-        words = Memo(lambda w: array("i", own.encode_word(w)).tobytes(), limit=100_000)
-        return own, special, Memo(lambda c: b"".join(map(words.__getitem__, own.pre_tokens(c))), limit=CHUNKS), _names(own.vocab)
+        words = RecentMemo(lambda w: array("i", own.encode_word(w)).tobytes(), limit=WORDS)
+        return own, special, RecentMemo(lambda c: b"".join(map(words.__getitem__, own.pre_tokens(c))), limit=CHUNKS), _names(own.vocab)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, special, parts, name = kept_in_worker(("encode", vocabulary), tools)

@@ -46,6 +46,27 @@ class Memo(dict):
         return value
 
 
+class RecentMemo(dict):
+    """``make(key)`` remembered in two generations of ``limit`` entries: a full one becomes the old one, whose entries
+    move on when asked for again, so what is frequent is made once. Longer keys than ``longest`` are not kept."""
+
+    def __init__(self, make: Callable, limit: int, longest: int = 256):
+        super().__init__()
+        self.make, self.limit, self.longest, self.old = make, limit, longest, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+            if len(key) > self.longest:
+                return value
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 _KEPT: dict = {}
 
 

@@ -62,6 +62,14 @@ def test_encode_and_decode(edge, none, smoke):
     assert encode.encode(none, WORDS).count() == 0
 
 
+def test_memo_keeps_what_is_frequent():
+    made = Counter()
+    memo = texts.RecentMemo(lambda k: made.update([k]) or k * 2, limit=4, longest=3)
+    for k in range(40):
+        assert memo["hot"] == "hothot" and memo[str(k)] == str(k) * 2 and memo["long key"] == "long keylong key"
+    assert made["hot"] == 1 and made["long key"] == 40 and len(memo) <= 4 and len(memo.old) <= 4
+
+
 def test_merges_skip_stale_pairs():
     m = bpe.Merger(bpe.Vocabulary({"a": 0, "b": 1, "ab": 2, "aab": 3, "aa": 4}, [("a", "b"), ("a", "ab"), ("a", "a")], r"\S+"))
     assert m.encode_word("aab") == [3] and m.encode_word("aaaab") == [4, 0, 2][:1] + [3] and m.encode_word("") == []
