@@ -2,7 +2,9 @@
 
 A template is text with ``<<optional>>...<<end>>`` regions, which may be absent,
 and ``<<any N>>`` places, which stand for up to N words. It compiles into an automaton over
-words; a text is accepted where all mandatory wording matches word for word.
+words; a stretch of a text is accepted where all mandatory wording matches word for word. Labels that end in
+``-text`` stand for whole license texts or notices, the others for references of one clause. What comes before or
+after an accepted stretch doesn't count, so terms that are added behind a whole license are not seen.
 Automata start only at words that can begin a template, so other texts cost one look at each word.
 """
 
@@ -20,7 +22,39 @@ from seqflow.llm.texts import alnum_words, map_texts, utf8
 #: Phrases and their labels (fixed values).
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: Notices and their labels, in template markup.
+_BSD_CONDITIONS = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the "
+    "following conditions are met <<optional>>1<<end>> redistributions of source code must retain the above copyright "
+    "notice this list of conditions and the following disclaimer <<optional>>2<<end>> redistributions in binary form must "
+    "reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or "
+    "other materials provided with the distribution ")
+_BSD_ADVERTISING = (
+    "<<optional>>3<<end>> all advertising materials mentioning features or use of this software must display the following "
+    "acknowledgement <<optional>>this product includes software developed by <<any 12>><<end>> ")
+_BSD_NAMES = (
+    "<<any 1>> neither the <<any 1>> of <<any 12>> nor the names of <<any 2>> contributors may be used to "
+    "endorse or promote products derived from this software without specific prior written permission ")
+_BSD_DISCLAIMER = (
+    "this software is provided by <<any 12>> as is and any express or implied warranties including but not limited to the "
+    "implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall <<any 12>> "
+    "be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to "
+    "procurement of substitute goods or services loss of use data or profits or business interruption however caused and on "
+    "any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any "
+    "way out of the use of this software even if advised of the possibility of such damage")
+_AS_IS = (
+    "the <<any 3>> is provided as is without warranty of any kind express or implied including but not limited to the "
+    "warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the <<any 12>> be "
+    "liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of "
+    "or in connection with the <<any 3>> or the use or other dealings in the software")
+_GPL_NOTICE = (
+    "this <<any 4>> is free software you can redistribute it and or modify it under the terms of the gnu general public "
+    "license as published by the free software foundation <<optional>>either<<end>> version {} of the license "
+    "<<optional>>or at your option any later version<<end>> this <<any 4>> is distributed in the hope that it will be useful "
+    "but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see "
+    "the gnu general public license for more details you should have received a copy of the gnu general public license "
+    "along with this")
+
+#: Licenses and their labels, in template markup: references of one clause, then whole notices and whole texts.
 TEMPLATES = {
     "gpl-3.0": "gnu general public license <<optional>>as published by the free software foundation<<end>> "
                "<<optional>>either<<end>> version 3",
@@ -28,14 +62,56 @@ TEMPLATES = {
                "<<optional>>either<<end>> version 2",
     "apache-2.0": "licensed under the apache license version 2 0",
     "mit-notice": "<<optional>>this <<any 2>> is<<end>> released under the <<optional>>terms of the<<end>> mit license",
-    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and "
-                "associated documentation files the <<any 3>> to deal in the <<any 3>> without restriction",
-    "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided "
-           "that the following conditions are met",
     "cc-by-nc": "licensed under <<optional>>a<<end>> <<optional>>the<<end>> cc by nc <<optional>>sa<<end>> <<any 2>> 0",
     "cc-by-4.0": "licensed under <<optional>>a<<end>> <<optional>>the<<end>> cc by <<optional>>sa<<end>> 4 0",
     "mpl-2.0": "subject to the terms of the mozilla public license v 2 0",
-    "reserved": "<<optional>>copyright <<any 6>><<end>> all rights reserved",
+    "reserved": "copyright <<any 8>> all rights reserved",
+    "gpl-3.0-text": _GPL_NOTICE.format(3),
+    "gpl-2.0-text": _GPL_NOTICE.format(2),
+    "apache-2.0-text":
+        "licensed under the apache license version 2 0 the license you may not use this <<any 2>> except in compliance with "
+        "the license you may obtain a copy of the license at <<any 12>> unless required by applicable law or agreed to in "
+        "writing software distributed under the license is distributed on an as is basis without warranties or conditions of "
+        "any kind either express or implied see the license for the specific language governing permissions and limitations "
+        "under the license",
+    "mpl-2.0-text":
+        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not "
+        "distributed with this file you can obtain one at",
+    "mit-text":
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
+        "documentation files the <<any 3>> to deal in the <<any 3>> without restriction including without limitation the "
+        "rights to use copy modify merge publish distribute sublicense and or sell copies of the <<any 3>> and to permit "
+        "persons to whom the <<any 3>> is furnished to do so subject to the following conditions the above copyright notice "
+        "and this permission notice <<optional>>including the next paragraph<<end>> shall be included in all copies or "
+        "substantial portions of the <<any 3>> " + _AS_IS,
+    "isc-text":
+        "permission to use copy modify and <<optional>>or<<end>> distribute this software for any purpose with or without fee "
+        "is hereby granted provided that the above copyright notice and this permission notice appear in all copies the "
+        "software is provided as is and <<any 6>> disclaims all warranties with regard to this software including all implied "
+        "warranties of merchantability and fitness in no event shall <<any 6>> be liable for any special direct indirect or "
+        "consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of "
+        "contract negligence or other tortious action arising out of or in connection with the use or performance of this "
+        "software",
+    "bsd-2-clause-text": _BSD_CONDITIONS + _BSD_DISCLAIMER,
+    "bsd-3-clause-text": _BSD_CONDITIONS + _BSD_NAMES + _BSD_DISCLAIMER,
+    "bsd-4-clause-text": _BSD_CONDITIONS + _BSD_ADVERTISING + _BSD_NAMES + _BSD_DISCLAIMER,
+    "zlib-text":
+        "this software is provided as is without any express or implied warranty in no event will the <<any 4>> be held "
+        "liable for any damages arising from the use of this software permission is granted to anyone to use this software "
+        "for any purpose including commercial applications and to alter it and redistribute it freely subject to the "
+        "following restrictions <<optional>>1<<end>> the origin of this software must not be misrepresented you must not "
+        "claim that you wrote the original software if you use this software in a product an <<any 1>> in the product "
+        "documentation would be appreciated but is not required <<optional>>2<<end>> altered source versions must be plainly "
+        "marked as such and must not be misrepresented as being the original software <<optional>>3<<end>> this notice may "
+        "not be removed or altered from any source distribution",
+    "unlicense-text":
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use "
+        "compile sell or distribute this software either in source code form or as a compiled binary for any purpose "
+        "commercial or non commercial and by any means in jurisdictions that recognize copyright laws the author or authors of "
+        "this software dedicate any and all copyright interest in the software to the public domain we make this dedication "
+        "for the benefit of the public at large and to the detriment of our heirs and successors we intend this dedication to "
+        "be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright "
+        "law " + _AS_IS,
 }
 _MARK = re.compile(r"<<(optional|end|any (\d+))>>")
 
@@ -163,7 +239,7 @@ def find_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, phr
     """``doc_id, n_words, places, matches`` for every row: words from 0, end exclusive.
 
     ``places``: phrases; ``matches``: texts that a template accepts, the shortest from each start. Null and empty texts
-    have no words.
+    have no words. Repeated ids and rows are reported row by row; other columns, whatever their names, are left out.
     """
     for label, t in templates.items():
         Template.compile(label, t)

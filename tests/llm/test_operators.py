@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -246,6 +247,65 @@ def test_license_report(spark, edge, none):
     assert licenses.license_report(edge).count() == edge.count() and licenses.license_report(none).count() == 0
 
 
+def spelled(markup, optional, filler):
+    """A text of a template: all or no optional regions, and one word in each replaceable place."""
+    markup = re.sub(r"<<optional>>(.*?)<<end>>", r"\1" if optional else "", markup)
+    return re.sub(r"<<any \d+>>", filler, markup).split()
+
+
+@pytest.mark.parametrize("label", [k for k in licenses.TEMPLATES if k.endswith("-text")])
+def test_whole_license_texts_need_every_word(label):
+    t = licenses.Template.compile(label, licenses.TEMPLATES[label])
+    for optional in (True, False):
+        words = [w.encode() for w in spelled(licenses.TEMPLATES[label], optional, "zz")]
+        assert t.match(words + [b"more"], 0) == len(words)
+        assert t.match([w for w in words if w != b"zz"], 0) is not None
+        assert all(t.match(words[:k], 0) is None for k in range(len(words)))
+        if not optional:
+            fixed = [k for k, w in enumerate(words) if w != b"zz"]
+            assert all(t.match(words[:k] + [b"qq", b"rr"] * 8 + words[k + 1:], 0) is None for k in fixed)
+
+
+def test_bsd_texts_are_told_apart(spark):
+    texts_ = [" ".join(spelled(licenses.TEMPLATES[f"bsd-{n}-clause-text"], True, "someone")) for n in (2, 3, 4)]
+    opening = licenses.TEMPLATES["mit-text"].split("without limitation")[0].replace("<<any 3>>", "software")
+    rows_ = [*enumerate(texts_, 2), (9, opening + "all commercial use is forbidden"), (10, "all rights reserved")]
+    got = {r.doc_id: r.labels for r in licenses.license_report(spark.createDataFrame(rows_, "doc_id long, text string")).collect()}
+    assert got == {2: "bsd-2-clause-text", 3: "bsd-3-clause-text", 4: "bsd-4-clause-text", 9: "", 10: ""}
+
+
+def test_templates_equal_expressions():
+    """Automata against regular expressions, on random markup over three words."""
+    draw = random.Random(5)
+    for _ in range(300):
+        markup, expression = "", ""
+        for k in range(draw.randint(1, 5)):
+            word, n = draw.choice("abc"), draw.randint(1, 2)
+            kind = draw.choice(["word", "optional", "any", "both"]) if k else "word"
+            markup += {"word": f" {word} ", "optional": f"<<optional>>{word}<<end>>", "any": f"<<any {n}>>",
+                       "both": f"<<optional>>{word} <<any {n}>><<end>>"}[kind]
+            expression += {"word": f"{word} ", "optional": f"(?:{word} )?", "any": f"(?:. ){{0,{n}}}",
+                           "both": f"(?:{word} (?:. ){{0,{n}}})?"}[kind]
+        t = licenses.Template.compile("x", markup)
+        words = [draw.choice("abc") for _ in range(12)]
+        for i in range(12):
+            ends = (j for j in range(i + 1, 13) if re.fullmatch(expression, "".join(w + " " for w in words[i:j])))
+            assert t.match([w.encode() for w in words], i) == next(ends, None), (markup, words, i)
+
+
+def test_license_phrases_equal_brute_force(spark):
+    draw = random.Random(6)
+    pool = "gnu General public license apache cc by mit x\u00e9".split()
+    rows_ = [(i, draw.choice(["", " "]).join(w + draw.choice(" -,\n") for w in draw.choices(pool, k=draw.randint(0, 60)))) for i in range(200)]
+    got = {r.doc_id: r for r in licenses.license_report(spark.createDataFrame(rows_, "doc_id long, text string")).collect()}
+    for i, text in rows_:
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
+        found = sorted((k, label) for p, label in licenses.PHRASES.items() for k in range(len(words)) if words[k:k + len(p.split())] == p.split())
+        r = got[i]
+        assert (r.n_words, r.n_base, r.base_labels) == (len(words), len(found), ",".join(sorted({label for _, label in found})))
+        assert (r.first_word, r.last_word) == ((found[0][0], found[-1][0]) if found else (None, None))
+
+
 # 6 ---------------------------------------------------------------------------------------------
 
 def test_resampling_by_held_out_labels(spark, smoke_dir):
