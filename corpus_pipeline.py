@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from seqflow.llm.decontaminate import contamination
 from seqflow.llm.encode import encode
 from seqflow.llm.exact_dedup import exact_dedup, text_class
-from seqflow.llm.importance import resample
+from seqflow.llm.importance import SHARPNESS, resample
 from seqflow.llm.ngram_join import ngram_components
 from seqflow.llm.rows import keep_rows, with_row_key
 from seqflow.llm.texts import free_name, same
@@ -23,7 +23,7 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the classifier rejects, by importance resampling, go."""
     rows, key = with_row_key(docs)
-    scored = resample(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"), row_col=key)
+    scored = resample(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"), row_col=key, sharpness=SHARPNESS)
     return keep_rows(rows, scored.where("sampled").select(F.col("row").alias(key)), key).drop(key)
 
 
