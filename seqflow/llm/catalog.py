@@ -22,6 +22,8 @@ from seqflow.llm.spelling import spelling_groups
 from seqflow.llm.token_counts import count_tokens
 
 LONG_TOKENS = 1024
+#: Part of all documents that op6 samples.
+SAMPLED_SHARE = 0.5
 
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
@@ -92,7 +94,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_importance")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), sharpness=None, share=SAMPLED_SHARE)
 
 
 @query("op7_line_templates", r"""WITH raw AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),

@@ -1,11 +1,12 @@
 """Quality by importance resampling.
 
 Two generative models over hashed word n-grams, one of target text (documents
-labelled good) and one of all text, give every document the mean log ratio of
-its n-grams. Documents are sampled without replacement in proportion to
-``exp(sharpness * ratio)``: a Gumbel number is added to each log weight and the
-k largest sums win. k is the number of documents whose ratio clears the cut
-that tells good and bad labels apart best.
+labelled good) and one of all text, give every document an importance weight: the ratio of
+its probabilities under both, whose log is the sum of its n-grams' log ratios. Documents are sampled
+without replacement in proportion to the weights: a Gumbel number is added to each log weight and the
+k largest sums win. k is a share of all rows, or by default the number of documents whose mean log ratio clears
+the cut that tells good and bad labels apart best. Where length must not decide, the log weight can
+be ``sharpness`` times the mean log ratio instead.
 
 The tables have a fixed size (2**bits buckets). The good and bad labels come from a sample of at
 most ``sample`` labelled rows, smallest hashes first; the model of all text counts every document.
@@ -13,6 +14,7 @@ most ``sample`` labelled rows, smallest hashes first; the model of all text coun
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -139,19 +141,22 @@ def kth_largest(df: DataFrame, value: str, k: int) -> float:
         part = df.where((F.col(value) >= low) & (F.col(value) <= high))
 
 
-def gumbel(seed: int):
-    """A standard Gumbel number from a hash of the id, the same in every run."""
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id")), 11).cast("double") + 0.5) / float(1 << 53)
+def gumbel(seed: int, *by: str):
+    """A standard Gumbel number from a hash of the columns ``by``, the same in every run."""
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *map(F.col, by)), 11).cast("double") + 0.5) / float(1 << 53)
     return -F.log(-F.log(u))
 
 
 def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS,
-             sample: int = SAMPLE, sharpness: float = SHARPNESS, seed: int = 7, row_col: str | None = None) -> DataFrame:
-    """``doc_id, n_grams, ratio, gumbel_key, accepted, sampled`` for every row, and its ``row_col`` (a bigint) as ``row``.
-
-    ``accepted``: the ratio reaches the cut. ``sampled``: among the k largest keys, k being the number
-    of accepted rows; equal keys (rows that repeat an id and a text) stand or fall together. A
-    null or empty text has ratio 0. Without labels of both kinds every row is accepted and sampled.
+             sample: int = SAMPLE, sharpness: float | None = SHARPNESS, share: float | None = None, seed: int = 7,
+             row_col: str | None = None) -> DataFrame:
+    """``doc_id, n_grams, ratio, log_weight, gumbel_key, accepted, sampled`` for every row, and its ``row_col`` (a bigint) as ``row``.
+
+    ``ratio``: mean log ratio. ``log_weight``: ``sharpness * ratio``, or the sum of log ratios if ``sharpness`` is None. ``accepted``: the
+    ratio reaches the cut. ``sampled``: among the k largest keys, k being ``share`` of all rows (rounded up) or, without a
+    share, the number of accepted rows; equal keys stand or fall together. Rows draw by their ``row_col``, else
+    by id, n-gram count and ratio, so rows of one id (or none) draw apart and only rows that repeat an id and a text have one key. A
+    null or empty text has ratio and log weight 0. Without labels of both kinds every row is accepted.
     """
     carried = [] if row_col is None else ["row"]
     source = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"),
@@ -160,9 +165,11 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     scored = stored(ratios(source, fit(source, known, bits), known), "ratios")
     seen = scored.where("label IS NOT NULL").select("ratio", "label").collect()  # labelled rows of the sample
     cut = best_cut(np.array([r["ratio"] for r in seen]), np.array([r["label"] for r in seen]))
-    keyed = scored.withColumn("accepted", F.col("ratio") >= F.lit(cut)).withColumn(
-        "gumbel_key", F.col("ratio") * sharpness + gumbel(seed))
-    k = keyed.where("accepted").count()
+    weight = F.col("ratio") * (F.col("n_grams") + PRIOR if sharpness is None else sharpness)
+    draw = gumbel(seed, "doc_id", *(carried or ["n_grams", "ratio"]))
+    keyed = scored.select("*", (F.col("ratio") >= F.lit(cut)).alias("accepted"), weight.alias("log_weight")).withColumn(
+        "gumbel_key", F.col("log_weight") + draw)
+    k = keyed.where("accepted").count() if share is None else math.ceil(share * keyed.count())
     last = kth_largest(keyed, "gumbel_key", k) if k else float("inf")
-    return keyed.select("doc_id", "n_grams", "ratio", "gumbel_key", "accepted",
+    return keyed.select("doc_id", "n_grams", "ratio", "log_weight", "gumbel_key", "accepted",
                         (F.col("gumbel_key") >= F.lit(last)).alias("sampled"), *carried)

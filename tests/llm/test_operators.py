@@ -319,6 +319,30 @@ def test_resampling_by_held_out_labels(spark, smoke_dir):
     assert out.where("accepted").count() == out.where("sampled").count()
 
 
+def test_samples_follow_the_weights(spark):
+    """The first of four rows by Gumbel key, over 4000 groups, falls in proportion to the weights 1 to 4."""
+    rows_ = spark.range(16_000).select((F.col("id") / 4).cast("long").alias("g"), (F.col("id") % 4 + 1).alias("w"))
+    first = rows_.withColumn("key", F.log("w") + importance.gumbel(3, "g", "w")).groupBy("g").agg(F.max_by("w", "key").alias("w"))
+    seen = Counter(r.w for r in first.collect())
+    assert all(abs(seen[w] / 4000 - w / 10) < 0.03 for w in (1, 2, 3, 4)), seen
+
+
+@pytest.mark.parametrize("share", [0.1, 0.5])
+def test_sample_is_likelier_under_the_target(spark, smoke_dir, share):
+    where = smoke_dir.replace("0.001", "0.01")
+    docs, labels = (spark.read.parquet(f"{where}/{t}.parquet") for t in ("documents", "labels"))
+    out = importance.resample(docs, labels.where("doc_id % 2 = 0"), sharpness=None, share=share).collect()
+    taken = [r for r in out if r.sampled]
+    assert len(taken) == math.ceil(share * len(out))
+    mean = lambda rows: sum(r.log_weight for r in rows) / sum(r.n_grams + importance.PRIOR for r in rows)
+    assert mean(taken) > mean(out)
+    bad = {r.doc_id for r in labels.where("doc_id % 2 = 1 AND quality = 0").collect()}
+    part = lambda rows: sum(r.doc_id in bad for r in rows) / len(rows)
+    assert part(taken) < 0.5 * part(out)
+    assert all(math.isclose(r.log_weight, r.ratio * (r.n_grams + importance.PRIOR)) for r in out)
+    assert len({r.gumbel_key for r in out}) == len({(r.doc_id, r.n_grams, r.ratio) for r in out})
+
+
 def test_resampling_on_edges(edge, none, spark):
     labels = spark.createDataFrame([(1, 1), (2, 0), (2, 1), (None, 1), (4, None)], "doc_id long, quality int")
     out = importance.resample(edge, labels)
