@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from seqflow.functions import sequences as S
+from seqflow.operators.ordered import join_on
+from seqflow.operators.wordscan import shared_words, small_side
 from seqflow.session import materialize
 
 DEFAULT_K = 7
@@ -14,11 +16,40 @@ BROADCAST_WORDS = 1_000_000
 CLASS = ["c1", "c2", "c3"]
 
 
+def _repeated(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The keys of more than one row."""
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select(*keys)
+
+
 class WordIndex:
-    """The words of a target set: ``postings(by..., word, target)``, distinct."""
+    """The words of a target set: ``targets(by..., target, seq)`` and ``postings(by..., word, target)``, distinct.
+
+    Postings are made where they are used, in the plan that uses them; what is stored is the texts, whose
+    words take several times their room.
+    """
 
-    def __init__(self, postings: DataFrame, k: int, by: Sequence[str] = ()):
-        self.postings, self.k, self.by = postings, k, list(by)
+    def __init__(self, targets: DataFrame, k: int, by: Sequence[str] = ()):
+        self.targets, self.k, self.by = targets, k, list(by)
+        self._repeated: DataFrame | None = None
+
+    @property
+    def postings(self) -> DataFrame:
+        return self._postings(self.targets)
+
+    def _postings(self, targets: DataFrame) -> DataFrame:
+        """``explode_outer`` keeps the optimizer from adding a filter that would evaluate the word extraction a second time."""
+        rows = targets.select(*self.by, "target", F.explode_outer(S.kmers("seq", self.k)).alias("word"))
+        return rows.where(F.col("word").isNotNull()).distinct()
+
+    def _parts(self) -> tuple[DataFrame, DataFrame | None]:
+        """The targets of one row, and, if there are any, the rows of targets of several, whose words are merged."""
+        keys = [*self.by, "target"]
+        if self._repeated is None:
+            self._repeated = materialize(_repeated(self.targets, keys), "repeated-targets")
+        if self._repeated.isEmpty():
+            return self.targets, None
+        return (join_on(self.targets, self._repeated, keys, "left_anti"),
+                join_on(self.targets, self._repeated, keys, "left_semi"))
 
     def classes(self) -> tuple[DataFrame, DataFrame]:
         """Words grouped into classes with equal target lists.
@@ -44,62 +75,113 @@ def build_index(targets: DataFrame, id_col: str = "id", seq_col: str = "seq", k:
                 by: Sequence[str] = (), store: bool = False) -> WordIndex:
     """Build once, search many times; ``by`` keeps several target sets apart.
 
-    ``store`` writes the index out, for use by more than one search.
-    ``explode_outer`` keeps the optimizer from adding a filter that would
-    evaluate the word extraction a second time.
+    ``store`` writes the targets out, for use by more than one search.
     """
-    rows = targets.select(*by, F.col(id_col).alias("target"), F.explode_outer(S.kmers(seq_col, k)).alias("word"))
-    rows = rows.where(F.col("word").isNotNull()).distinct()
+    rows = targets.select(*by, F.col(id_col).alias("target"), F.col(seq_col).alias("seq"))
     return WordIndex(materialize(rows, "index") if store else rows, k, by)
 
 
+def _residues(rows: DataFrame, seq_col: str) -> int:
+    return rows.agg(F.sum(F.length(seq_col))).first()[0] or 0
+
+
 def search(queries: DataFrame, index: WordIndex, id_col: str = "id", seq_col: str = "seq",
            few_queries: bool = False) -> DataFrame:
     """``(by..., query, target, shared, fident)`` for every pair sharing a word.
 
-    ``shared`` counts distinct common words, ``fident`` divides it by the
-    query's distinct words. Each query word matches at most one class row; hits
-    are counted per (query, class) before classes open up to targets, so words
-    common to many targets do not multiply rows early. Spark broadcasts the
-    index only while its measured size allows.
+    ``shared`` counts distinct common words, ``fident`` divides it by the query's distinct words.
+    If the targets have at most ``BROADCAST_WORDS`` residues, their words are broadcast and a task looks
+    up the words of its queries; words are never rows then. ``few_queries`` says the queries may be the
+    small side: their residues are counted, and their words travel to the targets.
 
-    ``few_queries`` says the query set may be the small side: its residues are
-    counted, and within ``BROADCAST_WORDS`` the query words travel to the
-    postings instead, which are neither grouped nor moved.
+    Otherwise each query word matches at most one class row; hits are counted per (query, class) before
+    classes open up to targets, so words common to many targets do not multiply rows early.
     """
     by = index.by
-    words = queries.select(*by, F.col(id_col).alias("query"), S.kmers(seq_col, index.k).alias("_w"))
-    # The size is taken before the explode, or each word row would carry the array.
-    sized = words.select(*by, "query", F.size("_w").alias("n_words"), "_w")
-    exploded = sized.select(*by, "query", "n_words", F.explode_outer("_w").alias("word"))
-    keys = [*by, "word"]
-    if few_queries and (queries.agg(F.sum(F.length(seq_col))).first()[0] or 0) <= BROADCAST_WORDS:
-        found = index.postings.join(F.broadcast(exploded), keys)
-        counted = F.count(F.lit(1))
+    if few_queries and _residues(queries, seq_col) <= BROADCAST_WORDS:
+        hits = _search_targets(queries, index, id_col, seq_col)
+    elif _residues(index.targets, "seq") <= BROADCAST_WORDS:
+        hits = _search_queries(queries, index, id_col, seq_col)
     else:
-        class_words, members = index.classes()
-        per_class = (exploded.join(class_words, keys).groupBy(*by, "query", *CLASS)
-                     .agg(F.count(F.lit(1)).alias("n"), F.first("n_words").alias("n_words")))
-        found = per_class.join(members, [*by, *CLASS])
-        counted = F.sum("n").cast("bigint")
-    hits = found.groupBy(*by, "query", "target").agg(counted.alias("shared"), F.max("n_words").alias("n_words"))
+        hits = _search_classes(queries, index, id_col, seq_col)
     return hits.select(*by, "query", "target", "shared", (F.col("shared") / F.col("n_words")).alias("fident"))
 
 
+def _query_words(queries: DataFrame, index: WordIndex, id_col: str, seq_col: str) -> DataFrame:
+    words = queries.select(*index.by, F.col(id_col).alias("query"), S.kmers(seq_col, index.k).alias("_w"))
+    # The size is taken before the explode, or each word row would carry the array.
+    sized = words.select(*index.by, "query", F.size("_w").alias("n_words"), "_w")
+    return sized.select(*index.by, "query", "n_words", F.explode_outer("_w").alias("word"))
+
+
+def _search_targets(queries: DataFrame, index: WordIndex, id_col: str, seq_col: str) -> DataFrame:
+    """Few queries: their words travel to the targets."""
+    keys = [*index.by, "query", "target"]
+
+    def joined(targets: DataFrame) -> DataFrame:
+        words = F.broadcast(_query_words(queries, index, id_col, seq_col))
+        found = index._postings(targets).join(words, [*index.by, "word"])
+        return found.groupBy(*keys).agg(F.count(F.lit(1)).alias("shared"), F.max("n_words").alias("n_words"))
+
+    side = small_side(queries, index.by, id_col, seq_col, index.k)
+    if side is None:
+        return joined(index.targets)
+    once, more = index._parts()
+    hits = shared_words(once, index.by, "target", "seq", side, "query", "target",
+                        queries.schema[id_col].dataType.simpleString(), count_large=False)
+    if side.repeated:
+        hits = _one_per_pair(hits, index.by)
+    return hits if more is None else hits.unionByName(joined(more))
+
+
+def _search_queries(queries: DataFrame, index: WordIndex, id_col: str, seq_col: str) -> DataFrame:
+    """Few targets: their words travel to the queries."""
+    by = index.by
+    words = index._parts()[1]
+    side = None if words is not None else small_side(index.targets, by, "target", "seq", index.k)
+    if side is None:
+        return _search_classes(queries, index, id_col, seq_col)
+    found = shared_words(queries, by, id_col, seq_col, side, "target", "query",
+                         index.targets.schema["target"].dataType.simpleString(), count_large=True)
+    if materialize(_repeated(queries, [*by, id_col]), "repeated-queries").isEmpty():
+        return found
+    return _one_per_pair(found, by)
+
+
+def _one_per_pair(hits: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows of one query id count together."""
+    return hits.groupBy(*by, "query", "target").agg(F.sum("shared").alias("shared"), F.max("n_words").alias("n_words"))
+
+
+def _search_classes(queries: DataFrame, index: WordIndex, id_col: str, seq_col: str) -> DataFrame:
+    """Two large sides: an equi-join of words with classes of words."""
+    by = index.by
+    class_words, members = index.classes()
+    exploded = _query_words(queries, index, id_col, seq_col)
+    per_class = (exploded.join(class_words, [*by, "word"]).groupBy(*by, "query", *CLASS)
+                 .agg(F.count(F.lit(1)).alias("n"), F.max("n_words").alias("n_words")))
+    found = per_class.join(members, [*by, *CLASS])
+    return found.groupBy(*by, "query", "target").agg(F.sum("n").cast("bigint").alias("shared"), F.max("n_words").alias("n_words"))
+
+
 def top_hits(queries: DataFrame, index: WordIndex, n: int, shares: Sequence[float] = (0.8, 0.5, 0.3),
              id_col: str = "id", seq_col: str = "seq") -> DataFrame:
     """``(by..., query, target, shared, fident, pos)``: the ``n`` targets that share most words with each query.
 
     Only targets with at least the last of ``shares`` of the query's distinct words count; ties go by
-    target. The others are never paired: a target that shares ``t`` of a query's ``w`` words holds one
-    of any ``w - t + 1`` of them, so only the postings of that many of its rarest words are looked up,
-    and what they name is counted exactly. The search starts with the highest share, where few and rare
+    target. Queries of at most ``BROADCAST_WORDS`` residues travel to the targets, as in ``search``, and
+    only pairs with that share leave the task. With more queries, the others are never paired: a target
+    that shares ``t`` of a query's ``w`` words holds one of any ``w - t + 1`` of them, so only the postings
+    of that many of its rarest words are looked up, and what they name is counted exactly. It starts with the highest share, where few and rare
     words do; a query that has ``n`` targets at one share is complete and leaves the search.
     """
     by = index.by
     keys = [*by, "query"]
-    words = queries.select(*by, F.col(id_col).alias("query"), S.kmers(seq_col, index.k).alias("_w"))
-    words = words.select(*keys, F.size("_w").alias("n_words"), "_w").select(*keys, "n_words", F.explode_outer("_w").alias("word"))
+    if _residues(queries, seq_col) <= BROADCAST_WORDS:
+        least = F.greatest(F.lit(1), F.ceil(F.col("n_words") * F.lit(shares[-1])))
+        found = _search_targets(queries, index, id_col, seq_col).where(F.col("shared") >= least)
+        return _best_hits(found, n, keys)
+    words = _query_words(queries, index, id_col, seq_col)
     words = materialize(words.where(F.col("word").isNotNull()), "query-words")
     # Only postings of the queries' words are kept; the join reaches below the index's own aggregation.
     postings = materialize(index.postings.join(words.select(*by, "word").distinct(), [*by, "word"], "left_semi"), "postings")
@@ -122,6 +204,10 @@ def top_hits(queries: DataFrame, index: WordIndex, n: int, shares: Sequence[floa
         kept = hits if last else hits.join(full, keys, "left_semi")
         found = kept if found is None else found.unionByName(kept)
         left = left.join(full, keys, "left_anti")
+    return _best_hits(found, n, keys)
+
+
+def _best_hits(found: DataFrame, n: int, keys: list[str]) -> DataFrame:
     order = W.partitionBy(*keys).orderBy(F.col("shared").desc(), "target")
     ranked = found.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= n)
     return ranked.select(*keys, "target", "shared", (F.col("shared") / F.col("n_words")).alias("fident"), "pos")

@@ -88,3 +88,31 @@ def test_top_hits_equal_brute_force(spark, shares, n):
     index = M.build_index(spark.createDataFrame(targets, schema), k=4, store=True)
     got = M.top_hits(spark.createDataFrame(queries, schema), index, n, shares)
     assert {(r["query"], r.target, r.shared, r.pos) for r in got.collect()} == want
+
+
+ODD = ["ACDEACDE", "ACD?ACD", "AC\nDEACD", "\u00e9ACDE", "ACDE\U0001f600ACDE", "", None, "AC", "ACDEFACDEF"]
+
+
+@pytest.mark.parametrize("odd", [False, True])
+def test_paths_agree_on_odd_rows(spark, monkeypatch, odd):
+    """Null, empty and foreign texts, null groups, ids of several rows on both sides: as the join of all words has it."""
+    texts = ODD if odd else [t for t in ODD if t is None or t.isascii() and "?" not in t]
+    rows = [(g, i % 5 if i else None, t) for g in ("a", "b", None) for i, t in enumerate(texts)]
+    t = spark.createDataFrame(rows + [("a", 50, "ACDEACDE"), ("c", 1, "ACDEF")], "g string, id long, seq string")
+    q = spark.createDataFrame(rows[::-1] + [("a", 60, "CDEACD"), ("d", 1, "ACDEF")], "g string, id long, seq string")
+
+    def rows_of(few):
+        return sorted(map(tuple, M.search(q, M.build_index(t, k=K, by=["g"]), few_queries=few).collect()), key=repr)
+
+    few, many = rows_of(True), rows_of(False)
+    assert few and few == many
+    monkeypatch.setattr(M, "BROADCAST_WORDS", -1)
+    assert rows_of(True) == few
+
+
+def test_words_of_the_large_side_are_never_rows(spark, sets):
+    targets, queries = (spark.createDataFrame(list(s.items()), f"id {t}, seq string") for s, t in zip(sets, ("string", "long")))
+    index = M.build_index(targets, k=K, store=True)
+    for few in (True, False):
+        plan = M.search(queries, index, few_queries=few)._jdf.queryExecution().executedPlan().toString()
+        assert "Generate" not in plan and "Exchange" not in plan
