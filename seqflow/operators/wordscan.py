@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from seqflow.functions import sequences as S
 
 SLICE = 1 << 20       # letters looked at together
+GRID = 1 << 24        # cells of a table of words and texts, at most
 CODES = 1 << 62       # words are numbers below this
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -39,16 +40,19 @@ class Lookup:
         at = self._slot(codes)
         self.slots[at] = np.arange(len(codes), dtype=np.int32)
         self.lost = np.flatnonzero(self.slots[at] != np.arange(len(codes))).astype(np.int32)
+        self.shared = np.zeros(len(self.slots), bool)
+        self.shared[at[self.lost]] = True
 
     def _slot(self, codes: np.ndarray) -> np.ndarray:
         return (codes.astype(np.uint64) * MIX) >> self.shift
 
     def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of ``codes`` are listed, as ascending indices, and where."""
-        at = self.slots[self._slot(codes)]
+        slot = self._slot(codes)
+        at = self.slots[slot]
         hit = self.codes[at] == codes
         if len(self.lost):
-            rest = np.flatnonzero(~hit)
+            rest = np.flatnonzero(self.shared[slot] & ~hit)
             lost = self.codes[self.lost]
             near = np.minimum(np.searchsorted(lost, codes[rest]), len(lost) - 1)
             same = lost[near] == codes[rest]
@@ -66,6 +70,21 @@ class SmallSet:
     starts: np.ndarray  # word -> its stretch of ``texts``
     texts: np.ndarray
     n: int              # texts
+    grid: np.ndarray | None = None  # the same as a table, if texts have many words in common
+
+    def count(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The texts that hold any of ``words``, and how many of them."""
+        if self.grid is not None:
+            n = self.grid[words].sum(0, dtype=np.uint32)
+        else:
+            first, many = self.starts[words], self.starts[words + 1] - self.starts[words]
+            total = int(many.sum())
+            texts = self.texts[np.repeat(first - np.cumsum(many) + many, many) + np.arange(total)]
+            if self.n > 8 * total + 1024:
+                return np.unique(texts, return_counts=True)
+            n = np.bincount(texts, minlength=self.n)
+        hit = np.flatnonzero(n)
+        return hit, n[hit]
 
 
 @dataclass
@@ -121,7 +140,11 @@ def small_side(rows: DataFrame, by: Sequence[str], id_col: str, seq_col: str, k:
         starts = np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(listed)))])
         holders = np.repeat(np.arange(hi - lo), n_words[lo:hi])[np.argsort(word, kind="stable")]
         key = keys[lo]
-        side.groups[key] = SmallSet(Lookup(listed), starts, holders, hi - lo)
+        grid = None
+        if len(listed) * (hi - lo) <= min(GRID, 16 * len(holders)):
+            grid = np.zeros((len(listed), hi - lo), np.uint8)
+            grid[np.repeat(np.arange(len(listed)), np.diff(starts)), holders] = 1
+        side.groups[key] = SmallSet(Lookup(listed), starts, holders, hi - lo, grid)
         side.ids[key] = pa.array(ids[lo:hi], table.schema.field("id").type)
         side.n_words[key] = n_words[lo:hi]
         side.repeated |= len(set(ids[lo:hi])) < hi - lo
@@ -207,16 +230,7 @@ def shared_words(large: DataFrame, by: Sequence[str], id_col: str, seq_col: str,
                 words = _found(side, codes, lows[i], highs[i], small, seen[key])
                 if not len(words):
                     continue
-                first, many = small.starts[words], small.starts[words + 1] - small.starts[words]
-                total = int(many.sum())
-                spread = np.repeat(first - np.cumsum(many) + many, many) + np.arange(total)
-                texts = small.texts[spread]
-                if small.n <= 8 * total + 1024:
-                    n = np.bincount(texts, minlength=small.n)
-                    hit = np.flatnonzero(n)
-                    n = n[hit]
-                else:
-                    hit, n = np.unique(texts, return_counts=True)
+                hit, n = small.count(words)
                 at.append(np.full(len(hit), i))
                 ids.append(side.ids[key].take(pa.array(hit)))
                 counts.append(n)

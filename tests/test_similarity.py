@@ -3,11 +3,13 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from seqflow.functions.sequences import ALPHABET
 from seqflow.operators import similarity as M
+from seqflow.operators.wordscan import Lookup, SmallSet
 
 K = 3
 
@@ -116,3 +118,23 @@ def test_words_of_the_large_side_are_never_rows(spark, sets):
     for few in (True, False):
         plan = M.search(queries, index, few_queries=few)._jdf.queryExecution().executedPlan().toString()
         assert "Generate" not in plan and "Exchange" not in plan
+
+
+def test_shared_words_with_and_without_a_table():
+    starts, texts = np.array([0, 2, 3, 5]), np.array([0, 2, 1, 0, 1])
+    grid = np.array([[1, 0, 1], [0, 1, 0], [1, 1, 0]], np.uint8)
+    for g in (None, grid):
+        for n, words in ((3, [0]), (3, [0, 2]), (3, [0, 1, 2])) + (((5000, [0, 2]),) if g is None else ()):
+            hit, count = SmallSet(None, starts, texts, n, g).count(np.array(words))
+            assert dict(zip(hit.tolist(), count.tolist())) == {t: int(k) for t, k in enumerate(grid[words].sum(0)) if k}
+
+
+def test_lookup_finds_codes_that_share_a_slot():
+    rng = np.random.default_rng(3)
+    listed = np.unique(rng.integers(0, 1 << 31, 20_000))
+    asked = np.concatenate([listed, rng.integers(0, 1 << 31, 20_000)])
+    lookup = Lookup(listed)
+    assert len(lookup.lost)
+    found, at = lookup.find(asked)
+    assert found.tolist() == np.flatnonzero(np.isin(asked, listed)).tolist()
+    assert (listed[at] == asked[found]).all()
