@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -10,11 +10,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from seqflow.functions.vectors import cosine_distance, l2_distance
 from seqflow.operators.ordered import join_on
+from seqflow.operators.segments import segment_bounds
 from seqflow.session import materialize
 
 BROADCAST_BYTES = 64 << 20
 BLOCK_ROWS = 4096
 BLOCK_BYTES = 4 << 20
+HELD_BYTES = 32 << 20   # of reference rows that a task compares with
+PART_PAIRS = 1 << 27    # pairs of one part, about
+CELL_COPIES = 16        # parts into which the candidates of a cell are cut, at most
 PIVOTS = 32        # cells of a pruned grid, at most
 SLACK = 1e-9       # relative; bounds are compared with rounding errors in mind
 # Distances are kept to 12 decimals, so equal ones rank as ties no matter in
@@ -46,41 +50,52 @@ def _matrix(vectors: pa.Array) -> np.ndarray:
     return flat.reshape(len(vectors), -1)
 
 
-def _nearest(a: np.ndarray, r: np.ndarray, reduction: str) -> tuple[np.ndarray, np.ndarray]:
-    """Per row of ``a``: reduced cosine and Euclidean distance to the rows of ``r``.
+class _Reference:
+    """Reference rows, measured once for many blocks of candidates."""
 
-    Matrix products find the close pairs; the winning Euclidean distances are
-    then recomputed from differences so that no digits are lost. A pair whose distance is NaN
-    doesn't count for the nearest; the mean and a row that has no other pair become NaN.
-    """
-    cos_out, l2_out = np.empty(len(a)), np.empty(len(a))
-    if reduction == "min":
-        r = r[~np.isnan(r).any(1)]
+    def __init__(self, r: np.ndarray, reduction: str):
+        self.rows, self.reduction = len(r), reduction
+        if reduction == "min" and np.isnan(r).any():
+            r = r[~np.isnan(r).any(1)]
+        self.r, self.norm = r, np.sqrt((r * r).sum(1))
+        self.unit = r / np.where(self.norm == 0, 1.0, self.norm)[:, None]
+
+    def nearest(self, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Per row of ``a``: reduced cosine and Euclidean distance to the rows.
+
+        Matrix products find the close pairs; the winning Euclidean distances are
+        then recomputed from differences so that no digits are lost. A pair whose distance is NaN
+        doesn't count for the nearest; the mean and a row that has no other pair become NaN.
+        """
+        r, nr = self.r, self.norm
         if not len(r):
             return np.full(len(a), np.nan), np.full(len(a), np.nan)
-    nr = np.sqrt((r * r).sum(1))
-    unit_r = r / np.where(nr == 0, 1.0, nr)[:, None]
-    step = max(1, (1 << 22) // max(1, len(r)))
-    for at in range(0, len(a), step):
-        x = a[at:at + step]
-        nx = np.sqrt((x * x).sum(1))
-        cos = 1.0 - (x / np.where(nx == 0, 1.0, nx)[:, None]) @ unit_r.T
-        sq = (nx * nx)[:, None] + (nr * nr)[None, :] - 2.0 * (x @ r.T)
-        if reduction == "mean":
-            cos_out[at:at + step] = cos.mean(1)
-            l2_out[at:at + step] = np.sqrt(np.maximum(sq, 0.0)).mean(1)
-            continue
-        cos_out[at:at + step] = np.fmin.reduce(cos, axis=1)
-        slack = 1e-12 * (nx * nx + (nr * nr).max())
-        best = np.full(len(x), np.nan)
-        close = (sq <= (np.fmin.reduce(sq, axis=1) + slack)[:, None]) | np.isnan(sq)
-        rows, cols = np.nonzero(close & ~np.isnan(x).any(1)[:, None])
-        for lo in range(0, len(rows), 1 << 16):
-            i, j = rows[lo:lo + (1 << 16)], cols[lo:lo + (1 << 16)]
-            diff = x[i] - r[j]
-            np.fmin.at(best, i, np.sqrt((diff * diff).sum(1)))
-        l2_out[at:at + step] = best
-    return cos_out, l2_out
+        cos_out, l2_out = np.empty(len(a)), np.empty(len(a))
+        step = max(1, (1 << 22) // max(1, len(r)))
+        for at in range(0, len(a), step):
+            x = a[at:at + step]
+            nx = np.sqrt((x * x).sum(1))
+            cos = 1.0 - (x / np.where(nx == 0, 1.0, nx)[:, None]) @ self.unit.T
+            sq = (nx * nx)[:, None] + (nr * nr)[None, :] - 2.0 * (x @ r.T)
+            if self.reduction == "mean":
+                cos_out[at:at + step] = cos.mean(1)
+                l2_out[at:at + step] = np.sqrt(np.maximum(sq, 0.0)).mean(1)
+                continue
+            cos_out[at:at + step] = np.fmin.reduce(cos, axis=1)
+            slack = 1e-12 * (nx * nx + (nr * nr).max())
+            best = np.full(len(x), np.nan)
+            close = (sq <= (np.fmin.reduce(sq, axis=1) + slack)[:, None]) | np.isnan(sq)
+            rows, cols = np.nonzero(close & ~np.isnan(x).any(1)[:, None])
+            for lo in range(0, len(rows), 1 << 16):
+                i, j = rows[lo:lo + (1 << 16)], cols[lo:lo + (1 << 16)]
+                diff = x[i] - r[j]
+                np.fmin.at(best, i, np.sqrt((diff * diff).sum(1)))
+            l2_out[at:at + step] = best
+        return cos_out, l2_out
+
+
+def _nearest(a: np.ndarray, r: np.ndarray, reduction: str) -> tuple[np.ndarray, np.ndarray]:
+    return _Reference(r, reduction).nearest(a)
 
 
 def _rows_by_key(keys: pa.Array) -> list[tuple[str, np.ndarray]]:
@@ -127,11 +142,11 @@ def _small_reference(cand: DataFrame, ref: DataFrame, vec_col: str, by: list[str
 
 def _block_grid(cand: DataFrame, ref: DataFrame, vec_col: str, by: list[str], reduction: str,
                 block_rows: int, width: int | None) -> DataFrame:
-    """Both sides are cut into blocks of bounded size; each task reduces one
-    (candidate block, reference block) cell, and cells merge by row number."""
+    """Both sides are cut into parts; each task streams candidates past the reference rows
+    of one part, and parts merge by row number."""
     vec = F.col(vec_col).cast("array<double>").alias("v")
     # Stored, so that a retried task sees the same row numbers. They, not the
-    # vectors or ids, choose the block: copies spread over all blocks.
+    # vectors or ids, choose the part: copies spread over all parts.
     numbered = materialize(cand.withColumn("_row", F.monotonically_increasing_id()), "candidates")
     left = numbered.where(usable(vec_col, width)).select(_key(by).alias("k"), F.col("_row").alias("id"), vec)
     right = materialize(ref.select(_key(by).alias("k"), F.monotonically_increasing_id().alias("rid"), vec), "reference")
@@ -145,36 +160,61 @@ def _block_grid(cand: DataFrame, ref: DataFrame, vec_col: str, by: list[str], re
     return numbered.join(merged, "_row", "left").drop("_row")
 
 
-def _compare(left: DataFrame, right: DataFrame, cell: list[str], reduction: str, block_rows: int) -> DataFrame:
-    """``id, cos, l2, n`` for each ``left(cell..., id, v)`` and each block of ``right(cell..., rid, v)`` of its cell.
+def _dealt(left: DataFrame, right: DataFrame, cell: list[str]) -> DataFrame:
+    """Rows of both sides (``side`` 0: reference) with the part ``cell, cb, rb`` that compares them.
 
-    Large cells are cut into blocks on both sides; a task compares one pair of blocks.
+    A cell whose pairs are many is cut by candidates into at most ``CELL_COPIES`` parts, so that number bounds
+    how often a reference row travels. Only a cell of more than ``HELD_BYTES`` is cut by reference rows too.
     """
-    def blocks(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / block_rows).alias(name))
+    held = F.sum(F.size("v").cast("bigint") * 8)
+    sizes = left.groupBy(*cell).agg(F.count(F.lit(1)).alias("nc")).join(
+        right.groupBy(*cell).agg(F.count(F.lit(1)).alias("nr"), F.greatest(F.lit(1), F.ceil(held / HELD_BYTES)).alias("rbs")), cell)
+    sizes = materialize(sizes.select(*cell, "rbs", F.least(F.lit(CELL_COPIES), F.ceil(
+        F.col("nc") * F.col("nr") / F.col("rbs") / PART_PAIRS)).cast("bigint").alias("cbs")), "cell-sizes")
 
-    sizes = blocks(left, "nc").join(blocks(right, "nr"), cell)
-
-    def place(df: DataFrame, key: Column, own: str, other: str, own_n: str, other_n: str) -> DataFrame:
+    def place(df: DataFrame, key: str, own: str, other: str, side: int) -> DataFrame:
         return (df.join(sizes, cell)
-                .withColumn(own, F.pmod(F.xxhash64(key), F.col(own_n)))
-                .withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(other_n) - 1)))
-                .drop("nc", "nr"))
-
-    cells_l = place(left, F.col("id"), "cb", "rb", "nc", "nr")
-    cells_r = place(right, F.col("rid"), "rb", "cb", "nr", "nc").drop("rid")
-
-    def compare(a: pa.Table, r: pa.Table) -> pa.Table:
-        if not len(a) or not len(r):
-            none = pa.array([], pa.float64())
-            return pa.table({"id": a["id"].slice(0, 0), "cos": none, "l2": none, "n": pa.array([], pa.int64())})
-        cos, l2 = _nearest(_matrix(a["v"]), _matrix(r["v"]), reduction)
-        return pa.table({"id": a["id"], "cos": pa.array(cos), "l2": pa.array(l2),
-                         "n": pa.array(np.full(len(a), len(r), dtype=np.int64))})
-
-    grid = [*cell, "cb", "rb"]
-    return cells_l.groupBy(*grid).cogroup(cells_r.groupBy(*grid)).applyInArrow(
-        compare, "id bigint, cos double, l2 double, n bigint")
+                .withColumn(own, F.pmod(F.xxhash64(key), F.col(f"{own}s")))
+                .withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"{other}s") - 1)))
+                .select(*cell, "cb", "rb", F.lit(side).alias("side"), F.col(key).alias("id"), "v"))
+
+    return place(left, "id", "cb", "rb", 1).unionByName(place(right, "rid", "rb", "cb", 0))
+
+
+def _compare(left: DataFrame, right: DataFrame, cell: list[str], reduction: str, block_rows: int) -> DataFrame:
+    """``id, cos, l2, n`` for each ``left(cell..., id, v)`` and each part of ``right(cell..., rid, v)`` of its cell.
+
+    A task holds the reference rows of one part, which come first, and streams the candidates past them in
+    blocks of ``block_rows``: a row travels once for each part, however many blocks there are.
+    """
+    part = [*cell, "cb", "rb"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, rows, known = None, [], None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b])
+            bounds = segment_bounds(t, [*part, "side"])
+            for a, e in zip(bounds, bounds[1:]):
+                if (name := tuple(t[c][a].as_py() for c in part)) != here:
+                    here, rows, known = name, [], None
+                x = _matrix(t["v"].slice(a, e - a))
+                if t["side"][a].as_py() == 0:
+                    rows.append(x)
+                    continue
+                if rows:
+                    known, rows = _Reference(np.concatenate(rows), reduction), []
+                if known is None:  # no reference rows here
+                    continue
+                done = [known.nearest(x[at:at + block_rows]) for at in range(0, len(x), block_rows)]
+                cos, l2 = (np.concatenate(d) for d in zip(*done))
+                yield pa.RecordBatch.from_arrays(
+                    [t["id"].slice(a, e - a).combine_chunks(), pa.array(cos), pa.array(l2),
+                     pa.array(np.full(e - a, known.rows, np.int64))], ["id", "cos", "l2", "n"])
+
+    dealt = _dealt(left, right, cell).repartition(*part).sortWithinPartitions(*part, "side")
+    return dealt.mapInArrow(run, "id bigint, cos double, l2 double, n bigint")
 
 
 def _unit(x: np.ndarray) -> np.ndarray:

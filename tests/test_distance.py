@@ -152,3 +152,29 @@ def test_matrix_of_a_large_reference(spark, data):
     pairs = [sorted(map(str, pair_distances(cand, ref.withColumnRenamed("id", "rid"), "rid", **o).drop("embedding").collect()))
              for o in ({}, {"max_broadcast_bytes": 700})]
     assert pairs[0] == pairs[1] and len(pairs[0]) == 120 * 30
+
+
+def test_rows_travel_once_for_each_part_not_for_each_block(spark):
+    rng = np.random.default_rng(5)
+    for n in (200, 800):  # far above any block of rows
+        left, right = (frame(spark, rng.normal(size=(n, 4)), 2).select(F.col("g").alias("k"), F.col("id").alias(i), F.col("embedding").alias("v"))
+                       for i in ("id", "rid"))
+        assert D._dealt(left, right, ["k"]).count() == 2 * n
+        assert D._compare(left, right, ["k"], "min", 8).count() == n
+
+
+@pytest.mark.parametrize("reduction", ["min", "mean"])
+def test_cells_of_many_parts(spark, data, reduction, monkeypatch):
+    cand, ref = data
+    for name, value in (("HELD_BYTES", 300), ("PART_PAIRS", 40), ("CELL_COPIES", 3)):
+        monkeypatch.setattr(D, name, value)
+    left, right = (frame(spark, m, 1).select(F.col("g").alias("k"), F.col("id").alias(i), F.col("embedding").alias("v"))
+                   for m, i in ((cand, "id"), (ref, "rid")))
+    dealt = D._dealt(left, right, ["k"])
+    assert dealt.select("cb", "rb").distinct().count() == 3 * 5  # 30 rows of 48 bytes in parts of 300
+    assert dealt.where("side = 0").count() == 3 * len(ref) and dealt.where("side = 1").count() == 5 * len(cand)
+    got = nearest_distances(frame(spark, cand, 1), frame(spark, ref, 1), reduction=reduction, max_broadcast_bytes=0, block_rows=7).collect()
+    want = brute(cand, ref, 1, np.min if reduction == "min" else np.mean)
+    assert len(got) == len(cand)
+    for r in got:
+        assert (r.min_cos, r.min_l2) == pytest.approx(want[r.id], abs=1e-9)
