@@ -2,7 +2,7 @@
 
 Rows of a lane are packed first come, first served: a row that would lift the
 open batch above the budget opens the next one. That is sequential by nature,
-so rows are dealt by (lane, order) to parts of consecutive rows and three steps are run:
+so rows are dealt by (lane, order) to parts of consecutive rows, many to a task where parts are small, and three steps are run:
 
 1. per part, as a stream: for every possible fill level of the batch that is open
    when a lane enters the part, the fill level at its end and the number of batches
@@ -31,7 +31,9 @@ from seqflow.operators.segments import segment_bounds
 from seqflow.session import materialize
 
 PART_ROWS = 1_000_000  # rows in a part, about; a part is streamed
+TASK_ROWS = 50_000     # rows that one task cuts into parts, if these are smaller
 FAN = 64               # functions that one task of the scan composes
+_NAMES = ("froms", "exits", "opened")
 _F = "froms array<bigint>, exits array<bigint>, opened array<bigint>"
 
 Steps = tuple[list[int], list[int], list[int]]
@@ -152,13 +154,18 @@ def pack_with_state(rows: DataFrame, order: str, size: str, budget: int, by: Seq
                          F.col(size).cast("bigint").alias(size))
     # Stored: ids and lengths only, so that the text is read once however many passes follow.
     narrow = materialize(narrow, "lengths").where(F.col(size) <= budget)
-    parts = max(1, -(-narrow.count() // chunk_rows))
-    if max_chunks is not None:
-        parts = min(parts, max_chunks)
-    dealt = narrow.repartitionByRange(parts, "_lane", order).withColumn("_part", F.spark_partition_id())
+    count, cut = narrow.count(), chunk_rows
+    tasks = max(1, -(-count // max(chunk_rows, TASK_ROWS)))
+    if max_chunks is not None and count > max_chunks * chunk_rows:
+        tasks, cut = max_chunks, None
+    dealt = narrow.repartitionByRange(tasks, "_lane", order).withColumn("_task", F.spark_partition_id())
     dealt = dealt.sortWithinPartitions("_lane", order)
-    tagged = materialize(dealt.mapInArrow(
-        _summarize(by, size, budget), f"_lane string, {lanes}`{order}` bigint, `{size}` bigint, _part int, {_F}"), "parts")
+    tagged = materialize(dealt.mapInArrow(_summarize(size, budget, cut), f"_lane string, {lanes}`{order}` bigint, "
+                                          f"`{size}` bigint, _task int, _nth int, {_F}"), "parts")
+    # Parts are numbered in order; a task with fewer than the most leaves numbers out.
+    most = (tagged.where("froms IS NOT NULL").agg(F.max("_nth")).first()[0] or 0) + 1
+    parts = tasks * most
+    tagged = tagged.withColumn("_part", F.expr(f"_task * {most} + _nth")).drop("_task", "_nth")
     functions = tagged.where("froms IS NOT NULL").select("_lane", *by, F.col("_part").alias("node"), "froms", "exits", "opened")
     if carry is None:
         starts = rows.sparkSession.createDataFrame([], "_lane string, used bigint, no bigint")
@@ -173,38 +180,46 @@ def pack_with_state(rows: DataFrame, order: str, size: str, budget: int, by: Seq
     return packed, state
 
 
-def _summarize(by: list[str], size: str, budget: int):
-    """Rows go through unchanged; behind them one row with the step function of each lane in the part."""
+def _summarize(size: str, budget: int, part_rows: int | None):
+    """Rows, cut into parts of ``part_rows`` (if given) that count from ``_nth`` 0; behind a part's rows of a lane one row with their step function."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[str, pa.Table, Steps] | None = None
-
-        def close() -> Iterator[pa.RecordBatch]:
-            if held is not None:
-                out = held[1]
-                for name, v in zip(("froms", "exits", "opened"), held[2]):
-                    out = out.append_column(name, pa.array([v], pa.list_(pa.int64())))
-                yield from out.combine_chunks().to_batches()
-
+        held: tuple[tuple[str, int], pa.Table, Steps] | None = None
+        seen = 0
         for b in batches:
             if not b.num_rows:
                 continue
             t = pa.Table.from_batches([b])
+            nth = np.zeros(len(t), np.int32) if part_rows is None else ((seen + np.arange(len(t))) // part_rows).astype(np.int32)
+            seen += len(t)
+            t = t.append_column("_nth", pa.array(nth))
             sizes = t[size].to_numpy()
-            for name in ("froms", "exits", "opened"):
+            closed = []
+            bounds = segment_bounds(t, ["_lane", "_nth"])
+            for a, e in zip(bounds, bounds[1:]):
+                here, f = (t["_lane"][a].as_py(), int(nth[a])), transfer_steps(sizes[a:e], budget)
+                if held is not None and held[0] == here:
+                    held = (here, held[1], compose_steps(held[2], f, budget))
+                    continue
+                if held is not None:
+                    closed.append(held[1:])
+                held = (here, t.slice(a, 1), f)
+            for name in _NAMES:
                 t = t.append_column(name, pa.nulls(len(t), pa.list_(pa.int64())))
             yield from t.to_batches()
-            bounds = segment_bounds(t, ["_lane"])
-            for a, e in zip(bounds, bounds[1:]):
-                lane, f = t["_lane"][a].as_py(), transfer_steps(sizes[a:e], budget)
-                if held is not None and held[0] == lane:
-                    held = (lane, held[1], compose_steps(held[2], f, budget))
-                else:
-                    yield from close()
-                    held = (lane, t.slice(a, 1).drop_columns(["froms", "exits", "opened"]), f)
-        yield from close()
+            yield from _function_rows(closed)
+        if held is not None:
+            yield from _function_rows([held[1:]])
     return run
 
 
+def _function_rows(closed: list[tuple[pa.Table, Steps]]) -> Iterator[pa.RecordBatch]:
+    if closed:
+        out = pa.concat_tables([t for t, _ in closed])
+        for k, name in enumerate(_NAMES):
+            out = out.append_column(name, pa.array([f[k] for _, f in closed], pa.list_(pa.int64())))
+        yield from out.combine_chunks().to_batches()
+
+
 def _scan(functions: DataFrame, starts: DataFrame, parts: int, budget: int, fan: int) -> tuple[DataFrame, DataFrame]:
     """``(_lane, node, used, no)`` at the entry of every part, and ``(_lane, used, no)`` behind the last one."""
     levels = [functions.select("_lane", "node", "froms", "exits", "opened")]

@@ -101,3 +101,17 @@ def test_many_parts_in_a_deep_tree(spark):
     want, end = greedy(rows, 100, {"hot": (97, 5)})
     assert {(r.lane, r.id): r.batch_no for r in packed.collect()} == want
     assert {r.lane: (r.used, r.batch_no) for r in state.collect()} == end
+
+
+@pytest.mark.parametrize("task_rows,most", [(50_000, 1), (150, 5)])
+def test_small_parts_share_tasks(spark, monkeypatch, task_rows, most):
+    from seqflow.operators import packing as P
+    stored, keep = {}, P.materialize
+    monkeypatch.setattr(P, "materialize", lambda df, name: stored.setdefault(name, df) and keep(df, name))
+    monkeypatch.setattr(P, "TASK_ROWS", task_rows, raising=False)
+    rng = random.Random(3)
+    rows = [("hot" if rng.random() < 0.8 else f"l{rng.randrange(3)}", i, rng.choice([0, 3, 40, 99, 100])) for i in range(700)]
+    df = spark.createDataFrame(rows, "lane string, id long, n long")
+    got = pack(df, "id", "n", 100, ["lane"], chunk_rows=10, fan=3)
+    assert {(r.lane, r.id): r.batch_no for r in got.collect()} == greedy(rows, 100)[0]
+    assert stored["parts"].rdd.getNumPartitions() <= most  # 70 parts
