@@ -31,13 +31,16 @@ def embedding_job(seqs: DataFrame, budget: int, by: Sequence[str], order: str, s
 def token_job(seqs: DataFrame, budget: int, by: Sequence[str], order: str, seq_col: str = "seq",
               make_predict_fn: Callable = letter_model, path: str | None = None, max_tokens: int = S.MAX_TOKENS,
               part_bytes: int | None = None, **packing) -> DataFrame:
-    """As ``embedding_job``, but a vector for every token: the stored ``(lane, batch_no, seq_idx, part)`` rows."""
+    """As ``embedding_job``, but a vector for every token: the stored ``(lane, batch_no, seq_idx, part)`` rows.
+
+    Only what the model sees of a sequence travels to its batch, and vectors are written as they come.
+    """
     by = list(by)
     plan = _plan(seqs, budget, by, order, seq_col, packing)
-    rows = seqs.select(order, seq_col).join(plan.select(*by, order, "batch_no"), order)
+    rows = seqs.select(order, truncate(seq_col, max_tokens).alias(seq_col)).join(plan.select(*by, order, "batch_no"), order)
     parts = {} if part_bytes is None else {"part_bytes": part_bytes}
     tokens = embed_tokens(rows, by, order, seq_col, make_predict_fn, max_tokens, **parts)
-    return read_embeddings(seqs.sparkSession, write_embeddings(tokens, path))
+    return read_embeddings(seqs.sparkSession, write_embeddings(tokens, path, folders=False))
 
 
 def rejected_rows(seqs: DataFrame, budget: int, keys: Sequence[str], seq_col: str = "seq") -> DataFrame:

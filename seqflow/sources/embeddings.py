@@ -26,13 +26,17 @@ def read_embedding_csv(spark: SparkSession, path: str) -> DataFrame:
                       F.array(*[F.col(f"`{d}`").cast("double") for d in dims]).alias("embedding"))
 
 
-def write_embeddings(rows: DataFrame, path: str | None = None, mode: str = "overwrite") -> str:
+def write_embeddings(rows: DataFrame, path: str | None = None, mode: str = "overwrite", folders: bool = True) -> str:
     """Per-sequence vectors keyed ``(lane, batch_no, seq_idx)``.
 
     Folders hold a thousand batches each, so the number of files follows the
-    data.
+    data. Writing to folders sorts the rows by folder; without ``folders`` each task writes its rows
+    as they come, for rows much larger than what they were made from.
     """
     path = path or scratch_path(rows.sparkSession, "embeddings")
+    if not folders:
+        rows.write.mode(mode).parquet(path)
+        return path
     (rows.withColumn("batch_group", F.floor(F.col("batch_no") / BATCHES_PER_GROUP))
      .write.mode(mode).partitionBy("batch_group").parquet(path))
     return path

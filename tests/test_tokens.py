@@ -57,3 +57,9 @@ def test_rejected_rows_have_a_reason(spark, seqs):
     assert composition_model()(np.array(["AC"], dtype=object)).shape == (1, 20)
     assert embed_tokens(more.limit(0).withColumn("batch_no", F.lit(0)), ["lane"], "id").count() == 0
     assert S.MAX_TOKENS == 1024
+
+
+def test_token_vectors_are_written_as_they_come(spark, seqs):
+    """Folders would sort all vectors by folder ahead of the write."""
+    stored = token_job(seqs, 100, ["lane"], "id", max_tokens=40)
+    assert stored.count() and not any("batch_group=" in f for f in stored.inputFiles())
