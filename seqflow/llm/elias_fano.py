@@ -8,6 +8,9 @@ import numpy as np
 import zstandard
 
 
+PACK_ROWS = 1 << 13  # numbers packed at once, a multiple of 8
+
+
 def squeeze(*columns: np.ndarray) -> bytes:
     """Columns of non-negative numbers: bytes of equal weight together, as many as the largest needs, compressed."""
     parts = []
@@ -39,8 +42,11 @@ def pack(values: np.ndarray, width: int) -> bytes:
     """The low ``width`` bits of each number, one after another."""
     if not width or not len(values):
         return b""
-    bits = (values.astype(np.uint64)[:, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)
-    return np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes()
+    out, shifts = [], np.arange(width, dtype=np.uint64)
+    for at in range(0, len(values), PACK_ROWS):  # blocks end on whole bytes
+        bits = (values[at:at + PACK_ROWS].astype(np.uint64)[:, None] >> shifts) & np.uint64(1)
+        out.append(np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes())
+    return b"".join(out)
 
 
 def unpack(data: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:

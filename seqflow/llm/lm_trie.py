@@ -34,6 +34,7 @@ from seqflow.llm.texts import Memo, map_texts, offsets, plain_words, utf8
 
 DISCOUNT = 0.75
 SHARD_BYTES = 12 << 20
+MERGE_PAIRS = 1 << 18  # that are added up at once, at least
 LEVELS = 256  # of quantised log probabilities
 #: The end of a text, which is also the context of its first word. No word hashes from an empty string.
 END = np.uint64(xxhash.xxh3_64_intdigest(b""))
@@ -113,13 +114,29 @@ def _pair_blob(first: np.ndarray, second: np.ndarray, n: np.ndarray) -> bytes:
     return squeeze(gaps(first[order]), second[order], n[order])
 
 
+def _joined(blobs: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs of all blobs, added up whenever as many have come as are held: copies don't stay."""
+    held = [np.empty(0, np.uint64)] * 3
+    come: list[tuple[np.ndarray, ...]] = []
+    for blob in blobs:
+        first, second, n = unsqueeze(blob.as_buffer())
+        come.append((np.cumsum(first, dtype=np.uint64), second, n))
+        if sum(len(p[0]) for p in come) > max(len(held[0]), MERGE_PAIRS):
+            held, come = list(_together(held, come)), []
+    return _together(held, come) if come else tuple(held)
+
+
+def _together(held: list[np.ndarray], come: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    columns = [np.concatenate(c) for c in zip(held, *come)]
+    come.clear()
+    return _add_up(*columns)[1:]
+
+
 def _merge(table: pa.Table) -> pa.Table:
     """All rows of a shard as one: distinct pairs in order of context."""
-    parts = [unsqueeze(x) for x in table.column("blob").to_pylist()]
-    first = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
-    second, n = (np.concatenate([p[k] for p in parts]) for k in (1, 2))
+    first, second, n = _joined(table.column("blob"))
     return pa.table({"shard": table.column("shard")[:1],
-                     "blob": pa.array([_pair_blob(*_add_up(first, second, n)[1:])], pa.binary())})
+                     "blob": pa.array([_pair_blob(first, second, n)], pa.binary())})
 
 
 def _read_pairs(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

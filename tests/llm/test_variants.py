@@ -247,3 +247,37 @@ def test_spelling_on_edges(edge, none):
     assert {tuple(r) for r in spelling.spelling_groups(edge, occurrences=3).collect()} == {("epsilon", None, "epsilon", 3, 0, None)}
     with pytest.raises(ValueError):
         spelling.spelling_groups(none, letters=5)
+
+
+def test_packing_numbers_needs_little_memory():
+    import tracemalloc
+    from seqflow.llm.elias_fano import pack, unpack
+    values = np.random.default_rng(1).integers(0, 1 << 40, 100_001).astype(np.uint64)
+    tracemalloc.start()
+    data = pack(values, 40)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 << 20  # a number took 40 words of eight bytes
+    spare = np.append(np.frombuffer(data, np.uint8), np.zeros(9, np.uint8))
+    assert (unpack(spare, np.arange(len(values)), 40) == values).all()
+
+
+def test_pairs_are_added_up_as_they_come(monkeypatch):
+    import pyarrow as pa
+    from seqflow.llm import lm_trie as L
+    rng = np.random.default_rng(2)
+    blobs, want = [], {}
+    for _ in range(9):
+        first, second = (rng.integers(1, 30, 200).astype(np.uint64) for _ in range(2))
+        _, a, b, n = L._add_up(first, second)
+        for pair in zip(first.tolist(), second.tolist()):
+            want[pair] = want.get(pair, 0) + 1
+        blobs.append(L._pair_blob(a, b, n))
+    rows = []
+    add_up = L._add_up
+    monkeypatch.setattr(L, "_add_up", lambda *c: rows.append(len(c[0])) or add_up(*c))
+    monkeypatch.setattr(L, "MERGE_PAIRS", 300, raising=False)
+    out = L._merge(pa.table({"shard": pa.array([3] * 9, pa.int32()), "blob": pa.array(blobs, pa.binary())}))
+    first, second, n = L._read_pairs(out.column("blob")[0].as_py())
+    assert dict(zip(zip(first.tolist(), second.tolist()), n.tolist())) == want
+    assert max(rows) < 9 * 150  # not all at once
