@@ -79,7 +79,7 @@ def stream_first_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = first_completions(stream, "request_id", "ts", "kind", "3650 days")
     with rocksdb(spark):
         for wave in [ev.where(F.col("wave") == w).select(*columns) for w in range(WAVES)] + [last]:
-            wave.coalesce(1).write.mode("append").parquet(inbox)
+            wave.write.mode("append").parquet(inbox)
             rows = drain_append(first, checkpoint, out)
     return rows.where("request_id <> -1000").select("request_id", plain("first_at"), "kind")
 

@@ -12,7 +12,8 @@ from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Row, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from seqflow.operators.packing import _chain_starts, first_overflow
@@ -21,6 +22,8 @@ from seqflow.streaming.drain import drain_append
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+BUCKETS = 1024  # of keys that are held together
+
 
 @contextmanager
 def rocksdb(spark: SparkSession):
@@ -33,66 +36,113 @@ def rocksdb(spark: SparkSession):
         spark.conf.set(_PROVIDER, before)
 
 
-def _milli(micros: int) -> int:
-    """The first millisecond that is not ahead of ``micros``; watermarks count milliseconds."""
+def _milli(micros):
+    """The first millisecond that is not ahead of ``micros``, a number or a column; watermarks count milliseconds."""
     return -(-micros // 1000)
 
 
+_ORDER = ["us", "has", "value"]
+
+
+def _earliest(rows: pd.DataFrame) -> pd.DataFrame:
+    """Each key's smallest (time, value), null first; a key that was passed on stays as it was."""
+    ranked = rows.sort_values(["sent", *_ORDER], ascending=[False, True, True, True], kind="stable")
+    return ranked.drop_duplicates(["known", "key"])
+
+
 class _Earliest(StatefulProcessor):
-    """Hold the smallest (time, value) of a key and pass it on once nothing earlier can come."""
+    """Hold the smallest (time, value) of every key of a bucket and pass it on once nothing earlier can come.
+
+    A bucket's keys are one value of the state store with one timer, at the first time that any of them is
+    due, so a micro-batch costs a few calls for each bucket, however many keys there are.
+    """
 
     def __init__(self, remember_us: int):
         self.remember_us = remember_us
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.held = handle.getValueState("held", "us bigint, value string, sent boolean")
+        self.held = handle.getValueState("held", "rows binary, due bigint")
+
+    def _due(self, rows: pd.DataFrame) -> pd.Series:
+        """The first millisecond at which a key is to be passed on, or to be forgotten."""
+        return _milli(rows["us"] + rows["sent"] * self.remember_us)
+
+    def _store(self, rows: pd.DataFrame, timer: int | None) -> None:
+        """Keep ``rows``; ``timer`` is the one that is set."""
+        due = int(self._due(rows).min()) if len(rows) else None
+        if timer != due:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if due is not None:
+                self.handle.registerTimer(due)
+        if due is None:
+            self.held.clear()
+            return
+        table = pa.Table.from_pandas(rows, preserve_index=False)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as out:
+            out.write_table(table)
+        self.held.update((sink.getvalue().to_pybytes(), due))
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        best = min((r["us"], r["value"] is not None, r["value"] or "") for r in rows)
+    def _read(self) -> tuple[pd.DataFrame | None, int | None]:
         held = self.held.get()
-        if held is not None and held[2]:
-            forget = _milli(held[0] + self.remember_us)
-            if timerValues.getCurrentWatermarkInMs() < forget:
-                return
-            self.handle.deleteTimer(forget)  # due, but rows come ahead of timers
-            held = None
-        if held is not None:
-            if (held[0], held[1] is not None, held[1] or "") <= best:
-                return
-            self.handle.deleteTimer(_milli(held[0]))
-        self.held.update((best[0], best[2] if best[1] else None, False))
-        self.handle.registerTimer(_milli(best[0]))
+        if held is None:
+            return None, None
+        return pa.ipc.open_stream(bytes(held[0])).read_pandas(), held[1]
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held, timer = self._read()
+        best, came, n = [], [], 0
+        if held is not None:  # what is to be forgotten goes first, as rows come ahead of timers
+            best.append(held[~held["sent"] | (self._due(held) > timerValues.getCurrentWatermarkInMs())])
+        for part in rows:
+            came.append(part[["known", "key", *_ORDER]].assign(sent=False))
+            n += len(part)
+            if n > 2 * sum(map(len, best)):  # a key with many rows doesn't gather them
+                best, came, n = [_earliest(pd.concat([*best, *came]))], [], 0
+        self._store(_earliest(pd.concat([*best, *came])), timer)
         yield from ()
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        us, value, sent = self.held.get()
-        if sent:
-            self.held.clear()
-            return
-        self.held.update((us, value, True))
-        self.handle.registerTimer(_milli(us + self.remember_us))
-        yield Row(key=key[0], us=us, value=value)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held, _ = self._read()
+        now = timerValues.getCurrentWatermarkInMs()
+        ready = ~held["sent"] & (self._due(held) <= now)
+        out = held[ready].drop(columns="sent")
+        held["sent"] |= ready
+        self._store(held[self._due(held) > now], None)  # the timer that has gone off is gone
+        if len(out):
+            yield out
 
     def close(self) -> None:
         pass
 
 
 def first_completions(events: DataFrame, key: str, ts: str, value: str, delay: str, remember_seconds: int = 86_400,
-                      ts_name: str = "first_at") -> DataFrame:
+                      ts_name: str = "first_at", buckets: int = BUCKETS) -> DataFrame:
     """A stream of ``key, first_at, value``: each key's earliest row by time, whatever the order of arrival.
 
     A key is reported when the watermark reaches its smallest time, since no earlier row is accepted
     from then on. Its later rows are swallowed for ``remember_seconds`` more; then the state is dropped
     and the key may start again. Of equal times the smallest value counts, null first. Rows without a
     time are left out; a null key is a key like any other. ``key`` is a bigint or a string.
+
+    State is kept by ``buckets`` of keys, each of which must fit a task. Their number belongs to the
+    checkpoint and stays as it was at the first run.
     """
     kind = dict(events.dtypes)[key]
+    zero = F.lit("" if kind == "string" else 0).cast(kind)
+    text = F.col(value).cast("string")
+    # Nulls travel as flags: pandas would make a column of numbers with nulls one of doubles.
     rows = events.where(F.col(ts).isNotNull()).withWatermark(ts, delay).select(
-        F.col(key).alias("key"), F.col(ts), F.unix_micros(ts).alias("us"), F.col(value).cast("string").alias("value"))
-    first = rows.groupBy("key").transformWithState(
-        _Earliest(remember_seconds * 1_000_000), f"key {kind}, us bigint, value string", "Append", "EventTime")
-    return first.select(F.col("key").alias(key), F.timestamp_micros("us").alias(ts_name), F.col("value").alias(value))
+        F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket"), F.col(ts).alias("at"),
+        F.col(key).isNotNull().alias("known"), F.coalesce(F.col(key), zero).alias("key"), F.unix_micros(ts).alias("us"),
+        text.isNotNull().alias("has"), F.coalesce(text, F.lit("")).alias("value"))
+    first = rows.groupBy("bucket").transformWithStateInPandas(
+        _Earliest(remember_seconds * 1_000_000), f"known boolean, key {kind}, us bigint, has boolean, value string",
+        "Append", "EventTime")
+    return first.select(F.when(F.col("known"), F.col("key")).alias(key), F.timestamp_micros("us").alias(ts_name),
+                        F.when(F.col("has"), F.col("value")).alias(value))
 
 
 class _OpenBatch(StatefulProcessor):

@@ -42,6 +42,31 @@ def test_earliest_row_whatever_the_order(spark):
     assert seen[4] - seen[2] >= {("a", at(41), "again"), ("d", at(41), "d")}
 
 
+def test_keys_share_state_and_calls(spark):
+    rng = random.Random(5)
+    inbox, checkpoint, out = (scratch_path(spark, n) for n in ("in", "ck", "out"))
+    schema = "id long, ts timestamp, kind string"
+    rows = [(rng.choice([None, rng.randrange(8000) + (1 << 60)]) if i % 50 == 0 else i % 8000 + (1 << 60),
+             DAY + timedelta(seconds=rng.randrange(3600)), rng.choice(["a", "b", None])) for i in range(24_000)]
+    waves = [rows[:12_000], rows[12_000:], [(-1, DAY + timedelta(days=9), "end")]]
+    feed(spark, inbox, [], schema)
+    state = 0
+    with rocksdb(spark):
+        for w in waves:
+            feed(spark, inbox, w, schema)
+            first = first_completions(file_stream(spark, inbox, schema), "id", "ts", "kind", "6 hours")
+            query = (first.writeStream.format("parquet").option("checkpointLocation", checkpoint)
+                     .trigger(availableNow=True).start(out))
+            query.awaitTermination()
+            state = max([state, *(op.numRowsTotal for p in query.recentProgress for op in p.stateOperators)])
+    want = {}
+    for k, t, v in rows:
+        want[k] = min(want.get(k, (t, v is not None, v or "")), (t, v is not None, v or ""))
+    got = [(r.id, (r.first_at, r.kind is not None, r.kind or "")) for r in spark.read.parquet(out).collect()]
+    assert dict(got) == want and len(got) == len(want)
+    assert state <= 3 * 1024  # a value, a timer and the timer's order for a bucket; before, for each of 8000 keys
+
+
 def test_batches_resume_from_the_checkpoint(spark):
     rng = random.Random(3)
     schema = "lane string, id long, n long"
