@@ -76,8 +76,7 @@ SELECT lang AS target, min(shared) AS min, max(shared) AS max, round(avg(shared)
 FROM hits JOIN documents ON doc_id = query GROUP BY lang""")
 def structure_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query"), F.col("lang"))
-    hits = search_hits(spark, sf_dir).select("query", "shared").join(docs, "query")
-    s = M.score_stats(hits, "shared", ["lang"]).withColumnRenamed("lang", "target")
+    s = M.score_stats(search_hits(spark, sf_dir), "shared", ["lang"], docs).withColumnRenamed("lang", "target")
     return s.withColumn("mean", r6("mean"))
 
 

@@ -234,10 +234,19 @@ def best_average_scores(hits: DataFrame, seqs: DataFrame, score: str, id_col: st
             .orderBy(F.col("avg_score").desc(), id_col))
 
 
-def score_stats(hits: DataFrame, score: str, by: Sequence[str] = ()) -> DataFrame:
-    """min / max / mean hit score of a round."""
-    return hits.groupBy(*by).agg(F.min(score).alias("min"), F.max(score).alias("max"),
-                                 F.avg(score).alias("mean"))
+def score_stats(hits: DataFrame, score: str, by: Sequence[str] = (), owners: DataFrame | None = None) -> DataFrame:
+    """min / max / mean hit score of a round.
+
+    ``owners`` gives queries (``query``, once or more) the ``by`` columns that the hits lack. The hits of
+    a query become one row ahead of that join, which would sort every hit otherwise.
+    """
+    if owners is None:
+        return hits.groupBy(*by).agg(F.min(score).alias("min"), F.max(score).alias("max"),
+                                     F.avg(score).alias("mean"))
+    each = hits.groupBy("query").agg(F.min(score).alias("_min"), F.max(score).alias("_max"), F.sum(score).alias("_sum"),
+                                     F.count(score).alias("_n"))
+    return each.join(owners.select("query", *by), "query").groupBy(*by).agg(
+        F.min("_min").alias("min"), F.max("_max").alias("max"), (F.sum("_sum") / F.nullif(F.sum("_n"), F.lit(0))).alias("mean"))
 
 
 def keep_listed(records: DataFrame, ids: DataFrame, id_col: str = "id", by: Sequence[str] = ()) -> DataFrame:

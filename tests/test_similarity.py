@@ -63,6 +63,22 @@ def test_scores(spark):
     assert M.keep_listed(cand, cand.where("id > 'q1'")).count() == 2
 
 
+def test_scores_of_owners_are_summed_ahead_of_the_join(spark):
+    rng = random.Random(8)
+    hits = [(q, f"t{t}", rng.choice([None, rng.randrange(50)])) for q in range(30) for t in range(rng.randrange(1, 9))]
+    owners = [(q, lang) for q in range(3, 35) for lang in (["x", "y"] if q % 9 == 0 else ["xyz"[q % 3]])] + [(40, None)]
+    df = spark.createDataFrame(hits, "query long, target string, shared long")
+    got = M.score_stats(df, "shared", ["lang"], spark.createDataFrame(owners, "query long, lang string"))
+    want = {}
+    for q, lang in owners:
+        for score in (s for h, _, s in hits if h == q and s is not None):
+            want.setdefault(lang, []).append(score)
+    assert {r.lang: (r["min"], r["max"], r["mean"]) for r in got.collect()} == {
+        k: (min(v), max(v), sum(v) / len(v)) for k, v in want.items()}
+    blank = M.score_stats(df.where("shared IS NULL"), "shared", ["lang"], spark.createDataFrame(owners, "query long, lang string"))
+    assert all((r["min"], r["max"], r["mean"]) == (None, None, None) for r in blank.collect())
+
+
 def test_round_records(spark):
     seqs = spark.createDataFrame([("a", "ACDE"), ("b", "ACFEGG")], "id string, seq string")
     dist = spark.createDataFrame([("a", 0.1, 0.2)], "id string, min_cos double, min_l2 double")
