@@ -262,9 +262,9 @@ def round_records(seqs: DataFrame, distances: DataFrame, hits: DataFrame, wild_t
     substitutions against the wild type."""
     keys = [*by, id_col]
     scores = mean_scores(hits, score, by).withColumnRenamed("query", id_col)
-    rows = (seqs.select(*keys, seq_col)
-            .join(distances.select(*keys, "min_cos", "min_l2"), keys, "left")
-            .join(scores, keys, "left").withColumn("_wt", wild_type))
-    return rows.select(F.lit(round_no).alias("round"), *keys, seq_col, F.length(seq_col).alias("length"),
-                       F.col("avg_score").alias("mean_score"), "min_cos", "min_l2",
-                       S.substitutions(seq_col, "_wt").alias("substitutions"))
+    # What is taken from the sequence is taken ahead of the joins: it travels only if the caller keeps it.
+    own = seqs.select(*keys, seq_col).withColumn("_wt", wild_type).select(
+        *keys, seq_col, F.length(seq_col).alias("length"), S.substitutions(seq_col, "_wt").alias("substitutions"))
+    rows = own.join(distances.select(*keys, "min_cos", "min_l2"), keys, "left").join(scores, keys, "left")
+    return rows.select(F.lit(round_no).alias("round"), *keys, seq_col, "length",
+                       F.col("avg_score").alias("mean_score"), "min_cos", "min_l2", "substitutions")

@@ -88,6 +88,15 @@ def test_round_records(spark):
     assert (rec["b"].mean_score, rec["b"].min_l2, rec["b"].substitutions) == (None, None, 2)
 
 
+def test_texts_of_round_records_travel_only_if_kept(spark):
+    seqs = spark.createDataFrame([("a", "ACDE")], "id string, seq string")
+    dist = spark.createDataFrame([("a", 0.1, 0.2)], "id string, min_cos double, min_l2 double")
+    hits = spark.createDataFrame([("a", "t", 5.0)], "query string, target string, bits double")
+    rec = M.round_records(seqs, dist, hits, F.lit("ACDF"), "bits", 2).drop("seq")
+    plan = rec._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("length(seq")
+
+
 @pytest.mark.parametrize("shares", [(0.2,), (0.9, 0.5, 0.2), (1.0, 0.2)])
 @pytest.mark.parametrize("n", [1, 3, 100])
 def test_top_hits_equal_brute_force(spark, shares, n):
