@@ -288,11 +288,14 @@ def ngram_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     classes = sets.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"))
     named = stored(sets.join(classes, ["n", "k1", "k2"], "left").select("doc_id", "n", "rep"), "named-sets")
 
-    # Recomputed rather than stored for the second use: the fingerprints of all texts are as large as the texts.
-    sigs = map_texts(docs, ["doc_id", "text"], _fingerprints(words, percent), "sig bigint, rep bigint, tag int")
-    shared = stored(sigs.groupBy("sig").agg(F.count("*").alias("rows")).where("`rows` > 1"), "shared-ranges")
-    reps = named.where("n > 0").select("rep").distinct()
-    met = stored(sigs.join(shared.select("sig"), "sig").join(reps, "rep", "left_semi"), "met")
+    # Only rows whose id stands for a set are fingerprinted: one row of every set is among them.
+    reps = named.where("n > 0").select(F.col("rep").alias("doc_id")).distinct()
+    copies = stored(named.where("n > 0").select("doc_id").distinct().join(reps, "doc_id", "left_anti"), "copies")
+    sigs = map_texts(docs.join(copies, "doc_id", "left_anti"), ["doc_id", "text"], _fingerprints(words, percent),
+                     "sig bigint, rep bigint, tag int")
+    # Counted where they meet: the fingerprints of all texts are as large as the texts and are made and moved once.
+    meeting = sigs.withColumn("rows", F.count("*").over(W.partitionBy("sig")))  # rows that share a range
+    met = stored(meeting.where("`rows` > 1"), "met")
     met = stored(_able(_able(met)), "able")
     central = met.groupBy("rep").agg(F.sum("rows").alias("weight"))
     best = F.max(F.struct("weight", (-F.col("rep")).alias("low")))["low"]

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import uuid
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -187,6 +188,26 @@ def test_components_equal_brute_force(spark, monkeypatch, rows_per_block):
     assert len({c for _, c in got.values()}) > 10
 
 
+def test_fingerprints_are_made_once_for_each_set(spark, monkeypatch, tmp_path):
+    made = ngram_join._fingerprints
+
+    def noted(words, percent):
+        run = made(words, percent)
+
+        def each(batches):
+            for b in batches:
+                (tmp_path / uuid.uuid4().hex).write_text(str(b.num_rows))
+                yield b
+        return lambda batches: run(each(batches))
+    monkeypatch.setattr(ngram_join, "_fingerprints", noted)
+    texts = [" ".join(f"w{i * 50 + j}" for j in range(20 + i)) for i in range(30)]
+    table = [(100 * c + i, t) for c in range(3) for i, t in enumerate(texts)] + [(300, texts[0] + " more"), (7, "two sets of one id here")]
+    df = spark.createDataFrame(table, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_components(df).collect()}
+    assert got == {i: (0 if i == 300 else i % 100) for i, _ in table}
+    assert sum(int(f.read_text()) for f in tmp_path.iterdir()) == 32  # 30 texts, one near copy, one more row of an id
+
+
 @pytest.mark.parametrize("percent", [80, 85])
 def test_linked_tiny_sets_meet_in_as_many_ranges_as_they_need(percent):
     levels, rng = ngram_join.Levels(percent), random.Random(6)
