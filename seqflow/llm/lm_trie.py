@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from seqflow.llm.elias_fano import EliasFano, gaps, squeeze, unsqueeze
 from seqflow.llm.ngram_join import mix
 from seqflow.llm.rows import release, stored
-from seqflow.llm.texts import Memo, map_texts, offsets, plain_words, utf8
+from seqflow.llm.texts import map_texts, offsets, plain_words, utf8
 
 DISCOUNT = 0.75
 SHARD_BYTES = 12 << 20
@@ -42,10 +42,11 @@ _PAIR = np.uint64(0x9E3779B97F4A7C15)
 _HALF = np.uint64(32)  # bits of a hash that pairs of one shard go without
 
 
-def token_hashes(memo: Memo, text: bytes) -> np.ndarray:
+def token_hashes(text: bytes) -> np.ndarray:
+    """The hash of each word, then the end. Hashing costs less than remembering the hashes of words."""
     words = plain_words(text)
     out = np.empty(len(words) + 1, np.uint64)
-    out[:-1] = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+    out[:-1] = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     out[-1] = END
     return out
 
@@ -77,9 +78,9 @@ def _new(*sorted_columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(change)
 
 
-def _slice_tokens(memo: Memo, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _slice_tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(tokens of each text, text, context, token) of all tokens of a slice. Each text ends, and the next begins, with END."""
-    parts = [token_hashes(memo, t) for t in texts]
+    parts = [token_hashes(t) for t in texts]
     sizes = np.array([len(p) for p in parts])
     second = np.concatenate(parts)
     return sizes, np.repeat(np.arange(len(parts)), sizes), np.concatenate([[END], second[:-1]]), second
@@ -88,9 +89,8 @@ def _slice_tokens(memo: Memo, texts: list[bytes]) -> tuple[np.ndarray, np.ndarra
 def _pairs(shards: int):
     """Pair counts of training texts, added up within slices: one row for each shard."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(xxhash.xxh3_64_intdigest)
         for b in batches:
-            _, _, first, second = _slice_tokens(memo, utf8(b.column(0)))
+            _, _, first, second = _slice_tokens(utf8(b.column(0)))
             key, first, second, n = _add_up(first, second)
             parts = _parts(key, shards)
             yield pa.RecordBatch.from_arrays([
@@ -279,11 +279,10 @@ def _ask(shards: int):
     A slice is named by its task and first row. Its ids and sizes travel with the questions to one of the shards.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(xxhash.xxh3_64_intdigest)
         row = TaskContext.get().partitionId() << 33
         none = np.empty(0, np.uint64)
         for b in batches:
-            sizes, doc, first, second = _slice_tokens(memo, utf8(b.column(1)))
+            sizes, doc, first, second = _slice_tokens(utf8(b.column(1)))
             asked = []
             for key in (second, pair_key(first, second)):
                 order = np.argsort(key, kind="stable")  # by key, then text

@@ -421,6 +421,12 @@ def test_elias_fano():
     assert [x.tolist() for x in elias_fano.unsqueeze(elias_fano.squeeze(a, b))] == [[], b.tolist()]
 
 
+def test_words_are_hashed_without_a_memo():
+    hashes = lm_trie.token_hashes("A b\ta \u00c4 b".encode()).tolist()
+    assert hashes[0] == hashes[2] and hashes[1] == hashes[4] and len(set(hashes)) == 4 and hashes[-1] == lm_trie.END
+    assert lm_trie.token_hashes(b"").tolist() == [lm_trie.END]
+
+
 def test_scores_equal_a_plain_model(smoke, edge, none):
     for docs in (smoke, edge):
         table = pairs_of(docs)
