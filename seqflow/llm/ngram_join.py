@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from seqflow.llm.components import connected_components
-from seqflow.llm.rows import stored
+from seqflow.llm.rows import release, stored, with_ids, without_ids
 from seqflow.llm.texts import Memo, map_texts, offsets, plain_words, utf8
 
 WORDS = 4
@@ -291,20 +291,21 @@ def ngram_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     # Only rows whose id stands for a set are fingerprinted: one row of every set is among them.
     reps = named.where("n > 0").select(F.col("rep").alias("doc_id")).distinct()
     copies = stored(named.where("n > 0").select("doc_id").distinct().join(reps, "doc_id", "left_anti"), "copies")
-    sigs = map_texts(docs.join(copies, "doc_id", "left_anti"), ["doc_id", "text"], _fingerprints(words, percent),
+    sigs = map_texts(without_ids(docs, copies, "doc_id"), ["doc_id", "text"], _fingerprints(words, percent),
                      "sig bigint, rep bigint, tag int")
     # Counted where they meet: the fingerprints of all texts are as large as the texts and are made and moved once.
     meeting = sigs.withColumn("rows", F.count("*").over(W.partitionBy("sig")))  # rows that share a range
-    met = stored(meeting.where("`rows` > 1"), "met")
-    met = stored(_able(_able(met)), "able")
+    shared = stored(meeting.where("`rows` > 1"), "met")
+    met = stored(_able(_able(shared)), "able")
+    release(sets, copies, shared)
     central = met.groupBy("rep").agg(F.sum("rows").alias("weight"))
     best = F.max(F.struct("weight", (-F.col("rep")).alias("low")))["low"]
     hubs = met.join(central, "rep").groupBy("sig").agg((-best).alias("hub"), F.count("*").alias("members"))
     pairs = stored(_chosen_hubs(met.join(hubs.where("members > 1"), "sig").where("hub != rep")), "pairs")
 
-    wanted = pairs.select("rep").unionByName(pairs.select(F.col("hub").alias("rep"))).distinct()
-    chosen = docs.join(wanted, docs["doc_id"] == wanted["rep"], "left_semi")
-    rows = stored(map_texts(chosen, ["doc_id", "text"], _rows(words), "id bigint, columns binary"), "rows")
+    ids = pairs.select(F.col("rep").alias("doc_id")).unionByName(pairs.select(F.col("hub").alias("doc_id")))
+    wanted = stored(ids.distinct(), "wanted")
+    rows = stored(map_texts(with_ids(docs, wanted, "doc_id"), ["doc_id", "text"], _rows(words), "id bigint, columns binary"), "rows")
     facing = pairs.join(rows.withColumnsRenamed({"id": "rep", "columns": "mine"}), "rep").join(
         rows.withColumnsRenamed({"id": "hub", "columns": "theirs"}), "hub").select("hub", "rep", "mine", "theirs")
     products = stored(facing.mapInArrow(_against_hub(percent), "hub bigint, rep bigint, n bigint, linked boolean, "

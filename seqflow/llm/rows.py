@@ -10,6 +10,9 @@ from seqflow.session import materialize
 #: Lets Spark delete a query's shuffle files as soon as the query has ended.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: Bits of a bitmap for each id, so that about one other id in so many looks like a listed one, and bits of the largest (32 MB).
+BITS_PER_ID, MOST_BITS = 16, 1 << 28
+
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back; its shuffle files go once they have been used."""
@@ -30,6 +33,37 @@ def release(*frames: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _marked(docs: DataFrame, ids: DataFrame, id_col: str) -> tuple[DataFrame, str]:
+    """``docs`` with a boolean column, and its name: false where the id is surely not in ``ids``.
+
+    A bitmap of hashed ids meets the rows where they are. It is bounded: ids beyond that make more rows look listed.
+    """
+    bits = min(MOST_BITS, 1 << max(15, (BITS_PER_ID * ids.count() - 1).bit_length()))
+    place = F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(bits)) + 1
+    bucket, bitmap = free_name(docs, "__bucket"), free_name(docs, "__bitmap")
+    bitmaps = ids.groupBy(F.bitmap_bucket_number(place).alias(bucket)).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias(bitmap))
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring(bitmap, (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    listed = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+    met = docs.withColumn(bucket, F.bitmap_bucket_number(place)).join(F.broadcast(bitmaps), bucket, "left")
+    mark = free_name(docs, "__listed")
+    return met.withColumn(mark, listed).drop(bucket, bitmap), mark
+
+
+def with_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """Rows of ``docs`` whose id is in ``ids``, a stored frame of that one column; hardly any other row is shuffled."""
+    marked, mark = _marked(docs, ids, id_col)
+    return marked.where(F.col(mark)).drop(mark).join(ids, id_col, "left_semi")
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The other rows of ``docs``, those with a null id too; few but the rows that go are shuffled."""
+    marked, mark = _marked(docs, ids, id_col)
+    unsure = marked.where(F.col(mark)).join(ids, id_col, "left_anti")
+    return marked.where(~F.col(mark)).unionByName(unsure).drop(mark)
+
+
 def with_row_key(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, str]:
     """``docs`` with a bigint of its own for every row, and that column's name.
 

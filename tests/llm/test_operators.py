@@ -208,6 +208,56 @@ def test_fingerprints_are_made_once_for_each_set(spark, monkeypatch, tmp_path):
     assert sum(int(f.read_text()) for f in tmp_path.iterdir()) == 32  # 30 texts, one near copy, one more row of an id
 
 
+def moved_rows(df):
+    """Rows that a frame's exchanges hand on."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        plan = plan.executedPlan()
+    if plan.nodeName() == "ResultQueryStage":
+        plan = plan.plan()
+    leaves = plan.collectLeaves()
+    leaves = [leaves.apply(i) for i in range(leaves.size())]
+    return sum(int(x.getRuntimeStatistics().rowCount().get()) for x in leaves if x.nodeName().endswith("QueryStage"))
+
+
+@pytest.fixture
+def shuffled_joins(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield spark
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_texts_that_share_nothing_are_not_shuffled(shuffled_joins, monkeypatch):
+    moved = []
+
+    def noted(df, *args):
+        moved.append(moved_rows(df))
+        return texts.map_texts(df, *args)
+    monkeypatch.setattr(ngram_join, "map_texts", noted)
+    table = [(i, " ".join(f"w{i * 50 + j}" for j in range(20))) for i in range(400)]
+    table += [(1000, table[3][1]), (1001, table[5][1] + " more"), (1002, table[5][1])]
+    df = shuffled_joins.createDataFrame(table, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_components(df).collect()}
+    assert got == {i: {1000: 3, 1001: 5, 1002: 5}.get(i, i) for i, _ in table}
+    assert len(moved) == 3 and max(moved) < 100
+
+
+@pytest.mark.parametrize("bits_per_id, most", [(16, 1 << 28), (16, 1 << 15), (1, 1 << 28)])
+def test_rows_by_listed_ids_equal_plain_joins(shuffled_joins, monkeypatch, bits_per_id, most):
+    monkeypatch.setattr(rows, "BITS_PER_ID", bits_per_id)
+    monkeypatch.setattr(rows, "MOST_BITS", most)
+    table = [(i * 7 - 9000, f"t{i}") for i in range(9000)] + [(-9000, "again"), (5, "other"), (None, "no id"), (None, None)]
+    docs = shuffled_joins.createDataFrame(table, "doc_id long, text string")
+    for ids in ([i * 7 - 9000 for i in range(0, 9000, 2)], [5, 5, 6], []):
+        listed = shuffled_joins.createDataFrame([(i,) for i in ids], "doc_id long")
+        inside = [tuple(r) for r in rows.with_ids(docs, listed, "doc_id").collect()]
+        outside = [tuple(r) for r in rows.without_ids(docs, listed, "doc_id").collect()]
+        assert Counter(inside) == Counter(r for r in table if r[0] in set(ids))
+        assert Counter(outside) == Counter(r for r in table if r[0] not in set(ids))
+
+
 @pytest.mark.parametrize("percent", [80, 85])
 def test_linked_tiny_sets_meet_in_as_many_ranges_as_they_need(percent):
     levels, rng = ngram_join.Levels(percent), random.Random(6)
